@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratamill.llm import bpe
+from stratamill.llm import bpe, secrets
 from stratamill.llm._shared import table
 
 
@@ -22,7 +22,14 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, vocabulary()))
 
 
+def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.samples(spark, docs))
+    return secrets.digests(secrets.scan(docs, model))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_markov_secrets": op3_markov_secrets,
     "op10_tree_bpe": op10_tree_bpe,
 }
 
