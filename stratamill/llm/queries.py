@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratamill.llm import bpe, secrets
+from stratamill.llm import bpe, secrets, substring_dedup
 from stratamill.llm._shared import table
 
 
@@ -16,6 +17,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, vocabulary()).select("doc_id", "ids")
@@ -30,6 +36,7 @@ def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_markov_secrets": op3_markov_secrets,
+    "op4_anchor_dedup": op4_anchor_dedup,
     "op10_tree_bpe": op10_tree_bpe,
 }
 
