@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts handed to a function at once hold about this many characters.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -42,11 +42,11 @@ def slices(texts: list[str | None], chars: int = SLICE_CHARS):
         yield start, len(texts)
 
 
-def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]]) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], arrow: bool = False) -> DataFrame:
     """All columns of df, and those of ``fields`` made from the texts.
 
     ``make`` runs once in each task and returns a function from a list of texts (None for null) to one list or
-    Arrow array for each field. A column of df that has a new field's name gives way to it.
+    Arrow array for each field; with ``arrow`` it gets the Arrow array of a batch as it is. A column of df that has a new field's name gives way to it.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -59,8 +59,9 @@ def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], make: C
     def run(batches):
         function = make()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            for a, b in slices(texts):
+            column = batch.column(batch.schema.get_field_index(text_col))
+            texts = column if arrow else column.to_pylist()
+            for a, b in [(0, len(column))] if arrow else slices(texts):
                 made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(function(texts[a:b]), kinds, strict=True)]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *made], names=names)

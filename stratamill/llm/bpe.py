@@ -5,12 +5,14 @@ task is encoded once. Inside a word, the pre-tokenizer's pieces are encoded apar
 is a long unsplit text: its halves are encoded on their own, down to leaves, and each join is repaired by encoding
 a growing window of tokens around it again, until the window's outer tokens are those that stood there before.
 The tokens outside the window then keep their neighbours, so the joined sequence is the one for the whole piece.
-Documents over ``spread`` characters with such pieces can have their leaves encoded in parallel by other tasks.
+The merges of all leaves, and of all different pieces of a slice of texts, are made side by side in arrays.
 """
 
 from __future__ import annotations
 
+import gc
 import json
+import re
 from itertools import chain
 
 import numpy as np
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from stratamill.llm._shared import field, map_texts
 
 LEAF = 2048
-MEMO = 300_000
+#: Words that a task remembers, in each of two generations.
+MEMO = 120_000
 
 
 def byte_symbols() -> list[str]:
@@ -31,101 +34,156 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
 
 
+class Merges:
+    """Byte-pair merges of many pieces at once: in each round, every piece makes its best merge."""
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        self.end = model.get("end_of_word_suffix") or ""
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        left = np.array([vocab[a] for a, _ in pairs], np.int64)
+        right = np.array([vocab[b] for _, b in pairs], np.int64)
+        self.size = max(vocab.values()) + 1
+        keys = left * self.size + right
+        order = np.argsort(keys)
+        self.keys, self.rank = keys[order], order
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.open_symbol = {s: vocab[s] for s in byte_symbols()}
+        self.last_symbol = {s: vocab[s + self.end] for s in byte_symbols()}
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        k = a * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        return np.where(self.keys[at] == k, self.rank[at], _NONE)
+
+    def encode(self, pieces: list[str], last: bool = True) -> list[list[int]]:
+        """Ids of each piece; ``last``: it ends its word."""
+        if not pieces:
+            return []
+        codes = list(map(self.open_symbol.__getitem__, "".join(pieces)))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        symbols, ends = np.array(codes, np.int64), np.cumsum(sizes)
+        if last:
+            symbols[ends[sizes > 0] - 1] = [self.last_symbol[p[-1]] for p in pieces if p]
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(len(symbols), _NONE)  # of each symbol with the next of its piece
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self._ranks(symbols[inner], symbols[inner + 1])
+        while len(symbols):
+            heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.minimum.reduceat(rank, heads)
+            lengths = np.diff(np.concatenate([heads, [len(owner)]]))
+            if (best == _NONE).any():
+                going = np.repeat(best != _NONE, lengths)
+                done.append((owner[~going], symbols[~going]))
+                symbols, owner, rank = symbols[going], owner[going], rank[going]
+                lengths, best = lengths[best != _NONE], best[best != _NONE]
+                if not len(symbols):
+                    break
+                heads = np.cumsum(lengths) - lengths
+            hits = np.flatnonzero(rank == np.repeat(best, lengths))
+            at = hits[np.concatenate([[True], owner[hits][1:] != owner[hits][:-1]])]
+            symbols[at] = self.made[best]
+            stays = np.ones(len(symbols), bool)
+            stays[at + 1] = False
+            at = at - np.arange(len(at))  # where they stand once the merged symbols are out
+            symbols, owner, rank = symbols[stays], owner[stays], rank[stays]
+            for left in (at - 1, at):
+                ok = (left >= 0) & (left + 1 < len(symbols))
+                ok[ok] = owner[left[ok]] == owner[left[ok] + 1]
+                rank[at[~ok & (left == at)]] = _NONE
+                left = left[ok]
+                rank[left] = self._ranks(symbols[left], symbols[left + 1])
+        owners, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(owners, kind="stable")
+        flat, cuts = ids[order].tolist(), np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(pieces)))]).tolist()
+        return [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+_NONE = np.int64(2**62)
+
+
 class TreeEncoder:
-    """Encodes words exactly as the vocabulary file's own pipeline does."""
+    """Encodes texts exactly as the vocabulary file's own pipeline does."""
 
     def __init__(self, path: str, leaf: int = LEAF):
         import regex
-        from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_padding()
-        self.whole.no_truncation()
-        model, self.leaf = file["model"], leaf
-        self.end = model.get("end_of_word_suffix") or ""
-        parts = {"vocab": model["vocab"], "merges": [tuple(m) for m in model["merges"]]}
-        self.closed = self.whole.model  # appends the end of the word
-        self.open = BPE(**parts)  # for what stands inside a word
-        symbols = byte_symbols()
-        self.mapped = {b: s for b, s in enumerate(symbols) if chr(b) != s}
+        self.path, self.leaf, self.library = path, max(2, leaf), None
+        self.merges = Merges(file["model"])
+        self.shown = {i: t.removesuffix(self.merges.end) for t, i in file["model"]["vocab"].items()}
+        self.mapped = {b: s for b, s in enumerate(byte_symbols()) if chr(b) != s}
         #: For these the normalizer only lowers letters, and pieces follow the pattern below.
         self.plain = regex.compile(r"[\x21-\x7e\xa1-\xff]+").fullmatch
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        self.special = [x["content"] for x in file["added_tokens"]]
-        self.memo, self.older = {}, {}
-        self.known, self.known_older = {}, {}
-
-    def word(self, w: str) -> tuple[int, ...]:
-        if any(x in w for x in self.special):
-            return tuple(self.whole.encode(w, add_special_tokens=False).ids)
+        self.ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+        self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special))) + ")").split
+        self.memo: dict[bytes, tuple] = {}
+        self.older: dict[bytes, tuple] = {}
+
+    def _pieces(self, w: str) -> list[str]:
+        """Pieces of a word in byte symbols; added tokens stand as they are."""
+        if "<|" in w and any(x in w for x in self.special):
+            return [y for x in self.cut(w) for y in ([x] if x in self.special else self._pieces(x) if x else [])]
+        if w.isascii() and w.isprintable():
+            w = w.lower()
+            return [w] if w.isalpha() else self.ascii_pieces(w)
         if self.plain(w):
-            found = self.pieces(w.lower())
-            found = [x if x.isascii() else x.encode().decode("latin-1").translate(self.mapped) for x in found]
-        else:
-            found = [x for x, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(w))]
-        if len(found) == 1:
-            return self.piece(found[0])
-        return tuple(chain.from_iterable(map(self.piece, found)))
-
-    def piece(self, p: str) -> tuple[int, ...]:
-        ids = self.known.get(p)
-        if ids is None:
-            ids = self.known_older.get(p)
-            if ids is None:
-                ids = tuple(self.tree(p, self.leaf) if len(p) > self.leaf else [t.id for t in self.closed.tokenize(p)])
-            if len(p) <= 64:
-                self.known[p] = ids
-                if len(self.known) >= MEMO // 2:
-                    self.known, self.known_older = {}, self.known
-        return ids
-
-    def tree(self, p: str, leaf: int, last: bool = True) -> list[int]:
-        """Ids of a long piece; ``last``: it ends its word."""
-        if len(p) <= leaf:
-            return self._ids(p, last)
-        half = len(p) // 2
-        return self.joined(self.tree(p[:half], leaf, False), self.tree(p[half:], leaf, last), last)
+            return [x if x.isascii() else x.encode().decode("latin-1").translate(self.mapped) for x in self.pieces(w.lower())]
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(w))]
+
+    def _encoded(self, pieces: set[str]) -> dict[str, list[int]]:
+        out = {x: [self.special[x]] for x in pieces & self.special.keys()}
+        short = [x for x in pieces if len(x) <= self.leaf and x not in out]
+        out |= zip(short, self.merges.encode(short), strict=True)
+        return out | {x: self.tree(x) for x in pieces if len(x) > self.leaf}
+
+    def tree(self, p: str) -> list[int]:
+        """Ids of a long piece: all leaves are encoded together, then neighbours are joined, level by level."""
+        n = 1
+        while len(p) > n * self.leaf:
+            n *= 2
+        cuts = [len(p) * i // n for i in range(n + 1)]
+        leaves = [p[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        parts = [*self.merges.encode(leaves[:-1], False), *self.merges.encode(leaves[-1:])]
+        while len(parts) > 1:
+            parts = [self.joined(parts[i], parts[i + 1], i + 2 == len(parts)) for i in range(0, len(parts), 2)]
+        return parts[0]
 
     def joined(self, left: list[int], right: list[int], last: bool) -> list[int]:
-        """Ids of two neighbouring parts of one piece from the ids of each."""
-        if not left or not right:
-            return left + right
+        """Ids of two neighbouring parts of one piece from the ids of each; ``last``: the right one ends its word."""
         n = 4
         while True:
             a, b = left[-n:], right[:n]
-            again = self._ids("".join(map(self._text, a + b)), last and n >= len(right))
+            again = self.merges.encode(["".join(map(self.shown.__getitem__, a + b))], last and n >= len(right))[0]
             held_left = n >= len(left) or len(again) > 1 and again[0] == a[0]
             held_right = n >= len(right) or len(again) > 1 and again[-1] == b[-1]
             if held_left and held_right:
                 return left[:-n] + again + right[n:]
             n *= 2
 
-    def _ids(self, p: str, last: bool) -> list[int]:
-        return [t.id for t in (self.closed if last else self.open).tokenize(p)]
-
-    def _text(self, i: int) -> str:
-        return self.whole.id_to_token(i).removesuffix(self.end) if self.end else self.whole.id_to_token(i)
-
-    def text(self, t: str | None) -> list[tuple[int, ...]]:
-        """Ids of a text, a tuple for each word."""
-        if not t:
-            return []
-        words, memo, older, out = t.encode().split(), self.memo, self.older, []
-        for w in words:
-            ids = memo.get(w)
-            if ids is None:
-                ids = older.get(w)
-                if ids is None:
-                    ids = self.word(w.decode())
-                if len(w) <= 64:
-                    memo[w] = ids
-            out.append(ids)
-        if len(memo) >= MEMO:
-            self.memo, self.older = {}, memo
-        return out
+    def texts(self, texts: list[str | None]) -> list[list[tuple[int, ...]]]:
+        """For each text the ids of its words."""
+        split = [t.encode().split() if t else [] for t in texts]
+        words = set(chain.from_iterable(split))
+        known = {w: ids for w in words if (ids := self.memo.get(w) or self.older.get(w)) is not None}
+        new = {w: self._pieces(w.decode()) for w in words if w not in known}
+        ids = self._encoded(set(chain.from_iterable(new.values())))
+        for w, pieces in new.items():
+            known[w] = tuple(ids[pieces[0]]) if len(pieces) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, pieces)))
+        if len(self.memo) + len(new) > MEMO:
+            self.memo, self.older = {}, self.memo
+        # words seen again are kept, so common ones outlive a generation
+        self.memo |= {w: x for w, x in known.items() if len(w) <= 64}
+        return [[known[w] for w in x] for x in split]
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", leaf: int = LEAF) -> DataFrame:
@@ -137,9 +195,10 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
     def make():
         encoder = TreeEncoder(path, leaf)
+        gc.disable()  # millions of small tuples, and no cycles
 
         def ids(texts):
-            each = [encoder.text(t) for t in texts]
+            each = encoder.texts(texts)
             sizes = [sum(map(len, x)) for x in each]
             flat = np.fromiter(chain.from_iterable(chain.from_iterable(each)), np.int32, sum(sizes))
             offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
@@ -157,26 +216,22 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     """
 
     def make():
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        if whole.decoder is not None:
-            return lambda lists: [[whole.decode(x or [], skip_special_tokens=False) for x in lists]]
-        token = [whole.id_to_token(i) for i in range(whole.get_vocab_size(with_added_tokens=True))]
-        shown = {i: t for i, t in enumerate(token) if t is not None}
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        if file["decoder"] is not None:
+            raise ValueError("only vocabularies whose decoder joins tokens by a space are decoded")
+        shown = {i: t for t, i in file["model"]["vocab"].items()} | {x["id"]: x["content"] for x in file["added_tokens"]}
 
         def texts(lists):
-            out = []
-            for x in lists:
-                try:
-                    out.append(" ".join([shown[i] for i in x or ()]))
-                except KeyError:
-                    out.append(" ".join([shown[i] for i in x if i in shown]))
+            ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            empty, out = lists.is_null().to_pylist(), []
+            for a, b, none in zip(ends[:-1].tolist(), ends[1:].tolist(), empty, strict=True):
+                out.append("" if none else " ".join([t for t in map(shown.get, ids[a:b].tolist()) if t is not None]))
             return [out]
 
         return texts
 
-    return map_texts(df, ids_col, [field(text_col, "string")], make)
+    return map_texts(df, ids_col, [field(text_col, "string")], make, arrow=True)
 
 
 def digests(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
