@@ -111,12 +111,12 @@ def byte_slices(texts: list[str | None], most: int = SLICE_BYTES):
         yield start, len(texts)
 
 
-def chunked(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """id, text and chunk; and the number of chunks, which grows with the bytes of text."""
+def chunked(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, more: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """id, text, chunk and ``more`` columns; and the number of chunks, which grows with the bytes of text."""
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     n = 1 + total // chunk_bytes
     key = F.col(f"`{id_col}`").cast("long")
-    return df.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.pmod(F.xxhash64(key), F.lit(n)).alias("chunk")), n
+    return df.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.pmod(F.xxhash64(key), F.lit(n)).alias("chunk"), *more), n
 
 
 def dealt(keys: np.ndarray, buckets: int, chunk: int, *more: np.ndarray) -> pa.RecordBatch:

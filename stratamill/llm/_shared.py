@@ -29,6 +29,12 @@ def crc_mod(column: str, mod: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % mod
 
 
+def drawn(df: DataFrame, key: str, about: int) -> DataFrame:
+    """About that many rows, or all if there are fewer: those with the smallest hashes of their key."""
+    n = df.count()
+    return df if n <= about else df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(2**40)) < about * 2**40 // n)
+
+
 def slices(texts: list[str | None], chars: int = SLICE_CHARS):
     """Ranges of a list that hold about that many characters, one text at least."""
     start, held = 0, 0

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamill.llm import bpe, secrets, substring_dedup
-from stratamill.llm._shared import table
+from stratamill.llm import bpe, ppm, secrets, substring_dedup
+from stratamill.llm._shared import crc_mod, table
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +22,15 @@ def op4_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 7) == 2).alias("held_out"))
+    docs = docs.withColumn("train", ~F.col("held_out"))
+    trie = ppm.train(docs.where("train"))
+    scored = ppm.score(docs, trie)
+    out = ppm.unigram(scored, "train", more=("held_out", "score"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, vocabulary()).select("doc_id", "ids")
@@ -37,6 +46,7 @@ def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_markov_secrets": op3_markov_secrets,
     "op4_anchor_dedup": op4_anchor_dedup,
+    "op9_ppm": op9_ppm,
     "op10_tree_bpe": op10_tree_bpe,
 }
 
