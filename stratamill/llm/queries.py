@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamill.llm import bpe, ppm, secrets, substring_dedup
+from stratamill.llm import bpe, near_dedup, ppm, secrets, substring_dedup
 from stratamill.llm._shared import crc_mod, table
 
 
@@ -22,6 +22,10 @@ def op4_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 7) == 2).alias("held_out"))
     docs = docs.withColumn("train", ~F.col("held_out"))
@@ -46,6 +50,7 @@ def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_markov_secrets": op3_markov_secrets,
     "op4_anchor_dedup": op4_anchor_dedup,
+    "op5_tensored_minhash": op5_tensored_minhash,
     "op9_ppm": op9_ppm,
     "op10_tree_bpe": op10_tree_bpe,
 }
