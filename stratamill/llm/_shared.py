@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts handed to a function at once hold about this many characters.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 1_000_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from stratamill.llm._shared import field, map_texts
 
 LEAF = 2048
 #: Words that a task remembers, in each of two generations.
-MEMO = 120_000
+MEMO = 60_000
 
 
 def byte_symbols() -> list[str]:
@@ -195,6 +195,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
     def make():
         encoder = TreeEncoder(path, leaf)
+        gc.collect()  # of what an earlier task of this worker left
         gc.disable()  # millions of small tuples, and no cycles
 
         def ids(texts):
