@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamill.llm import bpe, near_dedup, ppm, secrets, substring_dedup, toxicity
+from stratamill.llm import bpe, near_dedup, ppm, quality, secrets, substring_dedup, toxicity
 from stratamill.llm._shared import crc_mod, table
 
 
@@ -26,6 +26,14 @@ def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    out = quality.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 4) == 2
@@ -59,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_markov_secrets": op3_markov_secrets,
     "op4_anchor_dedup": op4_anchor_dedup,
     "op5_tensored_minhash": op5_tensored_minhash,
+    "op7_attention_quality": op7_attention_quality,
     "op8_segments": op8_segments,
     "op9_ppm": op9_ppm,
     "op10_tree_bpe": op10_tree_bpe,
