@@ -35,6 +35,11 @@ def drawn(df: DataFrame, key: str, about: int) -> DataFrame:
     return df if n <= about else df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(2**40)) < about * 2**40 // n)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has no more rows than that, each of a few numbers; otherwise joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def slices(texts: list[str | None], chars: int = SLICE_CHARS):
     """Ranges of a list that hold about that many characters, one text at least."""
     start, held = 0, 0

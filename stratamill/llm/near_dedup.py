@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm._grams import Polynomial, WordBuffer, byte_slices, dealt, gathered, mixed
-from stratamill.llm._shared import checkpointed, drawn
+from stratamill.llm._shared import checkpointed, drawn, small
 from stratamill.llm.components import components
 
 COLLECTIONS = 14
 #: A shingle's group up to this size gives pairs; a larger one is compared in blocks of BLOCK sets.
 SMALL_GROUP, BLOCK = 8, 1024
+PART = 256
 #: Sets from which frequent shingles are learned; that only orders shingles, and no result hangs on it.
 HOT_SETS, HOT_SHINGLES = 2000, 200_000
 KEY_BYTES = 6
@@ -145,22 +146,27 @@ def candidates(classes: DataFrame, buckets: int, collections: int = COLLECTIONS)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes whose sets are as similar as asked for."""
-
-    def verify(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = unpacked(x), unpacked(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    one = sets.select(F.col("cls").alias("a"), F.col("set").alias("x"), F.col("n").alias("na"))
-    two = sets.select(F.col("cls").alias("b"), F.col("set").alias("y"), F.col("n").alias("nb"))
-    sizes = pairs.join(one.select("a", "na"), "a").join(two.select("b", "nb"), "b")
-    alike = sizes.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    return alike.join(one.drop("na"), "a").join(two.drop("nb"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    """Those pairs (a, b) of classes whose sets are as similar as asked for. The pairs of one a are verified together,
+    in parts of about PART, each of which gets the set of a."""
+
+    def verify(table):
+        a = table.column("a")[0].as_py()
+        cls, raw = table.column("cls").to_pylist(), table.column("set").to_pylist()
+        x = unpacked(raw[cls.index(a)])
+        good = []
+        for c, b in zip(cls, raw, strict=True):
+            n = len(b) // KEY_BYTES
+            if c != a and 100 * min(n, len(x)) >= percent * max(n, len(x)):
+                both = len(np.intersect1d(x, unpacked(b), assume_unique=True))
+                if 100 * both >= percent * (len(x) + n - both):
+                    good.append(c)
+        return pa.table([pa.array([a] * len(good), pa.int64()), pa.array(good, pa.int64())], names=["a", "b"])
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("cls"))
+    own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("cls"))
+    rows = members.unionByName(own).join(sets.select("cls", "set"), "cls")
+    return rows.groupBy("a", "part").applyInArrow(verify, "a long, b long")
 
 
 def _rest(sets: DataFrame, percent: int) -> DataFrame:
@@ -249,17 +255,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = 1 + classes.count() * collections * collections // 2 * 16 // 4_000_000
     pairs = checkpointed(candidates(classes, buckets, collections))
     family = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    reps = classes.join(family, "cls").select(F.col("rep").alias("id"), "cls")
-    texts = docs.join(reps.select("id").distinct(), docs["id"].eqNullSafe(reps["id"]), "left_semi")
+    reps = checkpointed(classes.join(family, "cls").select(F.col("rep").alias("id"), "cls"))
+    # the texts are read again, and only those of candidates are encoded as sets
+    texts = docs.join(small(reps.select(F.col("id").alias("rep")).distinct()), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
     sets = texts.mapInArrow(_signatures(words, collections, True), "id long, cls long, n long, set binary")
-    sets = checkpointed(sets.join(family, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("set").alias("set")))
+    sets = checkpointed(sets.join(small(reps.select("cls").distinct()), "cls", "left_semi").select("cls", "n", "set"))
+    rows, different = sets.select("cls").agg(F.count("*"), F.countDistinct("cls")).first()
+    if rows > different:  # rows of one id and text
+        sets = checkpointed(sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("set").alias("set")))
     links = checkpointed(_linked(pairs, sets, percent))
     comps = checkpointed(components(links))
     comp_of = sets.select("cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
     comp_of = checkpointed(comp_of)
     torn = pairs.join(comp_of.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp_of.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b").where("ca != cb")
     torn = checkpointed(torn.select(F.explode(F.array("ca", "cb")).alias("comp")).distinct().join(comp_of, "comp"))
-    more = checkpointed(_rest(sets.join(torn, "cls"), percent))
+    more = checkpointed(_rest(checkpointed(sets.join(small(torn), "cls")), percent))
     merged = components(
         more.join(comp_of.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp_of.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     )
