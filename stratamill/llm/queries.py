@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamill.llm import bpe, near_dedup, ppm, quality, secrets, substring_dedup, toxicity
+from stratamill.llm import bpe, bsi_topk, near_dedup, ppm, quality, secrets, substring_dedup, toxicity
 from stratamill.llm._shared import crc_mod, table
 
 
@@ -57,6 +57,11 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, vocabulary()))
 
 
+def op2_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bsi_topk.top_k(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.train(secrets.samples(spark, docs))
@@ -64,6 +69,7 @@ def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bit_sliced_topk": op2_bit_sliced_topk,
     "op3_markov_secrets": op3_markov_secrets,
     "op4_anchor_dedup": op4_anchor_dedup,
     "op5_tensored_minhash": op5_tensored_minhash,
@@ -74,4 +80,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_bit_sliced_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
+    CAST(list_sum(list_transform(list_zip(q.e, r.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.e) = len(r.e)
+  WHERE q.vec_id % 20 = 0
+), k AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
+""",
+}
