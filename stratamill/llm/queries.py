@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamill.llm import bpe, bsi_topk, near_dedup, ppm, quality, secrets, substring_dedup, toxicity
+from stratamill.llm import bpe, bsi_topk, decontaminate, near_dedup, ppm, quality, secrets, substring_dedup, toxicity
 from stratamill.llm._shared import crc_mod, table
 
 
@@ -26,6 +26,10 @@ def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 5) == 0
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_markov_secrets": op3_markov_secrets,
     "op4_anchor_dedup": op4_anchor_dedup,
     "op5_tensored_minhash": op5_tensored_minhash,
+    "op6_simhash_decontamination": op6_simhash_decontamination,
     "op7_attention_quality": op7_attention_quality,
     "op8_segments": op8_segments,
     "op9_ppm": op9_ppm,
