@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamill.llm import bpe, bsi_topk, decontaminate, near_dedup, ppm, quality, secrets, substring_dedup, toxicity
+from stratamill.llm import bpe, bsi_topk, decontaminate, near_dedup, ppm, pseudonyms, quality, secrets, substring_dedup, toxicity
 from stratamill.llm._shared import crc_mod, table
 
 
@@ -61,6 +61,16 @@ def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, vocabulary()))
 
 
+#: For the queries here; a pipeline of one's own takes a secret one.
+KEY = b"stratamill"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pseudonyms.pseudonymised(docs, KEY)
+    return out.select("doc_id", "text", *pseudonyms.counts(out))
+
+
 def op2_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return bsi_topk.top_k(rows, rows.where(F.col("vec_id") % 20 == 0))
@@ -73,6 +83,7 @@ def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_bit_sliced_topk": op2_bit_sliced_topk,
     "op3_markov_secrets": op3_markov_secrets,
     "op4_anchor_dedup": op4_anchor_dedup,
