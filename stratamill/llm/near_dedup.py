@@ -8,8 +8,8 @@ collections that leaves out 2 in 10,000 pairs at s = 0.75, and fewer above.
 Candidates are verified on full sets. Members of a table's bucket are first compared with the bucket's smallest, which
 joins groups of copies in linear work. Where that leaves a bucket's members in different components, all sets of
 these components are joined exactly: sets of similarity s share one of their rarest ``(1 - s) n + 1`` shingles, so
-components that share such a shingle are compared. Small groups of such a shingle give pairs; larger ones are compared
-in blocks, without giving out their pairs.
+sets of different components that share such a shingle form clusters, which are compared in blocks, each pair of blocks
+once and by sparse columns, without giving out the pairs.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from stratamill.llm._shared import checkpointed, drawn, small
 from stratamill.llm.components import components
 
 COLLECTIONS = 14
-#: A shingle's group up to this size gives pairs; a larger one is compared in blocks of BLOCK sets.
-SMALL_GROUP, BLOCK = 8, 1024
-PART = 256
+#: Sets that are verified against one, and sets of a block of a cluster, in one task.
+PART, BLOCK = 256, 512
 #: Sets from which frequent shingles are learned; that only orders shingles, and no result hangs on it.
 HOT_SETS, HOT_SHINGLES = 2000, 200_000
 KEY_BYTES = 6
@@ -201,14 +200,11 @@ def _rest(sets: DataFrame, percent: int) -> DataFrame:
             yield from part.to_batches()
 
     rows = sets.select("cls", "n", "set", "comp").mapInArrow(prefixes, "cls long, n long, comp long, token long")
-    several = rows.groupBy("token").agg(F.count("*").alias("many"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "many")
-    rows = checkpointed(rows.join(several, "token"))
-    few = rows.where(F.col("many") <= SMALL_GROUP)
-    one = few.select("token", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    two = few.select("token", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    pairs = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
-
+    several = rows.groupBy("token").agg(F.min("cls").alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "lead")
+    # sets that share such shingles, directly or over others, form a cluster
+    clusters = components(rows.join(several, "token").where(F.col("cls") != F.col("lead")), "cls", "lead")
+    clusters = checkpointed(clusters.withColumnRenamed("node", "cls").withColumnRenamed("component", "cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     def compare(table):
         sets_ = [unpacked(b) for b in table.column("set").to_pylist()]
         cls, comp = table.column("cls").to_numpy(), table.column("comp").to_numpy()
@@ -232,12 +228,10 @@ def _rest(sets: DataFrame, percent: int) -> DataFrame:
         kept = np.unique(np.stack([comp[i], comp[j]], 1), axis=0, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
         return pa.table([pa.array(cls[i[kept]]), pa.array(cls[j[kept]])], names=["a", "b"])
 
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    many = rows.where(F.col("many") > SMALL_GROUP).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    many = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls").join(sets.select("cls", "comp", "set"), "cls")
-    links = many.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long")
-    return _linked(pairs, sets, percent).unionByName(links).distinct()
+    many = many.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls").join(sets.select("cls", "comp", "set"), "cls")
+    return many.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, collections: int = COLLECTIONS) -> DataFrame:
