@@ -27,7 +27,7 @@ from stratamill.llm.components import components
 
 COLLECTIONS = 14
 #: Sets that are verified against one, and sets of a block of a cluster, in one task.
-PART, BLOCK = 256, 512
+PART, BLOCK = 256, 2048
 #: Sets from which frequent shingles are learned; that only orders shingles, and no result hangs on it.
 HOT_SETS, HOT_SHINGLES = 2000, 200_000
 KEY_BYTES = 6
@@ -207,7 +207,7 @@ def _rest(sets: DataFrame, percent: int) -> DataFrame:
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     def compare(table):
         sets_ = [unpacked(b) for b in table.column("set").to_pylist()]
-        cls, comp = table.column("cls").to_numpy(), table.column("comp").to_numpy()
+        cls, comp, own = (table.column(c).to_numpy() for c in ("cls", "comp", "own"))
         n = np.array([len(s) for s in sets_])
         keys, column = np.unique(np.concatenate(sets_), return_inverse=True)
         row = np.repeat(np.arange(len(sets_)), n)
@@ -217,20 +217,29 @@ def _rest(sets: DataFrame, percent: int) -> DataFrame:
         column, row = rank[column[ok]], row[ok]
         by = np.argsort(column, kind="stable")
         column, row = column[by], row[by]
-        both = np.zeros((len(sets_), len(sets_)), np.float32)
-        for low in range(0, int(shared_keys.sum()), 2048):
-            x, y = np.searchsorted(column, [low, low + 2048])
-            m = np.zeros((len(sets_), 2048), np.float32)
+        # within a block all pairs, of two blocks those across
+        one = np.flatnonzero(own == own.min())
+        two = one if own.min() == own.max() else np.flatnonzero(own != own.min())
+        both = np.zeros((len(one), len(two)), np.float32)
+        for low in range(0, int(shared_keys.sum()), 1024):
+            x, y = np.searchsorted(column, [low, low + 1024])
+            m = np.zeros((len(sets_), 1024), np.float32)
             m[row[x:y], column[x:y] - low] = 1
-            both += m @ m.T
-        both = both.astype(np.int64)
-        i, j = np.nonzero(np.triu((100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])))
-        kept = np.unique(np.stack([comp[i], comp[j]], 1), axis=0, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
+            other = m[two].T
+            for k in range(0, len(one), 256):
+                both[k : k + 256] += m[one[k : k + 256]] @ other
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(0, len(one), 256):
+            strip, these = both[k : k + 256].astype(np.int64), one[k : k + 256]
+            i, j = np.nonzero((100 * strip >= percent * (n[these][:, None] + n[two][None, :] - strip)) & (comp[these][:, None] != comp[two][None, :]))
+            found.append(np.stack([these[i], two[j]], 1))
+        i, j = np.concatenate(found).T
+        kept = np.unique(np.sort(np.stack([comp[i], comp[j]], 1), axis=1), axis=0, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
         return pa.table([pa.array(cls[i[kept]]), pa.array(cls[j[kept]])], names=["a", "b"])
 
     many = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls").join(sets.select("cls", "comp", "set"), "cls")
+    many = many.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls").join(sets.select("cls", "comp", "set"), "cls")
     return many.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
