@@ -144,7 +144,7 @@ class TreeEncoder:
         out = {x: [self.special[x]] for x in pieces & self.special.keys()}
         short = [x for x in pieces if len(x) <= self.leaf and x not in out]
         out |= zip(short, self.merges.encode(short), strict=True)
-        return out | {x: self.tree(x) for x in pieces if len(x) > self.leaf}
+        return out | {x: self.tree(x) for x in pieces if len(x) > self.leaf and x not in self.special}
 
     def tree(self, p: str) -> list[int]:
         """Ids of a long piece: all leaves are encoded together, then neighbours are joined, level by level."""

@@ -19,6 +19,8 @@ from stratamill.llm._shared import field, map_texts
 
 ROUNDS = 8
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
+#: Groups of digits on cards, besides a single one.
+LAYOUTS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 #: Characters that are permuted within their own set; others stay.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
@@ -125,14 +127,14 @@ class Pseudonymiser:
         return _refill(s, f"{plain[:2]}{98 - remainder(body + plain[:2] + '00'):02d}{body}")
 
     def _card(self, s: str) -> str | None:
-        """The longest run of the groups of digits that is valid is replaced, the first of equal ones."""
+        """One run of digits, or groups as they are printed; what follows is looked at again."""
         groups = re.split(r"([ -])", s)
-        runs = sorted(((i, j) for i in range(0, len(groups), 2) for j in range(i + 1, len(groups) + 1, 2)), key=lambda x: x[0] - x[1])
-        for i, j in runs:
-            digits = "".join(groups[i:j:2])
-            if 13 <= len(digits) <= 19 and not luhn(digits) and digits.strip("0"):
+        sizes = tuple(map(len, groups[::2]))
+        for layout in ((sizes[0],), *LAYOUTS):
+            digits = "".join(groups[: 2 * len(layout) - 1 : 2])
+            if sizes[: len(layout)] == layout and 13 <= len(digits) <= 19 and not luhn(digits) and digits.strip("0"):
                 body = self._mixed("card", digits[:-1])
-                return "".join(groups[:i]) + _refill("".join(groups[i:j]), body + str(-luhn(body + "0") % 10), str.isdigit) + "".join(groups[j:])
+                return _refill("".join(groups[: 2 * len(layout) - 1]), body + str(-luhn(body + "0") % 10), str.isdigit)
         return None
 
     def _phone(self, s: str) -> str | None:
@@ -193,22 +195,26 @@ class Pseudonymiser:
         if not t:
             return t, found
 
-        def put(m: re.Match) -> str:
+        out, at, done = [], 0, 0
+        while m := PATTERN.search(t, at):
             kind, s = m.lastgroup, m.group()
-            if kind not in self.kinds:
-                return s
-            fresh = self.memo.get((kind, s), "")
-            if fresh == "":
-                fresh = getattr(self, f"_{kind}")(s)
-                if len(self.memo) > 50_000:
-                    self.memo.clear()
-                self.memo[kind, s] = fresh
-            if fresh is None:
-                return s
+            fresh = self._fresh(kind, s) if kind in self.kinds else None
+            if fresh is None:  # what follows the first run of letters or digits may be valid on its own
+                at = RUN.search(t, m.start()).end()
+                continue
             found[kind] = found.get(kind, 0) + 1
-            return fresh
+            out += [t[done : m.start()], fresh]
+            at = done = m.start() + len(fresh)
+        return "".join([*out, t[done:]]) if out else t, found
 
-        return PATTERN.sub(put, t), found
+    def _fresh(self, kind: str, s: str) -> str | None:
+        fresh = self.memo.get((kind, s), "")
+        if fresh == "":
+            fresh = getattr(self, f"_{kind}")(s)
+            if len(self.memo) > 50_000:
+                self.memo.clear()
+            self.memo[kind, s] = fresh
+        return fresh
 
 
 def pseudonymised(df: DataFrame, key: bytes, text_col: str = "text", found_col: str = "found", kinds: tuple[str, ...] = KINDS, restore: bool = False) -> DataFrame:
@@ -223,7 +229,7 @@ def pseudonymised(df: DataFrame, key: bytes, text_col: str = "text", found_col:
         own = Pseudonymiser(key, kinds, -1 if restore else 1)
 
         def run(texts):
-            out = [own.text(t) if t is None or t.find("@") >= 0 or DIGIT(t) else (t, {}) for t in texts]
+            out = [own.text(t) if t is None or t.find("@") >= 0 or DIGIT.search(t) else (t, {}) for t in texts]
             return [[t for t, _ in out], [[(k, n) for k, n in f.items()] for _, f in out]]
 
         return run
@@ -231,7 +237,7 @@ def pseudonymised(df: DataFrame, key: bytes, text_col: str = "text", found_col:
     return map_texts(df, text_col, [field(text_col, "string"), field(found_col, "map<string,bigint>")], make)
 
 
-DIGIT = re.compile(r"\d").search
+RUN, DIGIT = re.compile(r"[^\W_]+|.", re.S), re.compile(r"\d")
 
 
 def counts(df: DataFrame, found_col: str = "found") -> list:
