@@ -98,9 +98,16 @@ class Model:
             best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
         return best
 
-    def calibrate(self, docs: list[tuple[list[bytes], int]]) -> None:
-        clean = [w for w, y in docs if not y and w]
-        each = np.array([self.token(w) for words in clean for w in words]) if clean else np.zeros(0)
+    def calibrate(self, docs: list[tuple[str, int]]) -> None:
+        """The law of clean texts, and the curve from evidence to probability, from texts and labels."""
+        found, sizes, each = [], [], [np.zeros(0, np.float32)]
+        for text, label in docs:
+            words = tokens(text)
+            found.append(self.found(words))
+            sizes.append(len(words))
+            if not label:
+                each.append(np.array([self.token(w) for w in words], np.float32))
+        each = np.concatenate(each).astype(np.float64)
         if (each > 0).any() and each.mean() < 0:
             low, high = 1e-6, 1.0
             while np.exp(high * each).mean() < 1 and high < 64:
@@ -109,10 +116,10 @@ class Model:
                 mid = (low + high) / 2
                 low, high = (mid, high) if np.exp(np.minimum(mid * each, 700)).mean() < 1 else (low, mid)
             self.rate = low
-        tops = [(max((s for *_, s in self.found(w)), default=0.0), len(w)) for w in clean]
+        tops = [(max((s for *_, s in f), default=0.0), n) for f, n, (_, y) in zip(found, sizes, docs, strict=True) if n and not y]
         waits = [n * math.exp(-self.rate * s) for s, n in tops]
         self.k = 1 / max(1.0, float(np.mean(waits))) if waits else 1.0
-        x = np.array([self.evidence(self.found(w), len(w)) for w, _ in docs])
+        x = np.array([self.evidence(f, n) for f, n in zip(found, sizes, strict=True)])
         y = np.array([float(y) for _, y in docs])
         x = np.log1p(x)
         a, b = 1.0, -2.0
@@ -162,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     rows = told.orderBy(F.abs("z").desc(), "w").limit(MAX_TOKENS).collect()
     model = Model({bytes(w): (d, s) for w, d, s in rows})
     pairs = both.select("_text", "_label").toArrow()
-    model.calibrate([(tokens(t), y) for t, y in zip(pairs.column(0).to_pylist(), pairs.column(1).to_pylist(), strict=True)])
+    model.calibrate([(t, y) for t, y in zip(pairs.column(0).to_pylist(), pairs.column(1).to_pylist(), strict=True)])
     model.memo.clear()
     return model
 
