@@ -1,8 +1 @@
 """Training-data operators. Nothing outside this subpackage imports it."""
-
-from pyspark import cloudpickle
-
-import stratamill
-
-# Functions of the library travel to the executors by value, so a cluster needs no copy of it.
-cloudpickle.register_pickle_by_value(stratamill)
