@@ -143,10 +143,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 def score(df: DataFrame, model: Attention, text_col: str = "text", score_col: str = "score", attention_col: str = "attention") -> DataFrame:
     """df with each whole text's probability of label 1, 0 to 1, and the attention on its passages of 64 words.
     Null and empty texts are scored as one empty passage. Columns of these names give way."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # what is broadcast holds no class of this library, which executors may not have
+    shared = df.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.w))
 
     def make():
-        own = shared.value
+        own = Attention()
+        own.mean, own.scale, own.w = shared.value
 
         def run(texts):
             scores, weights, cuts = [np.zeros(0)], [np.zeros(0)], [np.zeros(1, np.int64)]

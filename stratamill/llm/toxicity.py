@@ -177,10 +177,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", passages_col: str = "passages") -> DataFrame:
     """df with each whole text's probability of being toxic, 0 to 1, and its significant passages: first and last
     token and score. Null and empty texts have no passage and the lowest score. Columns of these names give way."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # what is broadcast holds no class of this library, which executors may not have
+    shared = df.sparkSession.sparkContext.broadcast((model.odds, model.rate, model.k, model.slope, model.shift))
 
     def make():
-        own = shared.value
+        own = Model(shared.value[0])
+        own.rate, own.k, own.slope, own.shift = shared.value[1:]
 
         def run(texts):
             found = [own.score(tokens(t)) for t in texts]
