@@ -9,7 +9,7 @@ Candidates are verified on full sets. Members of a table's bucket are first comp
 joins groups of copies in linear work. Where that leaves a bucket's members in different components, all sets of
 these components are joined exactly: sets of similarity s share one of their rarest ``(1 - s) n + 1`` shingles, so
 sets of different components that share such a shingle form clusters, which are compared in blocks, each pair of blocks
-once and by sparse columns, without giving out the pairs.
+once and from lists of the sets that have each shingle, without giving out the pairs.
 """
 
 from __future__ import annotations
@@ -209,30 +209,25 @@ def _rest(sets: DataFrame, percent: int) -> DataFrame:
         sets_ = [unpacked(b) for b in table.column("set").to_pylist()]
         cls, comp, own = (table.column(c).to_numpy() for c in ("cls", "comp", "own"))
         n = np.array([len(s) for s in sets_])
-        keys, column = np.unique(np.concatenate(sets_), return_inverse=True)
-        row = np.repeat(np.arange(len(sets_)), n)
-        shared_keys = np.bincount(column) > 1
-        rank = np.cumsum(shared_keys) - 1
-        ok = shared_keys[column]
-        column, row = rank[column[ok]], row[ok]
-        by = np.argsort(column, kind="stable")
-        column, row = column[by], row[by]
+        _, column = np.unique(np.concatenate(sets_), return_inverse=True)
         # within a block all pairs, of two blocks those across
         one = np.flatnonzero(own == own.min())
         two = one if own.min() == own.max() else np.flatnonzero(own != own.min())
-        both = np.zeros((len(one), len(two)), np.float32)
-        for low in range(0, int(shared_keys.sum()), 1024):
-            x, y = np.searchsorted(column, [low, low + 1024])
-            m = np.zeros((len(sets_), 1024), np.float32)
-            m[row[x:y], column[x:y] - low] = 1
-            other = m[two].T
-            for k in range(0, len(one), 256):
-                both[k : k + 256] += m[one[k : k + 256]] @ other
+        place = np.full(len(sets_), -1)
+        place[two] = np.arange(len(two))
+        post = place[np.repeat(np.arange(len(sets_)), n)]
+        order = np.argsort(column, kind="stable")
+        order = order[post[order] >= 0]
+        post, many = post[order], np.bincount(column[order], minlength=column.max() + 1)
+        start, begin = np.cumsum(many) - many, np.cumsum(n) - n
         found = [np.zeros((0, 2), np.int64)]
-        for k in range(0, len(one), 256):
-            strip, these = both[k : k + 256].astype(np.int64), one[k : k + 256]
-            i, j = np.nonzero((100 * strip >= percent * (n[these][:, None] + n[two][None, :] - strip)) & (comp[these][:, None] != comp[two][None, :]))
-            found.append(np.stack([these[i], two[j]], 1))
+        for r in one:  # its overlap with all others, from the sets that have each of its shingles
+            mine = column[begin[r] : begin[r] + n[r]]
+            sizes = many[mine]
+            at = np.repeat(start[mine] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            both = np.bincount(post[at], minlength=len(two))
+            j = np.flatnonzero((100 * both >= percent * (n[r] + n[two] - both)) & (comp[two] != comp[r]))
+            found.append(np.stack([np.full(len(j), r), two[j]], 1))
         i, j = np.concatenate(found).T
         kept = np.unique(np.sort(np.stack([comp[i], comp[j]], 1), axis=1), axis=0, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
         return pa.table([pa.array(cls[i[kept]]), pa.array(cls[j[kept]])], names=["a", "b"])
