@@ -49,9 +49,7 @@ def op8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 7) == 2).alias("held_out"))
     docs = docs.withColumn("train", ~F.col("held_out"))
-    trie = ppm.train(docs.where("train"))
-    scored = ppm.score(docs, trie)
-    out = ppm.unigram(scored, "train", more=("held_out", "score"))
+    out = ppm.unigram(docs, "train", more=("held_out",), order=ppm.ORDER)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
