@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic is under TOXIC; null and empty texts stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2))
     scored = toxicity.score(docs, model, score_col="_toxic", passages_col="_passages")
-    return scored.where(F.col("_toxic") < TOXIC).select(docs.columns)
+    return scored.where((F.col("_toxic") < TOXIC) | (F.coalesce("text", F.lit("")) == "")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

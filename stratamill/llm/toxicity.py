@@ -27,6 +27,8 @@ MAX_TOKENS = 50_000
 LEAST_PRIOR, PRIOR = 0.5, 500.0
 LEAST_Z, LEAST_DOCS = 4.0, 4
 BACKGROUND = -0.2
+#: Log-odds of all texts under a model that has learned of no toxic or no clean text.
+UNKNOWN = -30.0
 BEGINNINGS = range(4, 11)
 FOLD = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -142,7 +144,8 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Model:
     """The model of labelled documents; of two labels for one id the larger counts, null ids, labels and texts take
-    no part, and equal texts count once. Without documents of both labels all score alike."""
+    no part, and equal texts count once. Without documents of both labels, or tokens that tell them apart, nothing is
+    known to be toxic, and all have the lowest score."""
     clean = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
     sample = drawn(clean, id_col, max_docs)  # about max_docs rows of two numbers
     both = docs.select(id_col, F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(sample), id_col)
@@ -160,13 +163,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     counted = both.select("_text", F.least("_label", F.lit(1))).mapInArrow(count, "w binary, c long, t long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     totals = counted.agg(F.sum("c"), F.sum("t")).first()
     nc, nt = totals[0] or 0, totals[1] or 0
+    unknown = Model({})
+    unknown.shift = UNKNOWN
     if not nc or not nt:
-        return Model({})
+        return unknown
     prior = LEAST_PRIOR + F.lit(PRIOR) * (F.col("c") + F.col("t")) / (nc + nt)
     odds = F.log((F.col("t") + prior) / (nt + PRIOR - F.col("t") + prior)) - F.log((F.col("c") + prior) / (nc + PRIOR - F.col("c") + prior))
     z = odds / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
     told = counted.where(F.col("c") + F.col("t") >= LEAST_DOCS).select("w", odds.alias("d"), z.alias("z")).where(F.abs("z") >= LEAST_Z)
     rows = told.orderBy(F.abs("z").desc(), "w").limit(MAX_TOKENS).collect()
+    if not rows:
+        return unknown
     model = Model({bytes(w): (d, s) for w, d, s in rows})
     pairs = both.select("_text", "_label").toArrow()
     model.calibrate([(t, y) for t, y in zip(pairs.column(0).to_pylist(), pairs.column(1).to_pylist(), strict=True)])
