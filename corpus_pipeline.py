@@ -17,10 +17,14 @@ from stratamill.llm.queries import KEY, vocabulary
 TOXIC = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not among those; null is an id like others."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(checkpointed(gone)), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of 64 bits for doc_id and text, as ids can be null or repeat; nulls count like values."""
+    return docs.withColumn("_key", F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text"))
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is not among those."""
+    return keyed.join(small(checkpointed(keys.select("_key").distinct())), "_key", "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,16 +35,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of near-duplicates; of rows of one id and text one stays."""
-    found = checkpointed(near_dedup.near_duplicates(docs))
-    out = _without(docs, found.where("not kept"))
-    rows, different = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    return out if rows == different else out.dropDuplicates(["doc_id", "text"])
+    """One row of each component of near-duplicates, that of the smallest id, null last; of rows of one id and text
+    one stays."""
+    keyed = _keyed(docs)
+    found = near_dedup.near_duplicates(keyed.select("_key", "text"), id_col="_key").where("n_shingles > 0")
+    found = checkpointed(found.select("_key", "component_id").distinct())
+    shared = found.where("_key != component_id").select("component_id").distinct()
+    members = small(checkpointed(found.join(shared, "component_id", "left_semi")))
+    named = checkpointed(keyed.select("_key", "doc_id").join(members, "_key").distinct())
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "_key")).alias("x"))
+    out = _without(keyed, named.join(first, "component_id").where(F.col("_key") != F.col("x._key")))
+    twice = checkpointed(keyed.groupBy("_key").count().where("count > 1").select("_key"))
+    if not twice.isEmpty():
+        equal = out.join(small(twice), "_key", "left_semi").dropDuplicates(["_key"])
+        out = out.join(small(twice), "_key", "left_anti").unionByName(equal)
+    return out.select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window that matches a benchmark item."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    leaks = decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
+    return _without(keyed, leaks).select(docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,49 @@ def test_labels_of_less_than_two_classes(spark, tmp_path, labels):
     at, df = stored(spark, tmp_path, docs, given)
     assert rows_of(corpus_pipeline.drop_toxic(spark, df, at)) == sorted(docs, key=repr)
     assert [r.predicted for r in QUERIES["op8_segments"](spark, at).collect()] == [0] * len(docs)
+
+
+def similar(a, b, n=5):
+    """Whether texts are copies by the definition: five-word runs, 75 hundredths of their union in common."""
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
+    both = len(sets[0] & sets[1])
+    return bool(both) and 100 * both >= 75 * len(sets[0] | sets[1])
+
+
+def one_of_each(rows):
+    """For each component of copies its row of smallest id, null last; other rows once for an id and text."""
+    rows, left, out = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, str(r[1]))), [], []
+    left = list(rows)
+    while left:
+        group, at = [left.pop(0)], 0
+        while at < len(group):
+            more = [r for r in left if similar(group[at][1], r[1])]
+            left = [r for r in left if r not in more]
+            group, at = group + more, at + 1
+        out.append(group)
+    return out
+
+
+A, B, C, D = (prose(60) for _ in range(4))
+ITEM = prose(20)
+#: ids that are null or repeat, with texts that differ, are near or are equal.
+MIXED = [(7, A, "x"), (9, A + " end", "x"), (7, B, "x"), (3, B + " end", "x"), (None, C, "x"), (None, C, "x"), (None, C + " end", "x"), (None, D, "x"), (None, prose(50), "x"), (5, prose(50), "x"), (5, prose(50), "x"), (6, None, "x"), (None, None, "x"), (8, "", "x"), (None, "", "x"), (11, D, "x"), (11, D, "x"), (1, "two words", "x")]
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    at, df = stored(spark, tmp_path, MIXED)
+    kept = rows_of(corpus_pipeline.drop_near_duplicates(spark, df, at))
+    groups = one_of_each(MIXED)
+    assert len(kept) == len(groups) and len(set(kept)) == len(kept)
+    for group in groups:
+        found = [r for r in kept if r in group]
+        assert len(found) == 1 and found[0][0] == group[0][0]
+
+
+def test_only_rows_with_leaks_go(spark, tmp_path):
+    leaks = [(None, "before " + ITEM + " after", "x"), (7, ITEM.upper(), "x"), (20, ITEM, "x"), (20, ITEM, "x")]
+    at, df = stored(spark, tmp_path, MIXED + leaks, items=[(1, ITEM), (2, None), (3, "too short")])
+    assert rows_of(corpus_pipeline.drop_leaks(spark, df, at)) == sorted(MIXED, key=repr)
