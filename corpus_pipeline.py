@@ -13,9 +13,6 @@ from stratamill.llm import bpe, decontaminate, near_dedup, pseudonyms, toxicity
 from stratamill.llm._shared import checkpointed, crc_mod, small, table
 from stratamill.llm.queries import KEY, vocabulary
 
-#: A document goes if it is toxic with at least this probability.
-TOXIC = 0.5
-
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with a key of 64 bits for doc_id and text, as ids can be null or repeat; nulls count like values."""
@@ -28,10 +25,10 @@ def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is under TOXIC; null and empty texts stay."""
+    """Documents that op8_segments does not predict to be toxic; null and empty texts stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2))
     scored = toxicity.score(docs, model, score_col="_toxic", passages_col="_passages")
-    return scored.where((F.col("_toxic") < TOXIC) | (F.coalesce("text", F.lit("")) == "")).select(docs.columns)
+    return scored.where((F.col("_toxic") < toxicity.TOXIC) | (F.coalesce("text", F.lit("")) == "")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def op8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 4) == 2
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
     out = toxicity.score(docs, model)
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ MAX_TOKENS = 50_000
 LEAST_PRIOR, PRIOR = 0.5, 500.0
 LEAST_Z, LEAST_DOCS = 4.0, 4
 BACKGROUND = -0.2
+#: A document counts as toxic if it is with at least this probability.
+TOXIC = 0.3
 #: Log-odds of all texts under a model that has learned of no toxic or no clean text.
 UNKNOWN = -30.0
 BEGINNINGS = range(4, 11)

@@ -82,3 +82,12 @@ def test_only_rows_with_leaks_go(spark, tmp_path):
     leaks = [(None, "before " + ITEM + " after", "x"), (7, ITEM.upper(), "x"), (20, ITEM, "x"), (20, ITEM, "x")]
     at, df = stored(spark, tmp_path, MIXED + leaks, items=[(1, ITEM), (2, None), (3, "too short")])
     assert rows_of(corpus_pipeline.drop_leaks(spark, df, at)) == sorted(MIXED, key=repr)
+
+
+def test_stage_rejects_what_op8_predicts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda *_, **__: None)
+    by_id = lambda df, model, text_col="text", score_col="score", passages_col="passages": df.withColumn(score_col, F.col("doc_id") / 100)
+    monkeypatch.setattr(toxicity, "score", by_id)
+    at, df = stored(spark, tmp_path, [(i, f"text {i}", "x") for i in range(101)])
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, df, at).collect()}
+    assert kept == {r.doc_id for r in QUERIES["op8_segments"](spark, at).collect() if r.predicted == 0} == set(range(30))
