@@ -12,13 +12,14 @@ segments, is the evidence that a logistic curve turns into a probability.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm._shared import drawn, field, map_texts
+from stratamill.llm._shared import checkpointed, drawn, field, map_texts
 
 #: At most about this many labelled documents are learned from, drawn by a hash of their id.
 TRAIN_DOCS = 10_000
@@ -102,29 +103,24 @@ class Model:
             best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
         return best
 
-    def calibrate(self, docs: list[tuple[str, int]]) -> None:
-        """The law of clean texts, and the curve from evidence to probability, from texts and labels."""
-        found, sizes, each = [], [], [np.zeros(0, np.float32)]
-        for text, label in docs:
-            words = tokens(text)
-            found.append(self.found(words))
-            sizes.append(len(words))
-            if not label:
-                each.append(np.array([self.token(w) for w in words], np.float32))
-        each = np.concatenate(each).astype(np.float64)
-        if (each > 0).any() and each.mean() < 0:
+    def law(self, values: np.ndarray, times: np.ndarray, tops: list[tuple[float, int]]) -> None:
+        """The law of clean texts, from the different scores of their tokens, how often these occur, and of each text
+        its best segment's score and its number of tokens."""
+        each, of = values, times / max(1, times.sum())
+        mean = lambda x: float((x * of).sum())
+        if (each > 0).any() and mean(each) < 0:
             low, high = 1e-6, 1.0
-            while np.exp(high * each).mean() < 1 and high < 64:
+            while mean(np.exp(high * each)) < 1 and high < 64:
                 high *= 2
             for _ in range(60):
                 mid = (low + high) / 2
-                low, high = (mid, high) if np.exp(np.minimum(mid * each, 700)).mean() < 1 else (low, mid)
+                low, high = (mid, high) if mean(np.exp(np.minimum(mid * each, 700))) < 1 else (low, mid)
             self.rate = low
-        tops = [(max((s for *_, s in f), default=0.0), n) for f, n, (_, y) in zip(found, sizes, docs, strict=True) if n and not y]
-        waits = [n * math.exp(-self.rate * s) for s, n in tops]
+        waits = [n * math.exp(-self.rate * s) for s, n in tops if n]
         self.k = 1 / max(1.0, float(np.mean(waits))) if waits else 1.0
-        x = np.array([self.evidence(f, n) for f, n in zip(found, sizes, strict=True)])
-        y = np.array([float(y) for _, y in docs])
+
+    def curve(self, x: np.ndarray, y: np.ndarray) -> None:
+        """The curve from evidence to probability, from texts' evidence and labels."""
         x = np.log1p(x)
         a, b = 1.0, -2.0
         for _ in range(50):  # Newton's steps with a little ridge
@@ -144,6 +140,42 @@ class Model:
         return 1 / (1 + math.exp(-(self.slope * x + self.shift))), sure
 
 
+def _calibrate(model: Model, both: DataFrame) -> None:
+    """Fits the model's law and curve to texts and labels. Texts are read where they are; what is gathered is a few
+    numbers a text, and the tokens' different scores, which are no more than the model has tokens."""
+    context = both.sparkSession.sparkContext
+    odds = context.broadcast(model.odds)
+
+    def measure(batches):
+        own, times = Model(odds.value), Counter()
+        for batch in batches:
+            tops, sizes = [], []
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = [] if y else tokens(t)
+                tops.append(max((s for *_, s in own.found(words)), default=0.0))
+                sizes.append(len(words))
+                times.update(map(own.token, words))
+            none = pa.nulls(len(tops), pa.float32())
+            yield pa.RecordBatch.from_arrays([none, pa.array(sizes, pa.int64()), pa.array(tops, pa.float64())], names=["score", "n", "top"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.float32()), pa.array(list(times.values()), pa.int64()), pa.nulls(len(times), pa.float64())], names=["score", "n", "top"])
+
+    measured = checkpointed(both.mapInArrow(measure, "score float, n long, top double"))
+    told = measured.where("score is not null").groupBy("score").agg(F.sum("n").alias("n")).orderBy("score").toArrow()
+    tops = measured.where("score is null").select("top", "n").orderBy("top", "n").collect()
+    model.law(told.column("score").to_numpy().astype(np.float64), told.column("n").to_numpy(), [tuple(r) for r in tops])
+    law = context.broadcast((model.rate, model.k))
+
+    def weigh(batches):
+        own = Model(odds.value)
+        own.rate, own.k = law.value
+        for batch in batches:
+            words = (tokens(t) for t in batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([own.evidence(own.found(w), len(w)) for w in words], pa.float64()), batch.column(1)], names=["x", "y"])
+
+    pairs = both.mapInArrow(weigh, "x double, y int").orderBy("x", "y").toArrow()
+    model.curve(pairs.column("x").to_numpy(), pairs.column("y").to_numpy().astype(np.float64))
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Model:
     """The model of labelled documents; of two labels for one id the larger counts, null ids, labels and texts take
     no part, and equal texts count once. Without documents of both labels, or tokens that tell them apart, nothing is
@@ -177,9 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     if not rows:
         return unknown
     model = Model({bytes(w): (d, s) for w, d, s in rows})
-    pairs = both.select("_text", "_label").toArrow()
-    model.calibrate([(t, y) for t, y in zip(pairs.column(0).to_pylist(), pairs.column(1).to_pylist(), strict=True)])
-    model.memo.clear()
+    _calibrate(model, both.select("_text", F.least("_label", F.lit(1)).alias("_label")))
     return model
 
 

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 
+from stratamill.llm import toxicity
 from stratamill.llm.queries import QUERIES
 
 
@@ -46,3 +47,30 @@ def test_ppm_keeps_all_edges(spark, tmp_path):
     for r in found:
         if None not in texts[r.doc_id]:
             assert any(abs(r.score - s) < 1e-6 for s in texts[r.doc_id])
+
+
+def test_toxicity_gathers_no_texts(spark, monkeypatch):
+    """Training sends no texts to the driver, and calibrates as one process with all texts does."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(150)) + (" vilescum" * 4 if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    sent, kinds = [], []
+    for name in ("toArrow", "collect"):
+        plain = getattr(type(df), name)
+
+        def told(self, *args, plain=plain, **kwargs):
+            kinds.extend(k for _, k in self.dtypes)
+            sent.append(plain(self, *args, **kwargs))
+            return sent[-1]
+
+        monkeypatch.setattr(type(df), name, told)
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert sent and "string" not in kinds and not any("array" in k for k in kinds)
+    found = [(model.found(toxicity.tokens(t)), len(toxicity.tokens(t)), y) for _, t, y in rows]
+    each = [model.token(w) for _, t, y in rows if not y for w in toxicity.tokens(t)]
+    assert abs(sum(math.exp(model.rate * s) for s in each) / len(each) - 1) < 1e-4 or not any(s > 0 for s in each)
+    waits = [n * math.exp(-model.rate * max((s for *_, s in f), default=0.0)) for f, n, y in found if not y]
+    assert abs(model.k - 1 / max(1.0, sum(waits) / len(waits))) < 1e-9
+    probabilities = [model.score(toxicity.tokens(t))[0] for _, t, _ in rows]
+    assert abs(sum(probabilities) - sum(y for *_, y in rows)) < 0.5
