@@ -75,7 +75,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encode),
 ]
 
-#: SQL can't express the models, pseudonyms and token ids; tests hold the stages against plain versions.
+#: SQL can't express the models, pseudonyms and token ids; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -91,3 +91,29 @@ def test_stage_rejects_what_op8_predicts(spark, tmp_path, monkeypatch):
     at, df = stored(spark, tmp_path, [(i, f"text {i}", "x") for i in range(101)])
     kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, df, at).collect()}
     assert kept == {r.doc_id for r in QUERIES["op8_segments"](spark, at).collect() if r.predicted == 0} == set(range(30))
+
+
+def test_run(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from stratamill.llm.queries import vocabulary
+
+    docs = [*MIXED, (30, "before " + ITEM, "x"), (None, ITEM, "x"), (31, "mail to a.b7@x.org now", "x")]
+    at, _ = stored(spark, tmp_path, docs, items=[(1, ITEM)])
+    out = corpus_pipeline.run(spark, at).collect()
+    expected = [g[0] for g in one_of_each(docs) if ITEM not in (g[0][1] or "")]
+    assert sorted(map(repr, (r.doc_id for r in out))) == sorted(repr(r[0]) for r in expected)
+    whole = Tokenizer.from_file(vocabulary())
+    for r in out:
+        ids = whole.encode(r.text or "", add_special_tokens=False).ids
+        assert r.ids == ids and r.n_tokens == len(ids)
+        assert len(r.text or "") in {len(t or "") for i, t, _ in docs if i == r.doc_id}
+        if r.doc_id == 31:
+            assert "a.b7@x.org" not in r.text
+        else:
+            assert any(i == r.doc_id and similar(t, r.text) or t == r.text for i, t, _ in docs)
+
+
+def test_run_of_nothing(spark, tmp_path):
+    at, _ = stored(spark, tmp_path)
+    assert corpus_pipeline.run(spark, at).count() == 0
