@@ -1,8 +1,9 @@
 """Hashes of runs of words, for many texts at once, and their exchange between chunks of documents.
 
 Texts are cut into words at ASCII white space and laid out in one byte buffer, a space between words and a line
-feed after each text. A run of words is then a run of bytes, and prefix sums of a polynomial over the bytes give
-the hash of any run by one subtraction and one product.
+feed after each text. Each word's bytes are hashed, eight at a time, and the hash of a run is made of the hashes of its
+halves, as in a tree. Every step scrambles 64 bits in a way that is not linear, so runs of the same few words collide no
+more often than any others do.
 
 To compare what whole corpora hold, documents are dealt into chunks of bounded size. Each chunk sends its distinct
 hashes, sorted, as one binary per bucket of the hash range; a bucket compares the chunks and answers to each. A key
@@ -11,6 +12,8 @@ that is everywhere is sent once by a chunk, so no bucket gathers all rows of a h
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,32 +33,49 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Polynomial:
-    """Hashes of byte runs: sums of a random value per byte times powers of an odd base, modulo 2**64."""
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of runs from those of their two parts, in order."""
+    return mixed(mixed(left + _MIX) * np.uint64(0xD6E8FEB86659FD93) + right)
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """For each place the hash of the n words from there, from the hashes of single words."""
+    out, at, power, size = None, 0, words, 1
+    while True:
+        if n & size:
+            out = power if out is None else joined(out[: max(0, len(words) - at - size + 1)], power[at:])
+            at += size
+        if 2 * size > n:
+            return out
+        power, size = joined(power[:-size], power[size:]), 2 * size
 
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.values = rng.integers(1, 2**63, 256, dtype=np.uint64)
-        self.base = int(rng.integers(1, 2**62)) * 8 + 5
-        self.powers = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = max(n, 2 * len(self.powers))
-            steps = np.full(size, self.base % 2**64, np.uint64)
-            steps[0] = 1
-            self.powers = np.multiply.accumulate(steps)
-            steps[1:] = pow(self.base, -1, 2**64)
-            self.inverse = np.multiply.accumulate(steps)
+#: Bytes of words that are hashed in arrays; longer ones are hashed one by one.
+LONG_WORD = 64
+_MASKS = np.array([2 ** (8 * i) - 1 for i in range(9)], np.uint64)
 
-    def prefix(self, buffer: np.ndarray) -> np.ndarray:
-        self._grow(len(buffer) + 1)
-        out = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(self.values[buffer] * self.powers[: len(buffer)], out=out[1:])
-        return out
 
-    def runs(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((prefix[end] - prefix[start]) * self.inverse[start])
+def word_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of the bytes of each word."""
+    pad = np.zeros(len(buffer) + 16 + -len(buffer) % 8, np.uint8)
+    pad[: len(buffer)] = buffer
+    eights = pad.view("<u8")
+
+    def bytes_at(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        by = ((at & 7) << 3).astype(np.uint64)
+        i = at >> 3
+        return ((eights[i] >> by) | ((eights[i + 1] << (np.uint64(63) - by)) << np.uint64(1))) & _MASKS[np.minimum(size, 8)]
+
+    size = end - start
+    h = mixed(bytes_at(start, size) + mixed(size.astype(np.uint64) * _MIX + np.uint64(seed)))
+    for k in range(8, LONG_WORD, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        h[more] = joined(h[more], bytes_at(start[more] + k, size[more] - k))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buffer[start[i] : end[i]].tobytes(), digest_size=8, salt=b"%d" % seed).digest(), "little")
+    return h
 
 
 class WordBuffer:
@@ -95,6 +115,9 @@ class WordBuffer:
         """Indexes of words that begin a run of that many words inside their text."""
         return np.flatnonzero(self.place + words <= self.counts[self.text_of])
 
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return word_hashes(self.buffer, self.start, self.end, seed)
+
     def bytes_of(self, i: int) -> bytes:
         return self.buffer[self.text_start[i] : self.text_start[i + 1] - 1].tobytes()
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm._grams import Polynomial, WordBuffer, byte_slices, dealt, gathered, mixed
+from stratamill.llm._grams import WordBuffer, byte_slices, dealt, gathered, joined, mixed, run_hashes
 from stratamill.llm._shared import checkpointed, drawn, small
 from stratamill.llm.components import components
 
@@ -38,16 +38,21 @@ def shingle_sets(texts: list[str | None], words: int):
 
     A text of fewer words than a shingle has its whole sequence as one; a text without words has none.
     """
-    poly = Polynomial(31)
     for a, b in byte_slices(texts):
         w = WordBuffer(texts[a:b], lower=True)
         if not len(w.start):
             yield a, b, np.zeros(b - a, np.int64), np.zeros(0, np.uint64)
             continue
-        short = np.minimum(w.counts, words)[w.text_of]
-        at = np.flatnonzero(w.place + short <= w.counts[w.text_of])
-        keys = poly.runs(poly.prefix(w.buffer), w.start[at], w.end[at + short[at] - 1]) >> np.uint64(64 - 8 * KEY_BYTES)
-        of = w.text_of[at]
+        h, at = w.hashes(31), w.windows(words)
+        keys, of = [run_hashes(h, words)[at] if len(at) else np.zeros(0, np.uint64)], [w.text_of[at]]
+        for n in range(1, words):  # texts of n words
+            short = np.flatnonzero(w.counts == n)
+            whole = h[w.first[short]]
+            for j in range(1, n):
+                whole = joined(whole, h[w.first[short] + j])
+            keys.append(whole)
+            of.append(short)
+        keys, of = np.concatenate(keys) >> np.uint64(64 - 8 * KEY_BYTES), np.concatenate(of)
         order = np.lexsort((keys, of))
         keys, of = keys[order], of[order]
         new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm._grams import CHUNK_BYTES, Polynomial, WordBuffer, answers, byte_slices, chunked, dealt, gathered, mixed
+from stratamill.llm._grams import CHUNK_BYTES, WordBuffer, answers, byte_slices, chunked, dealt, gathered, mixed
 from stratamill.llm._shared import checkpointed, field, map_texts
 
 ORDER = 4
@@ -264,11 +264,10 @@ def unigram(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
     docs, n = chunked(df, id_col, text_col, chunk_bytes, (train_col, *more))
 
     def words_of(table):
-        texts, poly = table.column("text").to_pylist(), Polynomial(21)
+        texts = table.column("text").to_pylist()
         for a, b in byte_slices(texts):
             w = WordBuffer(texts[a:b], lower=True)
-            keys = poly.runs(poly.prefix(w.buffer), w.start, w.end) if len(w.start) else np.zeros(0, np.uint64)
-            yield a, b, w, keys
+            yield a, b, w, w.hashes(21)
 
     def send(table):
         trains = table.column(train_col).fill_null(False).to_numpy(zero_copy_only=False)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm._grams import Polynomial, WordBuffer, byte_slices
+from stratamill.llm._grams import WordBuffer, byte_slices
 from stratamill.llm._shared import drawn, field, map_texts
 
 #: At most about this many labelled documents are learned from, drawn by a hash of their id.
@@ -28,7 +28,6 @@ def passages(texts: list[str | None]):
 
     A text without words has one passage, all zeros.
     """
-    poly = Polynomial(41)
     classes = np.full(256, len(CLASSES), np.uint8)
     for i, c in enumerate(CLASSES):
         classes[[ord(x) for x in c]] = i
@@ -51,7 +50,7 @@ def passages(texts: list[str | None]):
                 x[rows, i] = (sums[end] - sums[start] - (n - 1) * (i == len(CLASSES))) / letters
             length = (w.end - w.start).astype(np.float64)
             mean = np.add.reduceat(length, heads) / n
-            keys = poly.runs(poly.prefix(w.buffer), w.start, w.end)
+            keys = w.hashes()
             again = np.concatenate([[False], (keys[1:] == keys[:-1]) & (of[1:] == of[:-1])])
             order = np.lexsort((keys, w.text_of))
             k, t, o = keys[order], w.text_of[order], of[order]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm._grams import CHUNK_BYTES, Polynomial, WordBuffer, answers, byte_slices, chunked, dealt, gathered
+from stratamill.llm._grams import CHUNK_BYTES, WordBuffer, answers, byte_slices, chunked, dealt, gathered, run_hashes
 
 #: Perfect difference sets, by modulus.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -25,18 +25,17 @@ def cover_for(words: int) -> int:
 
 
 class _Anchors:
-    def __init__(self, texts: list[str | None], words: int, period: int, one: Polynomial, two: Polynomial):
+    def __init__(self, texts: list[str | None], words: int, period: int):
         self.words, self.period = words, period
         self.w = w = WordBuffer(texts)
-        self.one, self.two = one, two
-        self.prefix = one.prefix(w.buffer)
+        self.hashes = w.hashes(11)
         length = words - period + 1
         # texts that are too short for a window have no anchors
         at = w.windows(length)
         on = np.zeros(period, bool)
         on[list(COVERS[period])] = True
         self.at = at[on[w.place[at] % period] & (w.counts[w.text_of[at]] >= words)]
-        self.keys = one.runs(self.prefix, w.start[self.at], w.end[self.at + length - 1])
+        self.keys = run_hashes(self.hashes, length)[self.at] if len(self.at) else np.zeros(0, np.uint64)
 
     def candidates(self, repeated: np.ndarray) -> np.ndarray:
         """Windows with an anchor that is marked as repeated."""
@@ -47,17 +46,17 @@ class _Anchors:
         return windows[sums[windows + self.period] > sums[windows]]
 
     def window_keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        end = self.w.end[at + self.words - 1]
-        start = self.w.start[at]
-        return self.one.runs(self.prefix, start, end), (self.two.runs(self.two.prefix(self.w.buffer), start, end) >> np.uint64(32)).astype(np.uint32)
+        """Of windows a hash, and a check that is made from other hashes of their words."""
+        if not len(at):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        return run_hashes(self.hashes, self.words)[at], (run_hashes(self.w.hashes(12), self.words)[at] >> np.uint64(32)).astype(np.uint32)
 
 
 def _sliced(table: pa.Table, words: int, period: int):
     """Ids, and anchors by slice, of a chunk."""
     ids = table.column("id").fill_null(-(2**63)).to_numpy()
     texts = table.column("text").to_pylist()
-    one, two = Polynomial(11), Polynomial(12)
-    return ids, texts, (lambda: ((a, b, _Anchors(texts[a:b], words, period, one, two)) for a, b in byte_slices(texts)))
+    return ids, texts, (lambda: ((a, b, _Anchors(texts[a:b], words, period)) for a, b in byte_slices(texts)))
 
 
 def _unique_all(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +95,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A word goes if it lies in a window of ``words`` words whose sequence also starts earlier: in a document of
     smaller id, or earlier in the same. All windows of the input count. Null and empty texts have no words; rows of
     one id stand for one document, and the same place in them is no earlier one; null ids count as the smallest.
-    Other columns of df take no part.
+    Other columns of df take no part. Windows are told apart by 96 bits, of two hashes that are made apart.
     """
     period = cover_for(words)
     docs, n = chunked(df, id_col, text_col, chunk_bytes)

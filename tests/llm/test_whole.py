@@ -74,3 +74,29 @@ def test_toxicity_gathers_no_texts(spark, monkeypatch):
     assert abs(model.k - 1 / max(1.0, sum(waits) / len(waits))) < 1e-9
     probabilities = [model.score(toxicity.tokens(t))[0] for _, t, _ in rows]
     assert abs(sum(probabilities) - sum(y for *_, y in rows)) < 0.5
+
+
+def test_words_of_structure_are_told_apart(spark, tmp_path):
+    """A Thue-Morse word and its complement, which sums of powers modulo a power of two take for one another."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    # ids of rows that train and that don't
+    rows = [(0, word), (1, other), (2, " ".join([word] * 19 + ["end"])), (3, " ".join([other] * 19 + ["end"])), (4, " ".join(word)), (5, " ".join(other))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    removed = {r.doc_id: r.n_removed for r in QUERIES["op4_anchor_dedup"](spark, str(tmp_path)).collect()}
+    seen, expected = set(), {}
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 19):
+            if (key := tuple(w[k : k + 20])) in seen:
+                gone |= set(range(k, k + 20))
+            seen.add(key)
+        expected[i] = len(gone)
+    assert removed == expected
+    # the letters of both words have the same runs of five, so only documents 4 and 5 are copies
+    assert {r.doc_id: r.component_id for r in QUERIES["op5_tensored_minhash"](spark, str(tmp_path)).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+    found = {r.doc_id: r for r in QUERIES["op9_ppm"](spark, str(tmp_path)).collect()}
+    counts = collections.Counter(w for i, t in rows if not found[i].held_out for w in [*t.split(), None])
+    assert {i: r.n_known for i, r in found.items()} == {i: sum(counts[w] > 0 for w in [*t.split(), None]) for i, t in rows}
