@@ -8,8 +8,8 @@ collections that leaves out 2 in 10,000 pairs at s = 0.75, and fewer above.
 Candidates are verified on full sets. Members of a table's bucket are first compared with the bucket's smallest, which
 joins groups of copies in linear work. Where that leaves a bucket's members in different components, all sets of
 these components are joined exactly: sets of similarity s share one of their rarest ``(1 - s) n + 1`` shingles, so
-sets of different components that share such a shingle form clusters, which are compared in blocks, each pair of blocks
-once and from lists of the sets that have each shingle, without giving out the pairs.
+sets of different components that share such a shingle are compared, without giving out the pairs. Shingles that most
+sets of a group have are the last of their order, so what is sent for the comparison is little.
 """
 
 from __future__ import annotations
@@ -18,19 +18,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratamill.llm._grams import WordBuffer, byte_slices, dealt, gathered, joined, mixed, run_hashes
-from stratamill.llm._shared import checkpointed, drawn, small
+from stratamill.llm._grams import WordBuffer, byte_slices, joined, mixed, run_hashes
+from stratamill.llm._shared import checkpointed, small
 from stratamill.llm.components import components
 
 COLLECTIONS = 14
-#: Sets that are verified against one, and sets of a block of a cluster, in one task.
-PART, BLOCK = 256, 2048
-#: Sets from which frequent shingles are learned; that only orders shingles, and no result hangs on it.
-HOT_SETS, HOT_SHINGLES = 2000, 200_000
-KEY_BYTES = 6
+#: Sets that are verified against one in one task.
+PART = 256
+#: Bytes of the sets that one task compares with each other.
+BLOCK_BYTES = 8_000_000
 
 
 def shingle_sets(texts: list[str | None], words: int):
@@ -52,7 +51,7 @@ def shingle_sets(texts: list[str | None], words: int):
                 whole = joined(whole, h[w.first[short] + j])
             keys.append(whole)
             of.append(short)
-        keys, of = np.concatenate(keys) >> np.uint64(64 - 8 * KEY_BYTES), np.concatenate(of)
+        keys, of = np.concatenate(keys), np.concatenate(of)
         order = np.lexsort((keys, of))
         keys, of = keys[order], of[order]
         new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])
@@ -65,14 +64,8 @@ def set_hash(keys: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return mixed(np.add.reduceat(one, heads) ^ mixed(np.bitwise_xor.reduceat(two, heads) + sizes.astype(np.uint64)))
 
 
-def packed(keys: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-
-
-def unpacked(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, KEY_BYTES)
-    return out.view(np.uint64).ravel()
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
 def _signatures(words: int, collections: int, with_sets: bool):
@@ -90,15 +83,14 @@ def _signatures(words: int, collections: int, with_sets: bool):
                 if len(full):
                     cls[full] = set_hash(keys, heads, sizes[full]).view(np.int64)
                 if with_sets:
-                    raw = packed(keys)
-                    more = pa.array([raw[h : h + n].tobytes() for h, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True)], pa.binary())
+                    more = _lists(keys, sizes)
                 else:
                     sketch = np.zeros((b - a, collections), np.uint64)
                     spread = mixed(keys)
                     for c in range(collections if len(full) else 0):
                         x, y = (np.minimum.reduceat(mixed_by(spread, *odd[2 * c + i]), heads) for i in (0, 1))
                         sketch[full, c] = mixed(x ^ mixed(y + np.uint64(c)))
-                    more = pa.FixedSizeListArray.from_arrays(pa.array(sketch.ravel().view(np.int64)), collections).cast(pa.list_(pa.int64()))
+                    more = _lists(sketch.ravel(), np.full(b - a, collections))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(cls), pa.array(sizes.astype(np.int64)), more], names=["id", "cls", "n", "set" if with_sets else "sketch"])
 
     return run
@@ -110,43 +102,38 @@ def mixed_by(h: np.ndarray, odd: np.uint64, add: np.uint64) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * add
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries: each key with its smallest id, and the links of other ids to it."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    first = np.repeat(ids[heads], np.diff(np.concatenate([heads, [len(keys)]])))
-    other = ids != first
-    links = np.unique(np.stack([first[other], ids[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return keys[heads], ids[heads], links[:, 0], links[:, 1]
-
-
-def candidates(classes: DataFrame, buckets: int, collections: int = COLLECTIONS) -> DataFrame:
+def candidates(classes: DataFrame, collections: int = COLLECTIONS) -> DataFrame:
     """a, b: links of the classes of each table bucket to its smallest class, from (cls, sketch)."""
     pairs = list(combinations(range(collections), 2))
 
     def send(batches):
+        """Of each batch every key once, with its smallest class, and the links of the others to that one."""
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            sketch = batch.column(1).values.to_numpy().view(np.uint64).reshape(-1, collections)
+            sketch = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, collections)
             keys = np.concatenate([mixed(mixed(sketch[:, i] + np.uint64(i)) ^ (sketch[:, j] + np.uint64(j))) for i, j in pairs])
-            keys, first, a, b = _stars(keys, np.tile(ids, len(pairs)))
-            yield dealt(keys, buckets, 0, first)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([-1]), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["chunk", "bucket", "keys", "more0"])
-
-    def meet(key, table):
-        if key[0].as_py() < 0:
-            a, b = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("keys", "more0"))
-        else:
-            _, keys, ids = gathered(table, {"keys": np.uint64, "more0": np.int64})
-            *_, a, b = _stars(keys, ids)
-        return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    sent = classes.select("cls", "sketch").mapInArrow(send, "chunk long, bucket long, keys binary, more0 binary")
-    # links within a batch need no meeting, so they are dealt out anyhow
-    salted = sent.withColumn("salt", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("keys"), F.lit(buckets))).otherwise(0))
-    return salted.groupBy("bucket", "salt").applyInArrow(meet, "a long, b long").distinct()
+            ids = np.tile(ids, len(pairs))
+            order = np.lexsort((ids, keys))
+            keys, ids = keys[order], ids[order]
+            heads = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+            first = ids[np.flatnonzero(heads)[np.cumsum(heads) - 1]] if len(keys) else ids
+            other = ~heads & (ids != first)
+            links = np.unique(np.stack([first[other], ids[other]], 1), axis=0)
+            for cls, key, linked in ((ids[heads], keys[heads], None), (links[:, 0], mixed(links[:, 1].view(np.uint64)), links[:, 1])):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls), pa.nulls(len(cls), pa.int64()) if linked is None else pa.array(linked)], names=["key", "cls", "linked"])
+
+    sent = classes.select("cls", "sketch").mapInArrow(send, "key long, cls long, linked long")
+    # a row that is a link already needs no other, and lies wherever its key puts it
+    least = F.min(F.when(F.col("linked").isNull(), F.col("cls"))).over(Window.partitionBy("key"))
+    met = sent.select(F.when(F.col("linked").isNull(), least).otherwise(F.col("cls")).alias("a"), F.coalesce("linked", "cls").alias("b"))
+    return met.where("a != b").distinct()
+
+
+def _sets_of(table: pa.Table, column: str = "set") -> tuple[np.ndarray, np.ndarray]:
+    """All sets of a table, one after another, and where each begins, one more at the end."""
+    lists = table.column(column).combine_chunks()
+    offsets = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy(), offsets - offsets[0]
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -155,16 +142,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def verify(table):
         a = table.column("a")[0].as_py()
-        cls, raw = table.column("cls").to_pylist(), table.column("set").to_pylist()
-        x = unpacked(raw[cls.index(a)])
-        good = []
-        for c, b in zip(cls, raw, strict=True):
-            n = len(b) // KEY_BYTES
-            if c != a and 100 * min(n, len(x)) >= percent * max(n, len(x)):
-                both = len(np.intersect1d(x, unpacked(b), assume_unique=True))
-                if 100 * both >= percent * (len(x) + n - both):
-                    good.append(c)
-        return pa.table([pa.array([a] * len(good), pa.int64()), pa.array(good, pa.int64())], names=["a", "b"])
+        cls = table.column("cls").to_numpy()
+        flat, at = _sets_of(table)
+        n = np.diff(at)
+        own = np.flatnonzero(cls == a)[0]
+        both = np.add.reduceat(np.isin(flat, flat[at[own] : at[own + 1]]), at[:-1])
+        good = cls[(100 * both >= percent * (n + n[own] - both)) & (cls != a)]
+        return pa.table([pa.array(np.full(len(good), a)), pa.array(good)], names=["a", "b"])
 
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("cls"))
@@ -173,74 +157,57 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("a", "part").applyInArrow(verify, "a long, b long")
 
 
-def _rest(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between components, from all (cls, n, set, comp) of components that may have some."""
-
-    def count(batches):
-        for batch in batches:
-            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(unpacked, batch.column(0).to_pylist())]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["key", "n"])
+def _rest(sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """a, b: components that have sets as similar as asked for, from all (cls, n, set, comp) of components that may.
 
-    hot = drawn(sets, "cls", HOT_SETS).select("set").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    found = hot.where("n > 1").orderBy(F.desc("n"), "key").limit(HOT_SHINGLES).toArrow()
-    order = np.argsort(found.column("key").to_numpy()) if found.num_rows else np.zeros(0, np.int64)
-    shared = sets.sparkSession.sparkContext.broadcast((found.column("key").to_numpy()[order].astype(np.uint64), found.column("n").to_numpy()[order]))
+    A shingle's rank is its number of sets. Sets that have one of their rarest shingles in common are compared, those of
+    many shingles together in blocks; the sets of a shingle that has more than a block are compared in pairs of blocks.
+    """
+    tokens = sets.select("cls", "comp", "n", F.explode("set").alias("token"))
+    seen = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "token"))
+    told = tokens.join(seen, "token").select("cls", "comp", "n", "token", "low", "high", place.alias("place"))
+    told = checkpointed(told.where(F.expr(f"place <= n - ceil({percent} * n / 100) + 1 and low < high")).select("cls", "comp", "n", "token"))
+    # of shingles that the same sets have, as those of a passage, one will do
+    of = told.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("sets"), F.min("cls").alias("lead"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    of = checkpointed(of.groupBy("sets", "lead", "x", "y").agg(F.min("token").alias("token"), F.first("n").alias("n")).select("token", "lead", "n"))
+    blocks = 1 + (of.agg(F.sum("n")).first()[0] or 0) * 8 // block_bytes
+    # shingles with the same first set are together in a block, so that what they share is sent once
+    large = F.col("size") * 8 > block_bytes
+    of = of.select("token", "lead", F.col("n").alias("size")).select("token", F.when(large, F.ceil(F.col("size") * 8 / block_bytes)).otherwise(1).cast("int").alias("many"), F.when(large, F.col("token")).otherwise(F.pmod(F.xxhash64("lead"), F.lit(blocks))).alias("group"))
+    dealt = told.join(of, "token").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("many")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "token")
+    rows = dealt.groupBy("group", "i", "j", "cls", "comp").agg(F.collect_set("token").alias("tokens")).join(sets.select("cls", "set"), "cls")
 
-    def prefixes(batches):
-        hot_keys, hot_n = shared.value
-        for batch in batches:
-            keys, of = [], []
-            for i, (b, n) in enumerate(zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                s = unpacked(b)
-                f = np.zeros(len(s), np.int64)
-                if len(hot_keys):
-                    at = np.minimum(np.searchsorted(hot_keys, s), len(hot_keys) - 1)
-                    f = np.where(hot_keys[at] == s, hot_n[at], 0)
-                p = s[np.lexsort((mixed(s), f))[: n - -(-percent * n // 100) + 1]]
-                keys.append(p)
-                of.append(np.full(len(p), i))
-            of = np.concatenate([np.zeros(0, np.int64), *of]).astype(np.int64)
-            part = pa.Table.from_batches([batch.select(["cls", "n", "comp"])]).take(pa.array(of)).combine_chunks()
-            part = part.append_column("token", pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).astype(np.int64)))
-            yield from part.to_batches()
-
-    rows = sets.select("cls", "n", "set", "comp").mapInArrow(prefixes, "cls long, n long, comp long, token long")
-    several = rows.groupBy("token").agg(F.min("cls").alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "lead")
-    # sets that share such shingles, directly or over others, form a cluster
-    clusters = components(rows.join(several, "token").where(F.col("cls") != F.col("lead")), "cls", "lead")
-    clusters = checkpointed(clusters.withColumnRenamed("node", "cls").withColumnRenamed("component", "cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     def compare(table):
-        sets_ = [unpacked(b) for b in table.column("set").to_pylist()]
-        cls, comp, own = (table.column(c).to_numpy() for c in ("cls", "comp", "own"))
-        n = np.array([len(s) for s in sets_])
-        _, column = np.unique(np.concatenate(sets_), return_inverse=True)
-        # within a block all pairs, of two blocks those across
-        one = np.flatnonzero(own == own.min())
-        two = one if own.min() == own.max() else np.flatnonzero(own != own.min())
-        place = np.full(len(sets_), -1)
-        place[two] = np.arange(len(two))
-        post = place[np.repeat(np.arange(len(sets_)), n)]
-        order = np.argsort(column, kind="stable")
-        order = order[post[order] >= 0]
-        post, many = post[order], np.bincount(column[order], minlength=column.max() + 1)
-        start, begin = np.cumsum(many) - many, np.cumsum(n) - n
-        found = [np.zeros((0, 2), np.int64)]
-        for r in one:  # its overlap with all others, from the sets that have each of its shingles
-            mine = column[begin[r] : begin[r] + n[r]]
-            sizes = many[mine]
-            at = np.repeat(start[mine] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            both = np.bincount(post[at], minlength=len(two))
-            j = np.flatnonzero((100 * both >= percent * (n[r] + n[two] - both)) & (comp[two] != comp[r]))
-            found.append(np.stack([np.full(len(j), r), two[j]], 1))
-        i, j = np.concatenate(found).T
-        kept = np.unique(np.sort(np.stack([comp[i], comp[j]], 1), axis=1), axis=0, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
-        return pa.table([pa.array(cls[i[kept]]), pa.array(cls[j[kept]])], names=["a", "b"])
-
-    many = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls").join(sets.select("cls", "comp", "set"), "cls")
-    return many.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        comp, found = table.column("comp").to_numpy(), set()
+        flat, at = _sets_of(table)
+        token, cut = _sets_of(table, "tokens")
+        row = np.repeat(np.arange(len(comp)), np.diff(cut))
+        order = np.argsort(token, kind="stable")
+        token, row = token[order], row[order]
+        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            mine = row[x:y]
+            of, first = np.unique(comp[mine], return_inverse=True)
+            if len(of) < 2:
+                continue
+            n = at[mine + 1] - at[mine]
+            _, code = np.unique(np.concatenate([flat[at[r] : at[r + 1]] for r in mine]), return_inverse=True)
+            begin = np.cumsum(n) - n
+            held = np.zeros(code.max() + 1, bool)
+            largest = np.bincount(first).argmax()  # its sets need no comparison with each other
+            for k in np.flatnonzero(first != largest):
+                held[:] = False
+                held[code[begin[k] : begin[k] + n[k]]] = True
+                both = np.add.reduceat(held[code], begin)
+                for m in np.flatnonzero((100 * both >= percent * (n + n[k] - both)) & (first != first[k])):
+                    found.add((min(of[first[k]], of[first[m]]), max(of[first[k]], of[first[m]])))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, collections: int = COLLECTIONS) -> DataFrame:
@@ -250,36 +217,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     their union in common; component_id is the smallest id of all that links reach, and kept says whether it is the
     row's own. Null and empty texts have no shingles and no links. Rows of equal id are rows like others: they are
     kept or not together. A null id is never a component's id unless all its ids are null, and is not kept with others.
-    Shingles are told apart by 48-bit hashes within a pair of sets, sets by 64-bit ones.
+    Shingles and sets are told apart by 64-bit hashes. Other columns of df take no part.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = checkpointed(docs.mapInArrow(_signatures(words, collections, False), "id long, cls long, n long, sketch array<long>"))
-    classes = signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    buckets = 1 + classes.count() * collections * collections // 2 * 16 // 4_000_000
-    pairs = checkpointed(candidates(classes, buckets, collections))
+    classes = checkpointed(signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")))
+    pairs = checkpointed(candidates(classes, collections))
     family = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     reps = checkpointed(classes.join(family, "cls").select(F.col("rep").alias("id"), "cls"))
     # the texts are read again, and only those of candidates are encoded as sets
     texts = docs.join(small(reps.select(F.col("id").alias("rep")).distinct()), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = texts.mapInArrow(_signatures(words, collections, True), "id long, cls long, n long, set binary")
+    sets = texts.mapInArrow(_signatures(words, collections, True), "id long, cls long, n long, set array<long>")
     sets = checkpointed(sets.join(small(reps.select("cls").distinct()), "cls", "left_semi").select("cls", "n", "set"))
     rows, different = sets.select("cls").agg(F.count("*"), F.countDistinct("cls")).first()
     if rows > different:  # rows of one id and text
         sets = checkpointed(sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("set").alias("set")))
-    links = checkpointed(_linked(pairs, sets, percent))
-    comps = checkpointed(components(links))
+    comps = components(checkpointed(_linked(pairs, sets, percent)))
     comp_of = sets.select("cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
     comp_of = checkpointed(comp_of)
-    torn = pairs.join(comp_of.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp_of.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b").where("ca != cb")
-    torn = checkpointed(torn.select(F.explode(F.array("ca", "cb")).alias("comp")).distinct().join(comp_of, "comp"))
-    more = checkpointed(_rest(checkpointed(sets.join(small(torn), "cls")), percent))
-    merged = components(
-        more.join(comp_of.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a").join(comp_of.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    )
+    side = lambda name: comp_of.select(F.col("cls").alias(name), F.col("comp").alias(f"c{name}"))
+    torn = pairs.join(side("a"), "a").join(side("b"), "b").where("ca != cb").select(F.explode(F.array("ca", "cb")).alias("comp")).distinct()
+    torn = checkpointed(torn.join(comp_of, "comp"))
+    merged = components(checkpointed(_rest(checkpointed(sets.join(small(torn), "cls")), percent)))
     final = comp_of.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("cls", F.coalesce("component", "comp").alias("comp"))
-    least = classes.join(final, "cls").groupBy("comp").agg(F.min("rep").alias("least"))
-    named = final.join(least, "comp").select("cls", "least")
+    final = checkpointed(final.join(reps, "cls"))
+    named = final.join(final.groupBy("comp").agg(F.min("id").alias("least")), "comp").select("cls", "least")
     alone = classes.select("cls", "rep").join(named, "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"))
-    out = signed.join(alone, (signed["cls"] == alone["cls"]) & (signed["n"] > 0), "left")
+    out = signed.select("id", "cls", "n").join(alone, (signed["cls"] == alone["cls"]) & (signed["n"] > 0), "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

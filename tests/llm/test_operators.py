@@ -92,16 +92,24 @@ def test_components(spark):
     rows = spark.createDataFrame([(i, i + 1) for i in range(100, 130)] + [(5, 5), (7, 3), (3, 7), (3, 130)], "a long, b long")
     found = {r.node: r.component for r in components(rows).collect()}
     assert set(found.values()) == {3} and len(found) == 33
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)]
+    rows = spark.createDataFrame(pairs, "a long, b long").repartition(40)
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in pairs:
+        if a != b:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert {r.node: r.component for r in components(rows).collect()} == {x: find(x) for x in list(parent)}
 
 
 def test_rest_joins_components(spark):
     """Links between sets that no star has shown are found by the exact join of what stars left apart."""
     sets = [np.sort(np.array(rng.sample(range(10**6), 40), np.uint64)) for _ in range(20)]
     sets += [np.unique(np.concatenate([s[:37], [np.uint64(i + 2 * 10**6)]])) for i, s in enumerate(sets)]
-    rows = [(i, len(s), bytearray(near_dedup.packed(s).tobytes()), i) for i, s in enumerate(sets)]
-    df = spark.createDataFrame(rows, "cls long, n long, set binary, comp long")
-    found = {tuple(sorted(r)) for r in near_dedup._rest(df, 75).collect()}
-    assert found == {(i, i + 20) for i in range(20)}
+    rows = [(i, len(s), s.astype(np.int64).tolist(), i) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "cls long, n long, set array<long>, comp long")
+    for block in (8_000_000, 600):
+        assert {tuple(r) for r in near_dedup._rest(df, 75, block).collect()} == {(i, i + 20) for i in range(20)}
 
 
 def test_secrets(spark, docs, texts):
