@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.llm import bpe, decontaminate, near_dedup, pseudonyms, toxicity
-from stratamill.llm._shared import checkpointed, crc_mod, small, table
+from stratamill.llm._shared import checkpointed, crc_mod, shared_folder, small, table
 from stratamill.llm.queries import KEY, vocabulary
 
 
@@ -63,7 +63,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the ids of their tokens, their number, and the text that these decode to."""
-    encoded = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
+    encoded = bpe.encode(docs, vocabulary(), decoded_col="decoded")
     return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
@@ -80,12 +80,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for ``documents``. Stages are written in the shared folder of spark.checkpoint.dir."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/stratamill-checkpoints"
-    at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows for ``documents``. Stages are written in the shared folder of spark.checkpoint.dir; each
+    goes when the next one is written, and only the last stays, as the result is read from it."""
+    at = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{at}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path.toString())
+        docs = spark.read.parquet(path.toString())
+        if before:
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
+        before = path
     return docs

@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts handed to a function at once hold about this many characters.
-SLICE_CHARS = 1_000_000
+#: Texts handed to a function at once hold about this many bytes.
+SLICE_BYTES = 1_000_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session, as in tests, gets one of its
+    own; on a cluster it has to be set, as executors share no other folder."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return tempfile.mkdtemp(prefix="stratamill-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that spark.checkpoint.dir names, or in one of our own where it is unset."""
+    """Cuts the lineage in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/stratamill-checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -40,24 +55,21 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def slices(texts: list[str | None], chars: int = SLICE_CHARS):
-    """Ranges of a list that hold about that many characters, one text at least."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > start and held + n > chars:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)
+def slices(sizes: np.ndarray, most: int = SLICE_BYTES):
+    """Ranges of values that have about that many bytes, one value at least."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, end
+        start = end
 
 
-def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], arrow: bool = False) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], arrow: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """All columns of df, and those of ``fields`` made from the texts.
 
     ``make`` runs once in each task and returns a function from a list of texts (None for null) to one list or
-    Arrow array for each field; with ``arrow`` it gets the Arrow array of a batch as it is. A column of df that has a new field's name gives way to it.
+    Arrow array for each field; with ``arrow`` the column is one of lists, and it gets them as they are. A column of df that has a new field's name gives way to it.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -71,9 +83,10 @@ def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], make: C
         function = make()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
-            texts = column if arrow else column.to_pylist()
-            for a, b in [(0, len(column))] if arrow else slices(texts):
-                made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(function(texts[a:b]), kinds, strict=True)]
+            sizes = pc.fill_null(pc.list_value_length(column) if arrow else pc.binary_length(column), 0).to_numpy()
+            for a, b in slices(sizes, slice_bytes):
+                values = column.slice(a, b - a)
+                made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(function(values if arrow else values.to_pylist()), kinds, strict=True)]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *made], names=names)
 

@@ -1,28 +1,35 @@
 """BPE encoding and decoding of whole texts with a public vocabulary, by tree concatenation.
 
-A text is cut at ASCII white space, over which no token of the vocabulary reaches, and each different word of a
-task is encoded once. Inside a word, the pre-tokenizer's pieces are encoded apart. A piece over ``leaf`` characters
-is a long unsplit text: its halves are encoded on their own, down to leaves, and each join is repaired by encoding
-a growing window of tokens around it again, until the window's outer tokens are those that stood there before.
-The tokens outside the window then keep their neighbours, so the joined sequence is the one for the whole piece.
-The merges of all leaves, and of all different pieces of a slice of texts, are made side by side in arrays.
+A text of more than ``leaf`` characters is a long unsplit text: it is halved, wherever that cuts it, down to leaves,
+which are encoded on their own and side by side. Neighbours are then joined, level by level: a window of words around
+the join, the one that the cut has split in its middle, is encoded again and grows until its outer words stand as they
+stood in both neighbours. No token of the vocabulary reaches over ASCII white space, so all outside the window keeps
+its tokens. A word's long pieces are halved and joined in the same way, by windows of tokens.
+
+Each different word of a task is encoded once; the merges of all different pieces of a slice of texts are made side by
+side in arrays. Texts of over ``PART`` characters are cut over tasks: their parts are rows, and the joins of all parts
+of a text are made where these meet.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import re
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm._shared import field, map_texts
+from stratamill.llm._shared import checkpointed, field, map_texts
 
 LEAF = 2048
+#: Bytes of texts that are encoded side by side: the more, the fewer words come again.
+TOGETHER = 4_000_000
+#: Characters of a part of a text that is cut over tasks.
+PART = 1_000_000
 #: Words that a task remembers, in each of two generations.
 MEMO = 60_000
 
@@ -170,67 +177,214 @@ class TreeEncoder:
                 return left[:-n] + again + right[n:]
             n *= 2
 
-    def texts(self, texts: list[str | None]) -> list[list[tuple[int, ...]]]:
-        """For each text the ids of its words."""
-        split = [t.encode().split() if t else [] for t in texts]
-        words = set(chain.from_iterable(split))
-        known = {w: ids for w in words if (ids := self.memo.get(w) or self.older.get(w)) is not None}
-        new = {w: self._pieces(w.decode()) for w in words if w not in known}
-        ids = self._encoded(set(chain.from_iterable(new.values())))
-        for w, pieces in new.items():
-            known[w] = tuple(ids[pieces[0]]) if len(pieces) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, pieces)))
-        if len(self.memo) + len(new) > MEMO:
+    def _words(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of different words."""
+        known = [self.memo.get(w) or self.older.get(w) for w in words]
+        new = {w: self._pieces(w.decode()) for w, ids in zip(words, known, strict=True) if ids is None}
+        if new:
+            ids = self._encoded(set(chain.from_iterable(new.values())))
+            made = {w: tuple(ids[p[0]]) if len(p) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, p))) for w, p in new.items()}
+            known = [made[w] if ids is None else ids for w, ids in zip(words, known, strict=True)]
+        if len(self.memo) + len(words) > MEMO:
             self.memo, self.older = {}, self.memo
         # words seen again are kept, so common ones outlive a generation
-        self.memo |= {w: x for w, x in known.items() if len(w) <= 64}
-        return [[known[w] for w in x] for x in split]
+        self.memo.update((w, x) for w, x in zip(words, known, strict=True) if len(w) <= 64)
+        return known
+
+    def leaves(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts encoded each on its own: all ids, where each word's ids begin, and where each text's words begin,
+        one more at the end of both."""
+        split = pc.ascii_split_whitespace(texts)
+        flat = split.flatten()
+        full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        first = np.concatenate([[0], np.cumsum(full)])[offsets]
+        coded = flat.filter(pa.array(full)).dictionary_encode()
+        word = coded.indices.to_numpy()
+        each = self._words(coded.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        table = np.fromiter(chain.from_iterable(each), np.int32, sizes.sum())
+        many = sizes[word]
+        begin = np.concatenate([[0], np.cumsum(many)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[word] - begin[:-1], many) + np.arange(begin[-1])
+        return table[at], begin, first
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts, and where those of each begin, one more at the end."""
+        cut = [self.halves(t or "") for t in texts]
+        parts = self.parts(list(chain.from_iterable(cut)))
+        if len(parts) == len(texts):
+            whole = parts
+        else:
+            ends = np.cumsum(list(map(len, cut))).tolist()
+            whole = self.concatenated([parts[b - len(c) : b] for c, b in zip(cut, ends, strict=True)])
+        ids = [x.ids for x in whole]
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([[0], np.cumsum(list(map(len, ids)), dtype=np.int64)])
+
+    def halves(self, t: str) -> list[str]:
+        """A text in a power of two of parts of ``leaf`` characters at most, or fewer where a word is longer than that;
+        these are cut elsewhere."""
+        n = 1
+        while len(t) > n * self.leaf:
+            n *= 2
+        ends = [len(t) * k // n for k in range(1, n)]
+        ends = [0, *(x for x in ends if SPACE.search(t, max(0, x - self.leaf), x + self.leaf)), len(t)]
+        return [t[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def parts(self, texts: list[str]) -> list[Encoded]:
+        """Texts, each encoded on its own."""
+        ids, begin, first = self.leaves(pa.array(texts, pa.string()))
+        return [Encoded(t, ids[begin[a] : begin[b]], begin[a : b + 1] - begin[a]) for t, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+    def concatenated(self, texts: list[list[Encoded]]) -> list[Encoded]:
+        """The parts of each text joined by twos, level by level; the joins of a level are made together."""
+        while any(len(parts) > 1 for parts in texts):
+            pairs = [(parts[k], parts[k + 1]) for parts in texts for k in range(0, len(parts) - 1, 2)]
+            made = iter(self.together(pairs))
+            texts = [[next(made) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)] for parts in texts]
+        return [parts[0] for parts in texts]
+
+    def together(self, pairs: list[tuple[Encoded, Encoded]]) -> list[Encoded]:
+        """Each two neighbouring parts of a text as one."""
+        out: list = [None] * len(pairs)
+        todo, n = list(range(len(pairs))), 2
+        while todo:
+            windows = [(*pairs[i][0].last_words(n), *pairs[i][1].first_words(n)) for i in todo]
+            again = self.parts([pairs[i][0].text[a:] + pairs[i][1].text[:b] for i, (a, _, b, _) in zip(todo, windows, strict=True)])
+            left_over = []
+            for i, (_, in_left, _, in_right), new in zip(todo, windows, again, strict=True):
+                left, right = pairs[i]
+                many, k = len(new.begin) - 1, len(left.begin) - 1 - in_left
+                held = in_left < n or many > 1 and np.array_equal(new.word(0), left.word(k))
+                if held and (in_right < n or many > 1 and np.array_equal(new.word(many - 1), right.word(n - 1))):
+                    x, y = left.begin[k], right.begin[in_right]
+                    ids = np.concatenate([left.ids[:x], new.ids, right.ids[y:]])
+                    begin = np.concatenate([left.begin[:k], new.begin[:-1] + x, right.begin[in_right:] + (x + len(new.ids) - y)])
+                    out[i] = Encoded(left.text + right.text, ids, begin)
+                else:
+                    left_over.append(i)
+            todo, n = left_over, 2 * n
+        return out
+
+
+#: ASCII white space, and words between it.
+SPACE, WORD = re.compile(r"[\t-\r ]"), re.compile(r"[^\t-\r ]+")
+
+
+class Encoded:
+    """A part of a text, its ids, and where those of each word begin, one more at the end."""
+
+    def __init__(self, text: str, ids: np.ndarray, begin: np.ndarray):
+        self.text, self.ids, self.begin = text, ids, begin
+
+    def word(self, i: int) -> np.ndarray:
+        return self.ids[self.begin[i] : self.begin[i + 1]]
+
+    def last_words(self, n: int) -> tuple[int, int]:
+        """Where the last n words begin, or all if there are fewer, and how many these are."""
+        size = 16 * n
+        while True:
+            at = max(0, len(self.text) - size)
+            found = [m.start() for m in WORD.finditer(self.text, at)]
+            if len(found) > n:  # the first of them may be the end of a word
+                return found[-n], n
+            if not at:
+                return (found[0], n) if len(found) == n else (0, len(found))
+            size *= 4
+
+    def first_words(self, n: int) -> tuple[int, int]:
+        """Where the first n words end, or all if there are fewer, and how many these are."""
+        found = [m.end() for m in islice(WORD.finditer(self.text), n)]
+        return (found[-1], n) if len(found) == n else (len(self.text), len(found))
+
+
+def _lists(ids: np.ndarray, begin: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", leaf: int = LEAF) -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", leaf: int = LEAF, part: int = PART, decoded_col: str | None = None) -> DataFrame:
     """df with the ids of each whole text, array<int>; a null or empty text has none, in an empty array.
 
-    Repeated rows each get theirs; a column of df named as ``ids_col`` gives way. ``path`` must exist on every
-    executor, as an installed package's file does.
+    With ``decoded_col`` there is also the text that the ids decode to, made in the same pass. Repeated rows each get
+    theirs; columns of df named as these give way. ``path`` must exist on every executor, as an installed package's
+    file does.
     """
+    df = df.drop(*(c for c in (ids_col, decoded_col, "_row") if c and c != text_col))
+    new = [field(ids_col, "array<int>"), *([field(decoded_col, "string")] if decoded_col else [])]
 
     def make():
+        encoder, decoder = TreeEncoder(path, leaf), Decoder(path) if decoded_col else None
+
+        def run(texts):
+            lists = _lists(*encoder.texts(texts))
+            return [lists, decoder.texts(lists)] if decoder else [lists]
+
+        return run
+
+    long = F.coalesce(F.length(F.col(f"`{text_col}`")) > part, F.lit(False))
+    out = map_texts(df.where(~long), text_col, new, make, slice_bytes=TOGETHER)
+    whole = df.where(long)
+    if whole.isEmpty():
+        return out
+
+    def make_parts():
         encoder = TreeEncoder(path, leaf)
-        gc.collect()  # of what an earlier task of this worker left
-        gc.disable()  # millions of small tuples, and no cycles
 
-        def ids(texts):
-            each = encoder.texts(texts)
-            sizes = [sum(map(len, x)) for x in each]
-            flat = np.fromiter(chain.from_iterable(chain.from_iterable(each)), np.int32, sum(sizes))
-            offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        def run(texts):
+            found = encoder.concatenated([encoder.parts(encoder.halves(t)) for t in texts])
+            flat = [np.concatenate([np.zeros(0, np.int64), *(getattr(x, k) for x in found)]) for k in ("ids", "begin")]
+            return [_lists(x, np.concatenate([[0], np.cumsum([len(getattr(y, k)) for y in found])])) for x, k in zip(flat, ("ids", "begin"), strict=True)]
 
-        return ids
+        return run
 
-    return map_texts(df, text_col, [field(ids_col, "array<int>")], make)
+    def join(table):
+        table = table.sort_by("part")
+        encoder, decoder = TreeEncoder(path, leaf), Decoder(path) if decoded_col else None
+        columns = [table.column(c).combine_chunks() for c in ("piece", "ids", "begin")]
+        found = [Encoded(t.as_py(), i.values.to_numpy(), b.values.to_numpy()) for t, i, b in zip(*columns, strict=True)]
+        ids = encoder.concatenated([found])[0].ids
+        lists = _lists(ids, np.array([0, len(ids)]))
+        return pa.table([table.column("_row").slice(0, 1), lists, *([decoder.texts(lists)] if decoder else [])], names=["_row", *(f.name for f in new)])
 
+    whole = checkpointed(whole.withColumn("_row", F.monotonically_increasing_id()))
+    text = F.col(f"`{text_col}`")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / part).cast("int")), lambda i: text.substr(i * part + 1, F.lit(part)))
+    parts = map_texts(whole.select("_row", F.posexplode(cut).alias("part", "piece")).repartition("_row", "part"), "piece", [field("ids", "array<int>"), field("begin", "array<int>")], make_parts)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
+    joined = parts.groupBy("_row").applyInArrow(join, f"_row long, {kinds}")
+    return out.unionByName(whole.drop(*(f.name for f in new)).join(joined, "_row").select(out.columns))
 
-def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """df with the text of each array of ids, as the vocabulary file's decoder gives it with special tokens kept.
 
-    Null ids give an empty text; ids outside the vocabulary give nothing.
-    """
+class Decoder:
+    """The texts of ids, special tokens among them, as the vocabulary file's decoder gives them."""
 
-    def make():
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         if file["decoder"] is not None:
             raise ValueError("only vocabularies whose decoder joins tokens by a space are decoded")
         shown = {i: t for t, i in file["model"]["vocab"].items()} | {x["id"]: x["content"] for x in file["added_tokens"]}
+        self.size = max(shown) + 1
+        self.shown = pa.array([shown.get(i) for i in range(self.size + 1)], pa.string())
+
+    def texts(self, lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        ids = pc.fill_null(lists.flatten(), -1).to_numpy()
+        shown = self.shown.take(pa.array(np.where((ids >= 0) & (ids < self.size), ids, self.size)))
+        there = shown.is_valid().to_numpy(zero_copy_only=False)
+        begin = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), shown.filter(pa.array(there))), " ")
+
 
-        def texts(lists):
-            ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            empty, out = lists.is_null().to_pylist(), []
-            for a, b, none in zip(ends[:-1].tolist(), ends[1:].tolist(), empty, strict=True):
-                out.append("" if none else " ".join([t for t in map(shown.get, ids[a:b].tolist()) if t is not None]))
-            return [out]
+def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """df with the text of each array of ids, as the vocabulary file's decoder gives it with special tokens kept.
 
-        return texts
+    Null ids give an empty text; ids outside the vocabulary give nothing. A column named as ``text_col`` gives way.
+    """
+
+    def make():
+        decoder = Decoder(path)
+        return lambda lists: [decoder.texts(lists)]
 
     return map_texts(df, ids_col, [field(text_col, "string")], make, arrow=True)
 

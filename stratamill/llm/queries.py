@@ -55,8 +55,7 @@ def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, vocabulary()).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(ids, vocabulary()))
+    return bpe.digests(bpe.encode(docs, vocabulary(), decoded_col="decoded"))
 
 
 #: For the queries here; a pipeline of one's own takes a secret one.

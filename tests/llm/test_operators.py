@@ -173,15 +173,34 @@ def test_bpe(docs, texts):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(vocabulary())
-    rows = bpe.decode(bpe.encode(docs, vocabulary(), leaf=64), vocabulary()).collect()
-    for r in rows:
-        ids = whole.encode(r.text or "", add_special_tokens=False).ids
-        assert r.ids == ids and r.decoded == whole.decode(ids, skip_special_tokens=False)
+    for part in (bpe.PART, 100):
+        rows = bpe.decode(bpe.encode(docs, vocabulary(), leaf=16, part=part, decoded_col="score"), vocabulary()).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(texts)
+        for r in rows:
+            ids = whole.encode(r.text or "", add_special_tokens=False).ids
+            assert r.ids == ids and r.decoded == r.score == whole.decode(ids, skip_special_tokens=False)
     tree = bpe.TreeEncoder(vocabulary(), leaf=8)
-    for alphabet in ("abcdefgh", "aab", "éèab", "A1é!?.", "'st", "日本 İΣ", "<|endoftext|> x"):
-        for _ in range(40):
-            t = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 200))) + rng.choice(["", "<|endoftext|>"])
-            assert [i for w in tree.texts([t])[0] for i in w] == whole.encode(t, add_special_tokens=False).ids
+    for alphabet in ("abcdefgh", "aab", "éèab", "A1é!?.", "'st", "日本 İΣ", "<|endoftext|> x", "ab c\t\n", "e\u0301 \u00a0\x1c"):
+        some = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 200))) + rng.choice(["", "<|endoftext|>"]) for _ in range(40)]
+        ids, begin = tree.texts(some)
+        assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_bpe_joins_long_texts(spark, tmp_path):
+    """The registered query on texts of many leaves, and of pieces far over one, that no white space cuts."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary())
+    letters = "".join(rng.choice("abcdeilnorst") for _ in range(60_000))
+    rows = [(0, letters), (1, sentence(30_000)), (2, "A1é!" * 5000), (3, " ".join(letters[k : k + 9000] for k in range(0, 60_000, 9000))), (4, None), (5, " \t" * 4000 + "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    hexed = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    expected = {}
+    for i, t in rows:
+        ids = whole.encode(t or "", add_special_tokens=False).ids
+        expected[i] = (len(ids), hexed(" ".join(map(str, ids))), hexed(whole.decode(ids, skip_special_tokens=False)))
+    found = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op10_tree_bpe"](spark, str(tmp_path)).collect()}
+    assert found == expected
 
 
 def test_ppm(spark, docs, texts):
