@@ -2,7 +2,7 @@
 
 A token is a word, letters and digits only, A-Z lowered. Its score comes from the log-odds of toxic against other
 documents with an informative Dirichlet prior, taken for the word and for its beginnings of 4 to 10 bytes; the most
-significant of these counts, and tokens without a significant one count as slightly clean. One linear scan finds all
+significant of these counts, if it reaches a level that is chosen out of sample; other tokens count as slightly clean. One linear scan finds all
 maximal segments of a text's scores. Under chance, the best score S of n tokens of clean text follows an extreme-value
 law, P(S < x) = exp(-K n exp(-lambda x)); lambda and K are fitted to clean documents. Segments are significant by
 their expected number under that law; the sum of a document's normalised scores, with its own law for the number of
@@ -16,17 +16,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm._shared import checkpointed, drawn, field, map_texts
 
 #: At most about this many labelled documents are learned from, drawn by a hash of their id.
 TRAIN_DOCS = 10_000
-MAX_TOKENS = 50_000
 #: Pseudo-documents: so many of each token, and so many shared out by how frequent tokens are.
 LEAST_PRIOR, PRIOR = 0.5, 500.0
-LEAST_Z, LEAST_DOCS = 4.0, 4
+LEAST_DOCS = 4
+#: Significances from which tokens count; the level is chosen by what one half of the texts teaches of the other.
+LEVELS = (2.5, 3.0, 3.5, 4.0, 4.5)
 BACKGROUND = -0.2
 #: A document counts as toxic if it is with at least this probability.
 TOXIC = 0.3
@@ -140,76 +141,108 @@ class Model:
         return 1 / (1 + math.exp(-(self.slope * x + self.shift))), sure
 
 
-def _calibrate(model: Model, both: DataFrame) -> None:
-    """Fits the model's law and curve to texts and labels. Texts are read where they are; what is gathered is a few
-    numbers a text, and the tokens' different scores, which are no more than the model has tokens."""
+def _levels(folds: list[dict]) -> list[list[Model]]:
+    return [[Model({w: x for w, x in odds.items() if abs(x[1]) >= z}) for odds in folds] for z in LEVELS]
+
+
+def _calibrate(model: Model, folds: list[dict], both: DataFrame) -> None:
+    """Chooses the model's level, and fits its law and curve, by texts, labels and folds; each text is measured by the
+    log-odds that the other fold's texts have given. Texts are read where they are; what is gathered is a few numbers a
+    text and level, and the tokens' different scores, which are no more than the models have tokens."""
     context = both.sparkSession.sparkContext
-    odds = context.broadcast(model.odds)
+    odds = context.broadcast(folds)
 
     def measure(batches):
-        own, times = Model(odds.value), Counter()
+        models = _levels(odds.value)
+        times = [Counter() for _ in models]
         for batch in batches:
-            tops, sizes = [], []
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [] if y else tokens(t)
-                tops.append(max((s for *_, s in own.found(words)), default=0.0))
-                sizes.append(len(words))
-                times.update(map(own.token, words))
-            none = pa.nulls(len(tops), pa.float32())
-            yield pa.RecordBatch.from_arrays([none, pa.array(sizes, pa.int64()), pa.array(tops, pa.float64())], names=["score", "n", "top"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.float32()), pa.array(list(times.values()), pa.int64()), pa.nulls(len(times), pa.float64())], names=["score", "n", "top"])
-
-    measured = checkpointed(both.mapInArrow(measure, "score float, n long, top double"))
-    told = measured.where("score is not null").groupBy("score").agg(F.sum("n").alias("n")).orderBy("score").toArrow()
-    tops = measured.where("score is null").select("top", "n").orderBy("top", "n").collect()
-    model.law(told.column("score").to_numpy().astype(np.float64), told.column("n").to_numpy(), [tuple(r) for r in tops])
-    law = context.broadcast((model.rate, model.k))
+            rows = [(tokens(t), f) for t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True) if not y]
+            for k, own in enumerate(models):
+                tops = [max((s for *_, s in own[f].found(words)), default=0.0) for words, f in rows]
+                for words, f in rows:
+                    times[k].update(map(own[f].token, words))
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int32()), pa.nulls(len(rows), pa.float32()), pa.array([len(words) for words, _ in rows], pa.int64()), pa.array(tops, pa.float64())], names=["level", "score", "n", "top"])
+        for k, n in enumerate(times):
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int32()), pa.array(list(n), pa.float32()), pa.array(list(n.values()), pa.int64()), pa.nulls(len(n), pa.float64())], names=["level", "score", "n", "top"])
+
+    measured = checkpointed(both.mapInArrow(measure, "level int, score float, n long, top double"))
+    told = measured.where("score is not null").groupBy("level", "score").agg(F.sum("n").alias("n")).orderBy("level", "score").toArrow()
+    tops = measured.where("score is null").select("level", "top", "n").orderBy("level", "top", "n").collect()
+    laws = []
+    for k in range(len(LEVELS)):
+        mine = told.column("level").to_numpy() == k
+        model.law(told.column("score").to_numpy()[mine].astype(np.float64), told.column("n").to_numpy()[mine], [(r.top, r.n) for r in tops if r.level == k])
+        laws.append((model.rate, model.k))
+    laws_told = context.broadcast(laws)
 
     def weigh(batches):
-        own = Model(odds.value)
-        own.rate, own.k = law.value
+        models = _levels(odds.value)
+        for own, law in zip(models, laws_told.value, strict=True):
+            for x in own:
+                x.rate, x.k = law
         for batch in batches:
-            words = (tokens(t) for t in batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([own.evidence(own.found(w), len(w)) for w in words], pa.float64()), batch.column(1)], names=["x", "y"])
-
-    pairs = both.mapInArrow(weigh, "x double, y int").orderBy("x", "y").toArrow()
-    model.curve(pairs.column("x").to_numpy(), pairs.column("y").to_numpy().astype(np.float64))
+            rows = [(tokens(t), f) for t, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            each = [pa.array([own[f].evidence(own[f].found(w), len(w)) for w, f in rows], pa.float64()) for own in models]
+            yield pa.RecordBatch.from_arrays([*each, batch.column(1)], names=[*(f"x{k}" for k in range(len(models))), "y"])
+
+    names = [f"x{k}" for k in range(len(LEVELS))]
+    pairs = both.mapInArrow(weigh, ", ".join(f"{x} double" for x in names) + ", y int").orderBy("y", *names).toArrow()
+    y = pairs.column("y").to_numpy().astype(np.float64)
+    fitted = []
+    for k, name in enumerate(names):
+        x = pairs.column(name).to_numpy()
+        model.curve(x, y)
+        p = np.clip(1 / (1 + np.exp(-(model.slope * np.log1p(x) + model.shift))), 1e-9, 1 - 1e-9)
+        fitted.append((-float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), -k, model.slope, model.shift))
+    _, k, model.slope, model.shift = min(fitted)
+    model.rate, model.k = laws[-k]
+    model.odds = {w: x for w, x in model.odds.items() if abs(x[1]) >= LEVELS[-k]}
+    model.memo = {}
+
+
+def _odds(counted: DataFrame, c: Column, t: Column) -> dict[bytes, tuple[float, float]]:
+    """Log-odds and significance of the tokens that tell toxic from other texts; no more than a sample of bounded size
+    has. c, t: in how many clean and toxic texts each token is."""
+    nc, nt = (x or 0 for x in counted.agg(F.sum(c), F.sum(t)).first())
+    if not nc or not nt:
+        return {}
+    prior = LEAST_PRIOR + F.lit(PRIOR) * (c + t) / (nc + nt)
+    odds = F.log((t + prior) / (nt + PRIOR - t + prior)) - F.log((c + prior) / (nc + PRIOR - c + prior))
+    z = odds / F.sqrt(1 / (t + prior) + 1 / (c + prior))
+    rows = counted.where(c + t >= LEAST_DOCS).select("w", odds.alias("d"), z.alias("z")).where(F.abs("z") >= LEVELS[0]).orderBy("w").collect()
+    return {bytes(w): (d, s) for w, d, s in rows}
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Model:
     """The model of labelled documents; of two labels for one id the larger counts, null ids, labels and texts take
     no part, and equal texts count once. Without documents of both labels, or tokens that tell them apart, nothing is
-    known to be toxic, and all have the lowest score."""
+    known to be toxic, and all have the lowest score. The level of significance, the law and the curve are fitted out
+    of sample: texts are dealt into two folds, and each is measured by what the other has taught."""
     clean = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
     sample = drawn(clean, id_col, max_docs)  # about max_docs rows of two numbers
     both = docs.select(id_col, F.col(text_col).alias("_text")).where("_text is not null").join(F.broadcast(sample), id_col)
     both = both.groupBy(F.sha2("_text", 256).alias("_key")).agg(F.first("_text").alias("_text"), F.max("_label").alias("_label"))
+    fold = F.pmod(F.xxhash64("_key"), F.lit(2)).cast("int")
+    both = checkpointed(both.select("_text", F.least("_label", F.lit(1)).alias("_label"), fold.alias("_fold")))
 
     def count(batches):
         for batch in batches:
             held: dict[bytes, list[int]] = {}
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = set(tokens(t))
                 for w in words | {w[:n] + b"*" for w in words for n in BEGINNINGS if n <= len(w)}:
-                    held.setdefault(w, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([c[0] for c in held.values()], pa.int64()), pa.array([c[1] for c in held.values()], pa.int64())], names=["w", "c", "t"])
-
-    counted = both.select("_text", F.least("_label", F.lit(1))).mapInArrow(count, "w binary, c long, t long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    totals = counted.agg(F.sum("c"), F.sum("t")).first()
-    nc, nt = totals[0] or 0, totals[1] or 0
-    unknown = Model({})
-    unknown.shift = UNKNOWN
-    if not nc or not nt:
-        return unknown
-    prior = LEAST_PRIOR + F.lit(PRIOR) * (F.col("c") + F.col("t")) / (nc + nt)
-    odds = F.log((F.col("t") + prior) / (nt + PRIOR - F.col("t") + prior)) - F.log((F.col("c") + prior) / (nc + PRIOR - F.col("c") + prior))
-    z = odds / F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior))
-    told = counted.where(F.col("c") + F.col("t") >= LEAST_DOCS).select("w", odds.alias("d"), z.alias("z")).where(F.abs("z") >= LEAST_Z)
-    rows = told.orderBy(F.abs("z").desc(), "w").limit(MAX_TOKENS).collect()
-    if not rows:
-        return unknown
-    model = Model({bytes(w): (d, s) for w, d, s in rows})
-    _calibrate(model, both.select("_text", F.least("_label", F.lit(1)).alias("_label")))
+                    held.setdefault(w, [0, 0, 0, 0])[2 * f + y] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), *(pa.array([n[k] for n in held.values()], pa.int64()) for k in range(4))], names=["w", "c0", "t0", "c1", "t1"])
+
+    counts = ["c0", "t0", "c1", "t1"]
+    counted = both.mapInArrow(count, "w binary, c0 long, t0 long, c1 long, t1 long").groupBy("w").agg(*(F.sum(x).alias(x) for x in counts))
+    counted = checkpointed(counted.where(f"{' + '.join(counts)} >= {LEAST_DOCS}"))
+    c0, t0, c1, t1 = map(F.col, counts)
+    model = Model(_odds(counted, c0 + c1, t0 + t1))
+    if not model.odds:
+        model.shift = UNKNOWN
+        return model
+    _calibrate(model, [_odds(counted, c1, t1), _odds(counted, c0, t0)], both)
     return model
 
 

@@ -50,7 +50,7 @@ def test_ppm_keeps_all_edges(spark, tmp_path):
 
 
 def test_toxicity_gathers_no_texts(spark, monkeypatch):
-    """Training sends no texts to the driver, and calibrates as one process with all texts does."""
+    """Training sends no texts to the driver, and tells toxic texts apart."""
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(150)) + (" vilescum" * 4 if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
@@ -67,13 +67,20 @@ def test_toxicity_gathers_no_texts(spark, monkeypatch):
         monkeypatch.setattr(type(df), name, told)
     model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     assert sent and "string" not in kinds and not any("array" in k for k in kinds)
-    found = [(model.found(toxicity.tokens(t)), len(toxicity.tokens(t)), y) for _, t, y in rows]
-    each = [model.token(w) for _, t, y in rows if not y for w in toxicity.tokens(t)]
-    assert abs(sum(math.exp(model.rate * s) for s in each) / len(each) - 1) < 1e-4 or not any(s > 0 for s in each)
-    waits = [n * math.exp(-model.rate * max((s for *_, s in f), default=0.0)) for f, n, y in found if not y]
-    assert abs(model.k - 1 / max(1.0, sum(waits) / len(waits))) < 1e-9
     probabilities = [model.score(toxicity.tokens(t))[0] for _, t, _ in rows]
-    assert abs(sum(probabilities) - sum(y for *_, y in rows)) < 0.5
+    assert abs(sum(probabilities) - sum(y for *_, y in rows)) < 5
+    assert min(p for p, (*_, y) in zip(probabilities, rows) if y) > max(p for p, (*_, y) in zip(probabilities, rows) if not y)
+
+
+def test_toxicity_is_calibrated_out_of_sample(spark):
+    """Labels that no word tells of give no confident scores, though words that happen to go with them are found."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(4000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), int(rng.random() < 0.2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    fresh = [toxicity.tokens(" ".join(rng.choice(words) for _ in range(60))) for _ in range(200)]
+    assert sum(model.score(t)[0] for t in fresh) / len(fresh) < 0.35
 
 
 def test_words_of_structure_are_told_apart(spark, tmp_path):
