@@ -50,9 +50,11 @@ def drawn(df: DataFrame, key: str, about: int) -> DataFrame:
     return df if n <= about else df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(2**40)) < about * 2**40 // n)
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df, to be broadcast if it has no more rows than that, each of a few numbers; otherwise joins shuffle it."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, cells: Column | None = None, most: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has no more rows than that, each of a few numbers, or no more values in all, where
+    ``cells`` says how many a row has; otherwise joins shuffle it."""
+    n = df.count() if cells is None else df.agg(F.coalesce(F.sum(cells) + F.count("*"), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
 
 
 def slices(sizes: np.ndarray, most: int = SLICE_BYTES):

@@ -150,6 +150,36 @@ def test_decontamination(spark, docs, texts):
     assert found == {(2000, 1): (2, 1.0), (2001, 1): (0, round(7 / 9, 6)), (2002, 4): (0, 1.0), (2005, 1): (3, 1.0)}
 
 
+def test_decontamination_as_brute_force(spark, docs, texts, tmp_path):
+    """The registered query against all windows of all sizes, with items whose shingles repeat."""
+    letters = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    runs = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    common = sentence(40)
+    items = {1: common, 2: sentence(25), 3: None, 4: "a b " * 12, 5: " ".join(common.split()[:30]), 6: "of the x"}
+    more = dict(texts)
+    for k in range(40):
+        w = (items[rng.choice([1, 2, 4, 5])]).split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(["zz", "the"])
+        more[500 + k] = " ".join([sentence(rng.randint(0, 20)), *w, sentence(rng.randint(0, 20))])
+    spark.createDataFrame(list(more.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    expected = {}
+    for i, t in more.items():
+        d = runs(letters(t))
+        for j, item in items.items():
+            if not (h := runs(letters(item))) or not d:
+                continue
+            b, best = collections.Counter(h), (0, 0)
+            for k in range(max(1, len(d) - len(h) + 1)):
+                a = collections.Counter(d[k : k + len(h)])
+                best = max(best, (sum((a & b).values()) / sum((a | b).values()), -k))
+            if best[0] >= 0.75:
+                expected[i, j] = (-best[1], round(best[0], 9))
+    found = {(r.doc_id, r.item_id): (r.start_word, round(r.similarity, 9)) for r in QUERIES["op6_simhash_decontamination"](spark, str(tmp_path)).collect()}
+    assert found == expected and len(expected) > 20
+
+
 def test_pseudonyms(spark):
     t = "a.b7@x.org +1 (017) 555-7713 017-555-7713 4539578763621486 4539578763621487 97.51.17.173 300.1.1.1 2001-02-28 28.02.2001 2001-02-30 123-45-6789 GB82 WEST 1234 5698 7654 32"
     df = spark.createDataFrame([(1, t, "x"), (2, None, "x"), (3, "", "x"), (4, t, "x")], "doc_id long, text string, found string")
