@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from datetime import date, timedelta
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,9 +24,23 @@ KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
 #: Groups of digits on cards, besides a single one.
 LAYOUTS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
-#: Characters that are permuted within their own set; others stay.
+#: Characters that are permuted within their own set.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 SETS = {c: a for a in ALPHABETS for c in a}
+#: Characters that are permuted together; longer values are cut.
+TOGETHER = 256
+
+
+@lru_cache(100_000)
+def alphabet(c: str) -> str:
+    """The set of a letter or digit: of other scripts those of its kind among its 128 code points. Others have none."""
+    if c in SETS:
+        return SETS[c]
+    if not c.isalnum():
+        return ""
+    low, kind = ord(c) & ~127, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(low, low + 128)) if x not in SETS and x.isalnum() and unicodedata.category(x) == kind)
+
 
 PATTERN = re.compile(
     r"(?<![\w.+%-])(?P<email>[\w.+%-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
@@ -44,8 +60,8 @@ class Permutation:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def _round(self, kind: str, n: int, r: int, half: int, x: int) -> int:
-        size = (half + 7) // 8
-        h = hashlib.blake2b(b"%s|%d|%d|%d" % (kind.encode(), n, r, x), key=self.key, digest_size=max(8, min(64, size))).digest()
+        size, told = (half + 7) // 8, b"%s|%x|%d|%x" % (kind.encode(), n, r, x)
+        h = hashlib.blake2b(told, key=self.key, digest_size=max(8, size)).digest() if size <= 64 else hashlib.shake_256(self.key + told).digest(size)
         return int.from_bytes(h, "big") & ((1 << half) - 1)
 
     def _network(self, kind: str, n: int, x: int, rounds) -> int:
@@ -99,24 +115,27 @@ class Pseudonymiser:
         self.memo: dict[tuple[str, str], str | None] = {}
 
     def _mixed(self, kind: str, chars: str) -> str:
-        """Characters permuted together, each within its alphabet."""
+        """Characters permuted together, each within its alphabet; as they are where none has another to turn into."""
+        if len(chars) > TOGETHER:
+            return "".join(self._mixed(f"{kind}{len(chars)}at{k}", chars[k : k + TOGETHER]) for k in range(0, len(chars), TOGETHER))
         n, x = 1, 0
         for c in chars:
-            if a := SETS.get(c):
+            if a := alphabet(c):
                 n, x = n * len(a), x * len(a) + a.index(c)
         if n == 1:
             return chars
         x, out = self.permutation.next(f"{kind}{len(chars)}", n, x, self.step), []
         for c in reversed(chars):
-            if a := SETS.get(c):
+            if a := alphabet(c):
                 x, i = divmod(x, len(a))
                 c = a[i]
             out.append(c)
         return "".join(reversed(out))
 
-    def _email(self, s: str) -> str:
+    def _email(self, s: str) -> str | None:
         local, _, domain = s.rpartition("@")
-        return f"{self._mixed('email', local)}@{domain}"
+        fresh = self._mixed("email", local)
+        return f"{fresh}@{domain}" if fresh != local else None
 
     def _iban(self, s: str) -> str | None:
         plain = s.replace(" ", "")
@@ -220,7 +239,8 @@ class Pseudonymiser:
 def pseudonymised(df: DataFrame, key: bytes, text_col: str = "text", found_col: str = "found", kinds: tuple[str, ...] = KINDS, restore: bool = False) -> DataFrame:
     """df with its texts' valid values replaced in place, and the number of values of each kind (``found``).
 
-    E-mail addresses keep their domain; IBANs and cards are those whose check digits hold, social security numbers and
+    E-mail addresses keep their domain, and their local part's letters and digits, of any script, become others of
+    their kind; phone numbers are told by layout and 8 to 15 digits; IBANs and cards are those whose check digits hold, social security numbers and
     IPv4 addresses those in range, dates those of 1900 to 2099. Null texts stay null, empty ones empty; all else of a
     text and its length are kept. ``restore`` undoes it with the same key. A column named as ``found_col`` gives way.
     """
