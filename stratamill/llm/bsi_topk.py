@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
-CHUNK_QUERIES = 256
+CHUNK_QUERIES = 1024
 #: Queries that are added at once; their bitmaps stay in the processor's cache.
 TOGETHER = 64
 WORD = 64
@@ -27,9 +27,9 @@ def quantised(vector: Column, scale: int = 64) -> Column:
 
 
 def usable(vector: Column) -> Column:
-    """Not null or empty, and without null, infinite or undefined components."""
+    """Not null, and without null, infinite or undefined components."""
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(odd, F.lit(True))
+    return vector.isNotNull() & ~F.coalesce(odd, F.lit(True))
 
 
 class BitSlices:
@@ -41,7 +41,7 @@ class BitSlices:
         self.rows, self.size = len(ids), values.shape[1]
         self.low = values.min(0)
         values = (values - self.low).astype(np.uint64)
-        self.bits = max(1, int(values.max()).bit_length())
+        self.bits = max(1, int(values.max(initial=0)).bit_length())
         pad = -self.rows % WORD
         #: by attribute and bit, a bitmap over the rows
         self.slices = np.zeros((self.size, self.bits, (self.rows + pad) // WORD), np.uint64)
@@ -64,7 +64,7 @@ class BitSlices:
         offset = queries @ self.low - (np.where(sign, size, 0) * full).sum(1).astype(np.int64)
         flip = np.where(sign, np.uint64(2**64 - 1), np.uint64(0))[:, :, None]
         columns: list[list[np.ndarray]] = [[] for _ in range(64 + self.bits)]
-        for j in range(max(1, int(size.max()).bit_length())):
+        for j in range(max(1, int(size.max(initial=0)).bit_length())):
             on = np.where((size >> np.uint64(j)) & np.uint64(1) == 1, np.uint64(2**64 - 1), np.uint64(0))[:, :, None]
             for d in range(self.size):
                 if not on[:, d].any():
@@ -141,22 +141,23 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     """query_id, rank from 1, vec_id and score: each query's k rows of the highest integer inner product, ties to the
     smaller id; all rows, if there are fewer.
 
-    Both sides are quantised alike. Unusable vectors and null ids take no part; of rows of one id the smallest vector
-    counts. A query meets rows of its own length other than that of its id. Rows and queries are dealt into blocks,
-    and each pair of blocks is one group of bounded size; scores must stay within 63 bits.
+    Both sides are quantised alike. Unusable vectors and null ids take no part; rows of one id are rows like others, and
+    queries of one id are ranked as one. A query meets rows of its own length other than those of its id; empty vectors
+    have a score of 0. Rows and queries are dealt into blocks, and each pair of blocks is one group of bounded size:
+    the slices of a block are made once for CHUNK_QUERIES queries. Scores must stay within 63 bits.
     """
-    own = lambda df: df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    own = lambda df: df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"))
     rows, queries = own(rows), own(queries)
     n, m = rows.count(), queries.count()
     blocks, chunks = 1 + n // BLOCK_ROWS, 1 + m // CHUNK_QUERIES
-    side = lambda df, many, other, kind, name, against: df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")).withColumn(against, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).withColumn("query", F.lit(kind))
+    side = lambda df, many, other, kind, name, against: df.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(many)).cast("int")).withColumn(against, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).withColumn("query", F.lit(kind))
     both = side(rows, blocks, chunks, False, "block", "chunk").unionByName(side(queries, chunks, blocks, True, "chunk", "block")).withColumn("size", F.size("v"))
 
     def search(table):
         is_query = table.column("query").to_numpy(zero_copy_only=False)
         ids = table.column("id").to_numpy()
         flat = table.column("v").combine_chunks().flatten().to_numpy()
-        vectors = flat.reshape(len(ids), -1)
+        vectors = flat.reshape(len(ids), table.column("size")[0].as_py())
         out = [(np.zeros(0, np.int64),) * 3]
         if not is_query.all():
             index = BitSlices(ids[~is_query], vectors[~is_query])

@@ -98,11 +98,11 @@ ORACLE: dict[str, str] = {
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, r.vec_id AS vec_id,
-    CAST(list_sum(list_transform(list_zip(q.e, r.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    CAST(coalesce(list_sum(list_transform(list_zip(q.e, r.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.e) = len(r.e)
   WHERE q.vec_id % 20 = 0
 ), k AS (
