@@ -1,8 +1,10 @@
 """Secret scans: patterns, and character Markov models compared by log-likelihood ratio.
 
-Two first-order Markov chains over character classes are trained from labelled samples: one on random strings, one
-on ordinary identifiers. A candidate, a run of key characters, is a secret when the log-likelihood ratio per
-character, and the whole ratio, exceed their thresholds. Such runs add spans to those of the patterns.
+Two first-order Markov chains over characters are trained from labelled samples: one on random strings, one on
+ordinary identifiers. Each step's probability is a mixture of the step between characters and of that between their
+classes, so that words of a language that was not learned from are not taken for random ones. A run of key characters,
+or a part of it between its separators, is a secret when the log-likelihood ratio per character, and the whole ratio,
+exceed their thresholds. Such runs add spans to those of the patterns.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # shorter runs fail, and a run is one match
 ASSIGN_CHARS, ACCESS_CHARS = 8, 16
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE_CHARS = 20
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_CHARS},}}")
+#: Shorter runs are not scored: too few steps tell too little.
+CANDIDATE_CHARS = 16
+CANDIDATE, PIECE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_CHARS},}}"), re.compile(rf"[A-Za-z0-9+]{{{CANDIDATE_CHARS},}}")
+#: Classes of characters, and the weight of the step between characters against that between classes.
+CLASSES = [range(0, 26), range(26, 52), range(52, 62), range(62, 67)]
+WEIGHT = 0.7
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -50,7 +56,12 @@ class MarkovPair:
         logs = {}
         for label in (0, 1):
             c = counts[label] + smoothing
-            logs[label] = np.log(c / c.sum(axis=1, keepdims=True))
+            by_class = np.zeros_like(c)
+            for rows in [*CLASSES, range(n, n + 1)]:
+                together = c[rows].sum(0)
+                for columns in CLASSES:
+                    by_class[np.ix_(rows, columns)] = together[columns].sum() / together.sum() / len(columns)
+            logs[label] = np.log(WEIGHT * c / c.sum(axis=1, keepdims=True) + (1 - WEIGHT) * by_class)
         #: Row n stands for the start of the string.
         self.ratio = logs[1] - logs[0]
         self.code = np.full(128, -1, np.int16)
@@ -69,7 +80,9 @@ def train(samples: DataFrame, string_col: str = "sample", label_col: str = "labe
     n = len(ALPHABET)
     rows = samples.where(F.col(string_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(string_col).alias("s"), F.col(label_col).cast("int").alias("l"))
     runs = rows.select("l", F.explode(F.split("s", "[^A-Za-z0-9+/_=-]+")).alias("s")).where("length(s) > 0")
-    steps = runs.select("l", F.explode(F.expr("transform(sequence(1, length(s)), i -> struct(if(i = 1, '', substr(s, i - 1, 1)) as a, substr(s, i, 1) as b))")).alias("x"))
+    letters = F.slice(F.split("s", ""), F.lit(1), F.length("s"))  # all at once; one by one would take the square of a run
+    before = F.concat(F.array(F.lit("")), F.slice(letters, F.lit(1), F.length("s") - 1))
+    steps = runs.select("l", F.explode(F.arrays_zip(before.alias("a"), letters.alias("b"))).alias("x"))
     counts = {0: np.zeros((n + 1, n)), 1: np.zeros((n + 1, n))}
     for label, a, b, c in steps.groupBy("l", "x.a", "x.b").count().collect():
         if label in counts:
@@ -80,8 +93,9 @@ def train(samples: DataFrame, string_col: str = "sample", label_col: str = "labe
 def scan(df: DataFrame, model: MarkovPair, text_col: str = "text", spans_col: str = "spans", per_char: float = 0.35, whole: float = 12.0) -> DataFrame:
     """df with an array of (kind, start, end) for each whole text, in code points and by start.
 
-    Null or empty texts have an empty array. Spans of the patterns always stay; a run that the models take for a
-    secret adds a ``markov`` span unless the patterns' spans cover it. A column named as ``spans_col`` gives way.
+    Null or empty texts have an empty array. Spans of the patterns always stay; a run of CANDIDATE_CHARS characters or
+    more that the models take for a secret, or else each piece of it without separators that they do, adds a ``markov``
+    span unless the patterns' spans cover it. A column named as ``spans_col`` gives way.
     """
 
     def make():
@@ -91,11 +105,12 @@ def scan(df: DataFrame, model: MarkovPair, text_col: str = "text", spans_col: st
             spans = base_spans(t)
             added = []
             for m in CANDIDATE.finditer(t):
-                a, b = m.span()
-                if not any(x <= a and b <= y for x, y, _ in spans):
-                    total, mean = model.score(m.group())
-                    if total >= whole and mean >= per_char:
-                        added.append((a, b, "markov"))
+                pieces = PIECE.finditer(t, *m.span())
+                for a, b in (m.span(), *(x.span() for x in pieces)):
+                    if not any(x <= a and b <= y for x, y, _ in spans + added):
+                        total, mean = model.score(t[a:b])
+                        if total >= whole and mean >= per_char:
+                            added.append((a, b, "markov"))
             return [{"kind": k, "start": a, "end": b} for a, b, k in (ordered(spans + added) if added else spans)]
 
         return lambda texts: [[one(t) for t in texts]]
@@ -110,7 +125,7 @@ def samples(spark: SparkSession, docs: DataFrame, random_strings: int = 4000, or
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     random = [digest.substr(1, 40), F.base64(F.unhex(digest)), F.upper(F.substring(F.translate(F.base64(F.unhex(digest)), "+/=", ""), 1, 24))]
     words = drawn(docs.where(F.col("text").isNotNull()), "doc_id", ordinary_docs).select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where("length(w) > 1").distinct()
-    ordinary = [F.col("w"), F.lower("w"), F.initcap("w"), F.upper("w"), F.concat_ws("_", F.lower("w"), F.lower("w")), F.concat_ws("-", F.lower("w"), F.initcap("w")), F.concat_ws("/", F.col("w"), F.lower("w"))]
+    ordinary = [F.col("w"), F.lower("w"), F.initcap("w"), F.upper("w"), F.concat_ws("_", F.lower("w"), F.lower("w")), F.concat_ws("_", F.upper("w"), F.upper("w"), F.upper("w")), F.concat_ws("-", F.lower("w"), F.initcap("w")), F.concat_ws("/", F.col("w"), F.lower("w")), F.concat(F.lower("w"), F.initcap("w"), F.initcap("w")), F.concat(F.initcap("w"), F.initcap("w"), F.lit("2"))]
     labelled = lambda df, forms, label: df.select(F.explode(F.array(*forms)).alias("sample"), F.lit(label).alias("label"))
     return labelled(ids, random, 1).unionByName(labelled(words, ordinary, 0))
 
