@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -67,6 +70,30 @@ def slices(sizes: np.ndarray, most: int = SLICE_BYTES):
         start = end
 
 
+def lean(run: Callable) -> Callable:
+    """A function over batches whose worker gives back what it held when its task ends. Spark keeps workers for later
+    tasks, and next to other ones; without this each would stay as large as its largest task."""
+
+    def wrapped(batches):
+        try:
+            for batch in run(batches):
+                yield batch
+                pa.default_memory_pool().release_unused()
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def sliced_texts(column: pa.Array, most: int = SLICE_BYTES):
+    """Texts of an Arrow column as lists of about that many bytes, with where they begin and end."""
+    for a, b in slices(pc.fill_null(pc.binary_length(column), 0).to_numpy(), most):
+        yield a, b, column.slice(a, b - a).to_pylist()
+
+
 def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]], arrow: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """All columns of df, and those of ``fields`` made from the texts.
 
@@ -92,7 +119,7 @@ def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], make: C
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *made], names=names)
 
-    return read.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), *fields]))
+    return read.mapInArrow(lean(run), T.StructType([*(df.schema[c] for c in keep), *fields]))
 
 
 def field(name: str, kind: str) -> T.StructField:

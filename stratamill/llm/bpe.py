@@ -27,7 +27,7 @@ from stratamill.llm._shared import checkpointed, field, map_texts
 
 LEAF = 2048
 #: Bytes of texts that are encoded side by side: the more, the fewer words come again.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 #: Characters of a part of a text that is cut over tasks.
 PART = 1_000_000
 #: Words that a task remembers, in each of two generations.

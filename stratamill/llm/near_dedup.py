@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamill.llm._grams import WordBuffer, byte_slices, joined, mixed, run_hashes
-from stratamill.llm._shared import checkpointed, small
+from stratamill.llm._shared import checkpointed, lean, sliced_texts, small
 from stratamill.llm.components import components
 
 COLLECTIONS = 14
@@ -75,8 +75,8 @@ def _signatures(words: int, collections: int, with_sets: bool):
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b, sizes, keys in shingle_sets(texts, words):
+            each = ((x + a, x + b, sizes, keys) for x, _, texts in sliced_texts(batch.column(1)) for a, b, sizes, keys in shingle_sets(texts, words))
+            for a, b, sizes, keys in each:
                 full = np.flatnonzero(sizes)
                 heads = (np.cumsum(sizes) - sizes)[full]
                 cls = np.zeros(b - a, np.int64)
@@ -91,7 +91,7 @@ def _signatures(words: int, collections: int, with_sets: bool):
                         x, y = (np.minimum.reduceat(mixed_by(spread, *odd[2 * c + i]), heads) for i in (0, 1))
                         sketch[full, c] = mixed(x ^ mixed(y + np.uint64(c)))
                     more = _lists(sketch.ravel(), np.full(b - a, collections))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(cls), pa.array(sizes.astype(np.int64)), more], names=["id", "cls", "n", "set" if with_sets else "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(cls), pa.array(sizes.astype(np.int64)), more], names=["id", "cls", "n", "set" if with_sets else "sketch"])
 
     return run
 
@@ -122,7 +122,7 @@ def candidates(classes: DataFrame, collections: int = COLLECTIONS) -> DataFrame:
             for cls, key, linked in ((ids[heads], keys[heads], None), (links[:, 0], mixed(links[:, 1].view(np.uint64)), links[:, 1])):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls), pa.nulls(len(cls), pa.int64()) if linked is None else pa.array(linked)], names=["key", "cls", "linked"])
 
-    sent = classes.select("cls", "sketch").mapInArrow(send, "key long, cls long, linked long")
+    sent = classes.select("cls", "sketch").mapInArrow(lean(send), "key long, cls long, linked long")
     # a row that is a link already needs no other, and lies wherever its key puts it
     least = F.min(F.when(F.col("linked").isNull(), F.col("cls"))).over(Window.partitionBy("key"))
     met = sent.select(F.when(F.col("linked").isNull(), least).otherwise(F.col("cls")).alias("a"), F.coalesce("linked", "cls").alias("b"))
@@ -220,14 +220,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Shingles and sets are told apart by 64-bit hashes. Other columns of df take no part.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    signed = checkpointed(docs.mapInArrow(_signatures(words, collections, False), "id long, cls long, n long, sketch array<long>"))
+    signed = checkpointed(docs.mapInArrow(lean(_signatures(words, collections, False)), "id long, cls long, n long, sketch array<long>"))
     classes = checkpointed(signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")))
     pairs = checkpointed(candidates(classes, collections))
     family = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     reps = checkpointed(classes.join(family, "cls").select(F.col("rep").alias("id"), "cls"))
     # the texts are read again, and only those of candidates are encoded as sets
     texts = docs.join(small(reps.select(F.col("id").alias("rep")).distinct()), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = texts.mapInArrow(_signatures(words, collections, True), "id long, cls long, n long, set array<long>")
+    sets = texts.mapInArrow(lean(_signatures(words, collections, True)), "id long, cls long, n long, set array<long>")
     sets = checkpointed(sets.join(small(reps.select("cls").distinct()), "cls", "left_semi").select("cls", "n", "set"))
     rows, different = sets.select("cls").agg(F.count("*"), F.countDistinct("cls")).first()
     if rows > different:  # rows of one id and text

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm._grams import CHUNK_BYTES, WordBuffer, answers, byte_slices, chunked, dealt, gathered, mixed
-from stratamill.llm._shared import checkpointed, field, map_texts
+from stratamill.llm._shared import checkpointed, field, lean, map_texts
 
 ORDER = 4
 BITS = 9
@@ -81,7 +81,7 @@ def _counted(df: DataFrame, text_col: str, trains: Column, order: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].astype(np.int64)), pa.array(counts[i : i + 100_000])], names=["key", "n"])
 
     rows = df.select(F.col(f"`{text_col}`").cast("string"), trains)
-    return checkpointed(rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    return checkpointed(rows.mapInArrow(lean(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
 
 
 def train(df: DataFrame, text_col: str = "text", order: int = ORDER, max_edges: int | None = None) -> dict:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm._grams import WordBuffer, byte_slices
-from stratamill.llm._shared import drawn, field, map_texts
+from stratamill.llm._shared import drawn, field, lean, map_texts
 
 #: At most about this many labelled documents are learned from, drawn by a hash of their id.
 TRAIN_DOCS = 6000
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), lists], names=["key", "label", "x"])
 
-    found = both.select("_text", "_key", "_label").mapInArrow(encode, "key string, label int, x array<float>").orderBy("key").toArrow().combine_chunks()
+    found = both.select("_text", "_key", "_label").mapInArrow(lean(encode), "key string, label int, x array<float>").orderBy("key").toArrow().combine_chunks()
     model = Attention()
     if found.num_rows:
         bags = [np.asarray(v, np.float64).reshape(-1, FEATURES) for v in (found.column("x").chunk(0)[i].values.to_numpy() for i in range(found.num_rows))]

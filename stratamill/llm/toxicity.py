@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.llm._shared import checkpointed, drawn, field, map_texts
+from stratamill.llm._shared import checkpointed, drawn, field, lean, map_texts
 
 #: At most about this many labelled documents are learned from, drawn by a hash of their id.
 TRAIN_DOCS = 10_000
@@ -165,7 +165,7 @@ def _calibrate(model: Model, folds: list[dict], both: DataFrame) -> None:
         for k, n in enumerate(times):
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int32()), pa.array(list(n), pa.float32()), pa.array(list(n.values()), pa.int64()), pa.nulls(len(n), pa.float64())], names=["level", "score", "n", "top"])
 
-    measured = checkpointed(both.mapInArrow(measure, "level int, score float, n long, top double"))
+    measured = checkpointed(both.mapInArrow(lean(measure), "level int, score float, n long, top double"))
     told = measured.where("score is not null").groupBy("level", "score").agg(F.sum("n").alias("n")).orderBy("level", "score").toArrow()
     tops = measured.where("score is null").select("level", "top", "n").orderBy("level", "top", "n").collect()
     laws = []
@@ -186,7 +186,7 @@ def _calibrate(model: Model, folds: list[dict], both: DataFrame) -> None:
             yield pa.RecordBatch.from_arrays([*each, batch.column(1)], names=[*(f"x{k}" for k in range(len(models))), "y"])
 
     names = [f"x{k}" for k in range(len(LEVELS))]
-    pairs = both.mapInArrow(weigh, ", ".join(f"{x} double" for x in names) + ", y int").orderBy("y", *names).toArrow()
+    pairs = both.mapInArrow(lean(weigh), ", ".join(f"{x} double" for x in names) + ", y int").orderBy("y", *names).toArrow()
     y = pairs.column("y").to_numpy().astype(np.float64)
     fitted = []
     for k, name in enumerate(names):
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), *(pa.array([n[k] for n in held.values()], pa.int64()) for k in range(4))], names=["w", "c0", "t0", "c1", "t1"])
 
     counts = ["c0", "t0", "c1", "t1"]
-    counted = both.mapInArrow(count, "w binary, c0 long, t0 long, c1 long, t1 long").groupBy("w").agg(*(F.sum(x).alias(x) for x in counts))
+    counted = both.mapInArrow(lean(count), "w binary, c0 long, t0 long, c1 long, t1 long").groupBy("w").agg(*(F.sum(x).alias(x) for x in counts))
     counted = checkpointed(counted.where(f"{' + '.join(counts)} >= {LEAST_DOCS}"))
     c0, t0, c1, t1 = map(F.col, counts)
     model = Model(_odds(counted, c0 + c1, t0 + t1))
