@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 #: Each provider's states and the ones they stand for.
 HETZNER_STATES = {"running": "running", "off": "off", "initializing": "transitioning", "starting": "transitioning", "stopping": "transitioning", "rebuilding": "transitioning", "migrating": "transitioning", "deleting": "transitioning"}
 DO_STATES = {"active": "running", "off": "off", "new": "transitioning", "archive": "transitioning"}
-EXIT_CODES = {"Usage": 2, "Config": 2, "InvalidName": 2, "Auth": 3, "NotFound": 4, "Conflict": 5, "Rejected": 6, "Transport": 7, "Timeout": 9}
+#: The kinds of errors, their stable codes, and the exit codes of a run that ends with one.
+EXIT_CODES = {"Usage": 2, "ConfigInvalid": 2, "Conflict": 3, "LimitExceeded": 4, "Auth": 5, "ProviderRejected": 5, "Transport": 5, "OutcomeUnknown": 5, "IncompleteInventory": 5, "NotFound": 6, "Aborted": 7, "WaitTimeout": 9, "Internal": 1}
+ERROR_CODES = {"Usage": "usage", "ConfigInvalid": "config-invalid", "Conflict": "conflict", "LimitExceeded": "limit-exceeded", "Auth": "auth", "ProviderRejected": "provider-rejected", "Transport": "transport", "OutcomeUnknown": "outcome-unknown", "IncompleteInventory": "incomplete-inventory", "NotFound": "not-found", "Aborted": "aborted", "WaitTimeout": "wait-timeout", "Internal": "internal"}
+LEVELS = ("Trace", "Debug", "Info", "Warn", "Error", "None")
 
 
 def mapped(c: Column, table: dict, default=None) -> Column:
@@ -44,7 +47,7 @@ def exit_code(error: Column) -> Column:
 
 
 def response_class(status: Column) -> Column:
-    return F.when(status.isin(401, 403), "Auth").when(status == 404, "NotFound").when(status.isin(400, 409, 422), "Rejected").when((status == 429) | status.between(500, 599), "Transport").otherwise("Rejected")
+    return F.when(status.isin(401, 403), "Auth").when(status == 404, "NotFound").when(status.isin(400, 409, 422), "ProviderRejected").when((status == 429) | status.between(500, 599), "Transport").otherwise("ProviderRejected")
 
 
 def retry_delay(is_read: Column, attempt: Column, retryable: Column, elapsed_s: Column, retry_after_s: Column) -> Column:
@@ -53,8 +56,18 @@ def retry_delay(is_read: Column, attempt: Column, retryable: Column, elapsed_s:
     return F.when(is_read & (attempt < 2) & retryable & (elapsed_s + delay <= 90), delay)
 
 
-def evaluate(wanted: Column, status: Column, failed: Column) -> Column:
-    return F.when(failed, "failed").when(status == wanted, "settled").otherwise("pending")
+def evaluate(kind: Column, target: Column, action_state: Column, status: Column, missing: Column) -> Column:
+    """How an observation stands to what is waited for: a status, a machine that is gone (absent), or a new one that has
+    become stable (created). A failed action fails whatever else is seen, and so does a machine that is missing, but
+    where that is waited for."""
+    reached = F.when(kind == "status", status == target).otherwise(status.isin("running", "off"))
+    return (
+        F.when(F.coalesce(action_state == "error", F.lit(False)), "failed")
+        .when(kind == "absent", F.when(missing, "settled").otherwise("pending"))
+        .when(missing, F.when(kind == "created", "pending").otherwise("failed"))
+        .when(F.coalesce(reached, F.lit(False)), "settled")
+        .otherwise("pending")
+    )
 
 
 def settled(status: Column, raw: Column) -> Column:
@@ -63,12 +76,13 @@ def settled(status: Column, raw: Column) -> Column:
 
 
 def log_level(env: Column, verbose: Column) -> Column:
+    """The level that is named, if there is one of that name; otherwise Debug for verbose runs and Warn for others."""
     named = F.initcap(F.lower(env))
-    return F.when(named.isin("Debug", "Info", "Warn", "Error"), named).when(verbose, "Debug").otherwise("Warn")
+    return F.when(named.isin(*LEVELS), named).when(verbose, "Debug").otherwise("Warn")
 
 
-def providers(flag: Column, default: Column) -> Column:
-    """The providers to read, or null where none is named."""
+def providers(flag: Column, default: Column, is_list: Column | None = None) -> Column:
+    """The providers to read, or null for a usage error: where none is named, or all for another command than list."""
     chosen = F.coalesce(flag, default)
-    both = F.array(F.lit("digitalocean"), F.lit("hetzner"))
+    both = F.when(F.lit(True) if is_list is None else is_list, F.array(F.lit("digitalocean"), F.lit("hetzner")))
     return F.when(chosen == "all", both).when(chosen.isin("hetzner", "digitalocean"), F.array(chosen))

@@ -34,10 +34,16 @@ def in_range(c: Column, low: int = 20, high: int = 300) -> Column:
     return F.when(F.forall(parts, lambda x: F.coalesce(x.between(low, high), F.lit(False))), parts)
 
 
-def option(first_line: Column, name: str) -> Column:
-    """The value of ``name=value`` or ``name="value"`` on a line, or empty."""
-    m = rf"(?:^|\s){name}=(?:\"([^\"]*)\"|(\S+))"
-    return F.concat(F.regexp_extract(first_line, m, 1), F.regexp_extract(first_line, m, 2))
+_SHELL_WORD = r"""(?:"(?:[^"\\]|\\.)*"|'[^']*'|\\.|[^\s"'\\])++"""
+
+
+def options(text: Column) -> Column:
+    """The words of the option line that a diagram's source may begin with, cut and unquoted as a shell would; none
+    without such a line, null where a quote is left open."""
+    line = F.regexp_extract(F.get(F.split(text, "\n"), F.lit(0)), r"^\s*(?:%%|')\s*draw-visual:\s*(.*)$", 1)
+    words = F.regexp_extract_all(line, F.lit(_SHELL_WORD), F.lit(0))
+    unquoted = F.transform(words, lambda w: F.regexp_replace(w, r"""\"((?:[^"\\]|\\.)*)\"|'([^']*)'|\\(.)""", "$1$2$3"))
+    return F.when(line.rlike(rf"""^\s*(?:{_SHELL_WORD}\s*+)*+$"""), unquoted)
 
 
 def json_path(c: Column, path: str) -> Column:
@@ -49,12 +55,13 @@ def or_dash(c: Column) -> Column:
 
 
 def short_count(c: Column) -> Column:
-    """Thousands as a rounded ``k``."""
-    return F.when(c >= 1000, F.concat(F.floor(c / 1000 + 0.5).cast("string"), F.lit("k"))).otherwise(c.cast("bigint").cast("string"))
+    """Thousands as a rounded ``k``, ties to even."""
+    return F.when(c >= 1000, F.concat(F.bround(c.cast("double") / 1000).cast("bigint").cast("string"), F.lit("k"))).otherwise(c.cast("bigint").cast("string"))
 
 
 def percent(given: Column, used: Column, most: Column) -> Column:
-    return F.coalesce(given.cast("double"), F.when(most > 0, F.round(100 * used / most)))
+    """A whole percentage: the one given or that of what is used, ties to even."""
+    return F.bround(F.coalesce(given.cast("double"), F.when(most > 0, used / most * 100)))
 
 
 def alarm(pct: Column) -> Column:
@@ -96,10 +103,11 @@ def user_data_ok(data: Column, provider: Column) -> Column:
 
 def redacted(c: Column) -> Column:
     """Token shapes masked; masking again changes nothing."""
+    c = F.regexp_replace(c, r"(?i)\bAuthorization\s*:\s*[^\r\n]+", "[redacted]")
     return F.regexp_replace(F.regexp_replace(c, r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]"), r"\b(?:dop_v1_[A-Za-z0-9]+|[A-Za-z0-9]{64})\b", "[redacted]")
 
 
-def without_keys(record: Column, names: tuple[str, ...] = ("token", "authorization", "password", "user_data")) -> Column:
+def without_keys(record: Column, names: tuple[str, ...] = ("token", "authorization", "password", "userdata", "user_data")) -> Column:
     return F.map_filter(record, lambda k, _: ~F.lower(k).isin(*names))
 
 

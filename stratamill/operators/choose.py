@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratamill.functions.decisions import ERROR_CODES, exit_code, mapped
+
 
 def in_region(rows: DataFrame, region: str | None, column: str = "region") -> DataFrame:
     return rows if region is None else rows.where(F.col(column) == region)
@@ -79,16 +81,69 @@ def read_all(sources: dict[str, Callable[[], DataFrame]], materialize: Callable[
     return rows, outcomes
 
 
-def envelope(data: DataFrame, errors: list[str]) -> DataFrame:
-    """One JSON object with schemaVersion, ok, data and errors. Rows of a report are gathered; its size is a page's."""
-    rows = data.agg(F.collect_list(F.struct(*data.columns)).alias("data"))
+def first_ids(rows: DataFrame, group: str, id_col: str, most: int = 5) -> DataFrame:
+    """For each group up to so many of its ids, least first, without gathering the others."""
+    first = F.row_number().over(Window.partitionBy(group).orderBy(id_col))
+    kept = rows.select(group, id_col, first.alias("n")).where(F.col("n") <= most)
+    return kept.groupBy(group).agg(F.array_sort(F.collect_list(id_col)).alias("known"))
+
+
+def found_or_error(vms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Each wanted provider and id with its machine, or with the error NotFound."""
+    there = vms.select("provider", "id", F.struct(*vms.columns).alias("vm"))
+    return wanted.select("provider", "id").join(there, ["provider", "id"], "left").withColumn("error", F.when(F.col("vm").isNull(), "NotFound"))
+
+
+def list_outcome(outcomes: DataFrame) -> DataFrame:
+    """ok, errors and exit_code of a listing, from each provider's (provider, error, reason): it is ok where all were
+    read and complete, and otherwise has an error for each that was not, by provider."""
+    kind = F.coalesce("error", F.when(F.col("reason").isNotNull(), "IncompleteInventory"))
+    rows = outcomes.select("provider", kind.alias("kind"))
+    told = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("provider", mapped(F.col("kind"), ERROR_CODES, "internal").alias("code"), "kind"))))
+    out = rows.agg(told.alias("errors"))
+    return out.select((F.size("errors") == 0).alias("ok"), F.transform("errors", lambda e: F.struct(e["code"].alias("code"), e["provider"].alias("provider"))).alias("errors"), exit_code(F.get("errors", F.lit(0))["kind"]).alias("exit_code"))
+
+
+def usage_errors(requests: DataFrame) -> DataFrame:
+    """requests, with what is wrong with each (``usage``): rules for command, provider, type, vcpu, memory, disk,
+    timeout, wait, yes and dry_run, of which absent ones are null or false. timeout is in seconds."""
+    has = lambda c: F.col(c).isNotNull()
+    positive = lambda c: F.col(c).isNull() | ((F.col(c) > 0) & ~F.col(c).isin(float("inf"), float("nan")))
+    sized = has("vcpu") | has("memory")
+    wrong = {
+        "timeout requires wait": has("timeout") & ~F.coalesce("wait", F.lit(False)),
+        "timeout is over 10 minutes": F.col("timeout") > 600,
+        "type excludes vcpu and memory": has("type") & sized,
+        "create takes a type, or vcpu and memory": (F.col("command") == "create") & ~has("type") & ~(has("vcpu") & has("memory")),
+        "disk goes with vcpu and memory only": has("disk") & ~(has("vcpu") & has("memory")),
+        "all providers are for list only": (F.col("provider") == "all") & (F.col("command") != "list"),
+        "yes is for stop and delete only": F.col("yes") & ~F.col("command").isin("stop", "delete"),
+        "dry-run is for changes only": F.col("dry_run") & ~F.col("command").isin("create", "start", "stop", "delete"),
+        "vcpu is no positive whole number": ~(positive("vcpu") & (F.col("vcpu").isNull() | (F.col("vcpu") % 1 == 0))),
+        "memory is not positive": ~positive("memory"),
+        "disk is not positive": ~positive("disk"),
+    }
+    return requests.withColumn("usage", F.filter(F.array(*(F.when(c, k) for k, c in wrong.items())), lambda x: x.isNotNull()))
+
+
+def envelope(data: DataFrame | None, errors: list[str], spark: SparkSession | None = None) -> DataFrame:
+    """One JSON object with schemaVersion, ok, data and errors. Rows of a report are gathered; its size is a page's.
+    Without data, as where nothing could be read, data is null."""
     told = F.array(*map(F.lit, errors)) if errors else F.array().cast("array<string>")
-    return rows.select(F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.lit(not errors).alias("ok"), "data", told.alias("errors"))).alias("json"))
-
-
-def text_table(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """line: columns padded to their widest value, a dash for what is missing."""
-    shown = rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in columns))
-    widths = shown.agg(*(F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(f"_{c}") for c in columns))
+    if data is None:
+        data_col, rows = F.lit(None).cast("string").alias("data"), (spark or SparkSession.active()).range(1)
+    else:
+        data_col, rows = F.col("data"), data.agg(F.collect_list(F.struct(*data.columns)).alias("data"))
+    body = F.struct(F.lit(1).alias("schemaVersion"), F.lit(not errors).alias("ok"), data_col, told.alias("errors"))
+    return rows.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def text_table(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """row and line of a report: row 0 has the names of the columns, the others follow in order; cells are padded to
+    their column's widest, a dash for what is missing. Rows of a report are numbered in one task."""
+    at = F.row_number().over(Window.orderBy(*order))
+    shown = rows.select(at.alias("row"), *(F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in columns))
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("row"), *(F.lit(c.upper()).alias(c) for c in columns))
+    widths = shown.agg(*(F.greatest(F.coalesce(F.max(F.length(c)), F.lit(0)), F.lit(len(c))).alias(f"_{c}") for c in columns))
     cells = [F.expr(f"rpad(`{c}`, `_{c}`, ' ')") for c in columns]
-    return shown.join(F.broadcast(widths), F.lit(True)).select(F.rtrim(F.concat_ws("  ", *cells)).alias("line"))
+    return head.unionByName(shown).join(F.broadcast(widths), F.lit(True)).select("row", F.rtrim(F.concat_ws("  ", *cells)).alias("line"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamill.functions.decisions import power_status
-from stratamill.functions.scalars import gb_from_mib
+from stratamill.functions.decisions import mapped, power_status
+from stratamill.functions.scalars import gb_from_mib, number_text
 
 
 def _refs(ids: Column) -> Column:
@@ -65,11 +65,28 @@ def digitalocean_images(raw: DataFrame) -> DataFrame:
 def action_status(raw: DataFrame, provider: str) -> DataFrame:
     states = {"running": "running", "success": "success", "error": "error"} if provider == "hetzner" else {"in-progress": "running", "completed": "success", "errored": "error"}
     message = F.col("error.message") if provider == "hetzner" else F.lit(None).cast("string")
-    from stratamill.functions.decisions import mapped
-
     return raw.select(F.col("id").cast("string").alias("id"), mapped(F.col("status"), states, "unknown").alias("state"), message.alias("message"))
 
 
 def droplet_action(c: Column) -> Column:
     """The two ids in ``<droplet>:<action>``."""
     return F.struct(F.get(F.split(c, ":"), F.lit(0)).alias("vm_id"), F.get(F.split(c, ":"), F.lit(1)).alias("action_id"))
+
+
+def receipts(raw: DataFrame, provider: str) -> DataFrame:
+    """What a change was answered with, from (vm_id, action_id, raw status); a provider may tell no action, and then
+    the change is taken to be accepted."""
+    states = {"running": "accepted", "success": "completed", "in-progress": "accepted", "completed": "completed"}
+    return raw.select(F.lit(provider).alias("provider"), F.col("vm_id").cast("string").alias("vm_id"), F.col("action_id").cast("string").alias("action_id"), mapped(F.col("status"), states, "accepted").alias("status"))
+
+
+def details(vms: DataFrame) -> DataFrame:
+    """The detail view: a machine's columns as text, with a dash for what is missing, labels or tags as one line, and
+    the provider's own status."""
+    labels = F.array_join(F.array_sort(F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ", ")
+    shown = {
+        **{c: F.col(c) for c in ("provider", "id", "name", "type_id", "region", "status", "raw_status", "ipv4", "ipv6", "image")},
+        "ram_gb": number_text(F.col("memory_gb")), "disk_gb": number_text(F.col("disk_gb")), "created": F.col("created_at").cast("string"),
+        "labels": F.coalesce(labels, F.array_join("tags", ", ")), "attached": F.array_join(F.transform("attached", lambda a: F.concat_ws(":", a["kind"], a["id"])), ", "),
+    }
+    return vms.select(*(F.when(F.coalesce(c.cast("string"), F.lit("")) != "", c.cast("string")).otherwise("-").alias(k) for k, c in shown.items()))

@@ -9,25 +9,37 @@ from pyspark.sql import functions as F
 
 from stratamill.functions import decisions as d
 from stratamill.functions import scalars as s
+from stratamill.operators import blocks, choose
+from stratamill.sources import pages
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+INF = float("inf")
+
+
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as a catalog: sizes stand for the resources, types for the architecture."""
-    return _t(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
+    """Parts as a catalog of types: sizes stand for the memory, prices for the processors, part types for the
+    architecture, brands for the regions."""
+    part = _t(spark, sf_dir, "part")
+    return part.select(
+        F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("name"), F.col("p_retailprice").alias("vcpu"), F.col("p_size").cast("double").alias("memory_gb"), F.lit(0.0).alias("disk_gb"),
+        F.col("p_type").alias("arch"), F.array("p_brand").alias("available_regions"), "p_size",
+    )
+
+
+def _parts(types: DataFrame) -> DataFrame:
+    return types.select(F.col("id").alias("p_partkey"), "p_size", F.col("vcpu").alias("p_retailprice"))
 
 
 def q_smallest_fit(spark, sf_dir):
-    fit = _types(spark, sf_dir).where("p_type = 'PROMO' and p_size >= 10")
-    return fit.orderBy("p_size", "p_retailprice", "p_partkey").limit(1).select("p_partkey", "p_size", "p_retailprice")
+    return _parts(choose.smallest_fit(choose.fitting(choose.offered(_types(spark, sf_dir), arch="PROMO"), 0, 10)))
 
 
 def _chosen(spark, sf_dir, most: float):
-    chosen = _types(spark, sf_dir).where("p_size >= 10").orderBy("p_size", "p_retailprice", "p_partkey").limit(1)
-    return chosen.where(F.col("p_retailprice") <= most).select("p_partkey", "p_size", "p_retailprice")
+    return _parts(choose.within(choose.smallest_fit(choose.fitting(_types(spark, sf_dir), 0, 10)), (most, INF, INF)))
 
 
 def q_limit_then_check(spark, sf_dir):
@@ -38,18 +50,37 @@ def q_limit_then_check_kept(spark, sf_dir):
     return _chosen(spark, sf_dir, 905.0)
 
 
-ORDER_STATES = {"F": "off", "O": "running", "P": "transitioning"}
+def q_within(spark, sf_dir):
+    return _parts(choose.within(_types(spark, sf_dir), (905.0, 20.0, 1.0)))
+
+
+def q_offered(spark, sf_dir):
+    return _parts(choose.offered(_types(spark, sf_dir), region="Brand#11"))
+
+
+#: Orders as machines: their states as one of the two providers tells them.
+ORDER_STATES = {"hetzner": {"F": "off", "O": "running", "P": "starting"}, "digitalocean": {"F": "off", "O": "active", "P": "new"}}
 
 
 def _orders(spark, sf_dir) -> DataFrame:
     raw = F.col("o_orderstatus")
-    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", d.mapped(raw, ORDER_STATES, "unknown").alias("status"), raw.alias("raw_status"))
+    told = d.mapped(raw, ORDER_STATES["hetzner"], "?")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", d.power_status(told, F.lit("hetzner")).alias("status"), raw.alias("raw_status"))
 
 
 def q_status_map(spark, sf_dir):
     return _orders(spark, sf_dir).select("o_orderkey", "status", "raw_status")
 
 
+def q_provider_states(spark, sf_dir):
+    """Every state that one of the providers tells, and one that none does, under each of them."""
+    states = [*dict.fromkeys([*d.HETZNER_STATES, *d.DO_STATES]), "odd"]
+    k = F.col("o_orderkey")
+    raw = F.element_at(F.array(*map(F.lit, states)), (k % len(states) + 1).cast("int"))
+    provider = F.element_at(F.array(*map(F.lit, ("hetzner", "digitalocean", "other"))), (k % 3 + 1).cast("int"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", provider.alias("provider"), raw.alias("raw"), d.power_status(raw, provider).alias("status"), d.settled(d.power_status(raw, provider), raw).alias("settled"))
+
+
 def q_unit_norm(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", s.gb_from_mib(F.col("p_size")).alias("gb"))
 
@@ -57,11 +88,13 @@ def q_unit_norm(spark, sf_dir):
 def q_union_tagged(spark, sf_dir):
     customers = _t(spark, sf_dir, "customer").select(F.lit("customer").alias("provider"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
     suppliers = _t(spark, sf_dir, "supplier").select(F.lit("supplier").alias("provider"), F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"))
-    return customers.unionByName(suppliers)
+    rows, outcomes = choose.read_all({"customer": lambda: customers, "supplier": lambda: suppliers}, lambda _, df: df)
+    assert all(o["ok"] for o in outcomes)
+    return rows
 
 
 def q_json_prop(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", s.or_dash(F.get_json_object("props", "$.k")).alias("k"))
+    return _t(spark, sf_dir, "events").select("event_id", s.or_dash(F.nullif(s.json_path(F.col("props"), "$.k"), F.lit(""))).alias("k"))
 
 
 def q_sha(spark, sf_dir):
@@ -71,7 +104,7 @@ def q_sha(spark, sf_dir):
 
 def q_prefix_bound(spark, sf_dir):
     """At most 100 pages of 50 rows, in order: the bound is the feature."""
-    return _t(spark, sf_dir, "events").orderBy("event_id").limit(100 * 50).select("event_id", "user_id", "event_type")
+    return pages.prefix(_t(spark, sf_dir, "events"), ["event_id"], 50).select("event_id", "user_id", "event_type")
 
 
 def q_decide(spark, sf_dir):
@@ -120,30 +153,80 @@ def q_alarm(spark, sf_dir):
 
 def q_compatible(spark, sf_dir):
     """Parts of the types that the dearest part has, as types that fit an image's architecture."""
-    parts = _types(spark, sf_dir)
-    image = parts.orderBy(F.desc("p_retailprice"), "p_partkey").limit(1).select("p_type")
-    return parts.join(image, "p_type", "left_semi").select("p_partkey", "p_type")
+    types = _types(spark, sf_dir)
+    image = types.orderBy(F.desc("vcpu"), "id").limit(1).select("arch")
+    return choose.compatible_types(types, image, "Brand#11").select(F.col("id").alias("p_partkey"), F.col("arch").alias("p_type"))
 
 
 def q_known_ids(spark, sf_dir):
-    """For each brand up to five of its part ids, least first, without gathering the others."""
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    rows = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", first.alias("n")).where("n <= 5")
-    return rows.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(F.col("p_partkey"))).cast("array<string>"), ",").alias("known"))
+    """For each brand up to five of its part ids."""
+    rows = choose.first_ids(_t(spark, sf_dir, "part"), "p_brand", "p_partkey")
+    return rows.select("p_brand", F.array_join(F.col("known").cast("array<string>"), ",").alias("known"))
 
 
 def q_envelope(spark, sf_dir):
-    from stratamill.operators.choose import envelope
+    return choose.envelope(_t(spark, sf_dir, "region").orderBy("r_regionkey").select("r_regionkey", "r_name"), [])
 
-    return envelope(_t(spark, sf_dir, "region").orderBy("r_regionkey").select("r_regionkey", "r_name"), [])
+
+def q_envelope_failed(spark, sf_dir):
+    return choose.envelope(None, ["auth"], spark)
 
 
 def q_text_table(spark, sf_dir):
-    from stratamill.operators.choose import text_table
+    return choose.text_table(_t(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey"])
+
+
+def _picked(values, by=None):
+    """One of the values for each event."""
+    return F.element_at(F.array(*map(F.lit, values)), ((F.col("event_id") if by is None else by) % len(values) + 1).cast("int"))
+
+
+def q_exit_code(spark, sf_dir):
+    error = F.nullif(_picked([*d.EXIT_CODES, ""]), F.lit(""))
+    return _t(spark, sf_dir, "events").select("event_id", error.alias("error"), d.exit_code(error).cast("int").alias("code"))
+
+
+def q_log_level(spark, sf_dir):
+    env = F.nullif(_picked(["trace", "DEBUG", "info", "warn", "error", "none", "loud", ""]), F.lit(""))
+    return _t(spark, sf_dir, "events").select("event_id", d.log_level(env, F.col("event_id") % 3 == 0).alias("level"))
+
+
+def q_providers(spark, sf_dir):
+    flag, default = F.nullif(_picked(["all", "hetzner", ""]), F.lit("")), F.nullif(_picked(["digitalocean", ""]), F.lit(""))
+    return _t(spark, sf_dir, "events").select("event_id", F.array_join(d.providers(flag, default, F.col("event_id") % 5 < 3), ",").alias("providers"))
+
+
+def q_evaluate(spark, sf_dir):
+    e = F.col("event_id")
+    outcome = d.evaluate(_picked(["status", "absent", "created"]), F.lit("off"), _picked(["running", "success", "error", "success"], F.floor(e / 3)), _picked(["running", "off", "transitioning", "unknown", "off"], F.floor(e / 12)), e % 7 == 0)
+    return _t(spark, sf_dir, "events").select("event_id", outcome.alias("outcome"))
+
+
+def q_short_count(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", s.short_count(F.col("o_orderkey") * 500).alias("shown"))
+
+
+def q_greeting(spark, sf_dir):
+    name = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("\t "), F.col("c_name"), F.lit(" ")))
+    return _t(spark, sf_dir, "customer").select("c_custkey", s.greeting(name).alias("line"))
+
+
+def q_in_range(spark, sf_dir):
+    e = F.col("event_id")
+    found = s.in_range(F.concat((e % 400).cast("string"), F.lit(", "), (e % 50 + 20).cast("string")))
+    return _t(spark, sf_dir, "events").select("event_id", F.array_join(found.cast("array<string>"), "+").alias("widths"))
+
+
+def q_inventory(spark, sf_dir):
+    """Places of customers and suppliers in the order of an inventory."""
+    rows = q_union_tagged(spark, sf_dir)
+    return choose.inventory_order(rows).limit(500).select("provider", "id", "name")
+
 
-    return text_table(_t(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+def q_wrap(spark, sf_dir):
+    """Names of nations with tabs expanded, wrapped to six columns, and their width."""
+    text = blocks.expand_tabs(F.concat(F.lit("a\t"), F.col("n_name")))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", F.array_join(blocks.wrap(text, F.lit(6)), "|").alias("lines"), blocks.width_of(text).alias("width"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in globals().items() if k.startswith("q_")}
@@ -165,7 +248,7 @@ ORACLE: dict[str, str] = {
 WHEN action = 'stop' AND status = 'running' OR action = 'start' AND status = 'off' THEN 'Mutate' ELSE 'Noop' END AS decision,
 action IN ('stop', 'delete') AND o_orderkey % 2 <> 0 AS confirm
 FROM (SELECT o_orderkey, {_STATUS} AS status, CASE o_orderkey % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'stop' ELSE 'delete' END AS action FROM orders)""",
-    "q_response_class": """SELECT event_id, CASE WHEN c IN (401, 403) THEN 'Auth' WHEN c = 404 THEN 'NotFound' WHEN c = 429 OR c >= 500 THEN 'Transport' ELSE 'Rejected' END AS class
+    "q_response_class": """SELECT event_id, CASE WHEN c IN (401, 403) THEN 'Auth' WHEN c = 404 THEN 'NotFound' WHEN c = 429 OR c >= 500 THEN 'Transport' ELSE 'ProviderRejected' END AS class
 FROM (SELECT event_id, [200, 400, 401, 403, 404, 409, 418, 422, 429, 500, 503][event_id % 11 + 1] AS c FROM events)""",
     "q_retry": """SELECT event_id, CASE WHEN event_id % 2 = 0 AND a < 2 AND event_id % 5 <> 0 AND event_id % 100 + w <= 90 THEN w END AS delay
 FROM (SELECT event_id, event_id % 3 AS a, CAST(CASE WHEN event_id % 7 = 0 THEN 5 WHEN event_id % 3 = 0 THEN 1 ELSE 3 END AS DOUBLE) AS w FROM events)""",
@@ -177,8 +260,35 @@ CAST(ceil(seconds / 2.0) AS BIGINT) + 1 AS polls
 FROM (SELECT event_id, CASE WHEN u < 3 AND n > 0 AND n * m <= 600 THEN CAST(n * m AS INTEGER) END AS seconds
 FROM (SELECT event_id, event_id % 700 AS n, event_id % 4 AS u, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 60 ELSE 3600 END AS m FROM events))""",
     "q_alarm": "SELECT l_orderkey, l_linenumber, pct, CASE WHEN pct > 90 THEN 'red' WHEN pct > 70 THEN 'yellow' ELSE 'green' END AS level FROM (SELECT l_orderkey, l_linenumber, round(100 * l_quantity / 50) AS pct FROM lineitem)",
-    "q_compatible": "SELECT p_partkey, p_type FROM part WHERE p_type = (SELECT p_type FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 1)",
+    "q_compatible": "SELECT p_partkey, p_type FROM part WHERE p_brand = 'Brand#11' AND p_type = (SELECT p_type FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 1)",
     "q_known_ids": "SELECT p_brand, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS known FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) WHERE n <= 5 GROUP BY p_brand",
     "q_envelope": """SELECT '{"schemaVersion":1,"ok":true,"data":[' || string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY r_regionkey) || '],"errors":[]}' AS json FROM region""",
-    "q_text_table": """SELECT rtrim(rpad(CAST(n_nationkey AS VARCHAR), 11, ' ') || '  ' || rpad(n_name, CAST((SELECT greatest(max(length(n_name)), 6) FROM nation) AS INTEGER), ' ') || '  ' || rpad(CAST(n_regionkey AS VARCHAR), 11, ' ')) AS line FROM nation""",
+    "q_text_table": """WITH w AS (SELECT CAST(greatest(max(length(n_name)), 6) AS INTEGER) AS n FROM nation)
+SELECT 0 AS row, 'N_NATIONKEY  ' || rpad('N_NAME', n, ' ') || '  N_REGIONKEY' AS line FROM w UNION ALL
+SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER), rtrim(rpad(CAST(n_nationkey AS VARCHAR), 11, ' ') || '  ' || rpad(n_name, n, ' ') || '  ' || rpad(CAST(n_regionkey AS VARCHAR), 11, ' ')) FROM nation, w""",
+    "q_within": "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_retailprice <= 905 AND p_size <= 20",
+    "q_offered": "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_brand = 'Brand#11'",
+    "q_provider_states": """SELECT o_orderkey, provider, raw, status, CASE WHEN status <> 'transitioning' THEN status WHEN raw IN ('stopping', 'archive') THEN 'off' WHEN raw = 'deleting' THEN 'unknown' ELSE 'running' END AS settled
+FROM (SELECT o_orderkey, provider, raw, CASE WHEN provider <> 'other' AND raw = 'off' OR provider = 'hetzner' AND raw = 'off' THEN 'off'
+WHEN provider = 'hetzner' AND raw = 'running' OR provider = 'digitalocean' AND raw = 'active' THEN 'running'
+WHEN provider = 'hetzner' AND raw IN ('initializing', 'starting', 'stopping', 'rebuilding', 'migrating', 'deleting') OR provider = 'digitalocean' AND raw IN ('new', 'archive') THEN 'transitioning' ELSE 'unknown' END AS status
+FROM (SELECT o_orderkey, ['hetzner', 'digitalocean', 'other'][o_orderkey % 3 + 1] AS provider, ['running', 'off', 'initializing', 'starting', 'stopping', 'rebuilding', 'migrating', 'deleting', 'active', 'new', 'archive', 'odd'][o_orderkey % 12 + 1] AS raw FROM orders))""",
+    "q_envelope_failed": """SELECT '{"schemaVersion":1,"ok":false,"data":null,"errors":["auth"]}' AS json""",
+    "q_exit_code": """SELECT event_id, error, CAST(CASE WHEN error IS NULL THEN 0 WHEN error IN ('Usage', 'ConfigInvalid') THEN 2 WHEN error = 'Conflict' THEN 3 WHEN error = 'LimitExceeded' THEN 4
+WHEN error IN ('Auth', 'ProviderRejected', 'Transport', 'OutcomeUnknown', 'IncompleteInventory') THEN 5 WHEN error = 'NotFound' THEN 6 WHEN error = 'Aborted' THEN 7 WHEN error = 'WaitTimeout' THEN 9 ELSE 1 END AS INTEGER) AS code
+FROM (SELECT event_id, ['Usage', 'ConfigInvalid', 'Conflict', 'LimitExceeded', 'Auth', 'ProviderRejected', 'Transport', 'OutcomeUnknown', 'IncompleteInventory', 'NotFound', 'Aborted', 'WaitTimeout', 'Internal', NULL][event_id % 14 + 1] AS error FROM events)""",
+    "q_log_level": """SELECT event_id, coalesce(['Trace', 'Debug', 'Info', 'Warn', 'Error', 'None', NULL, NULL][event_id % 8 + 1], CASE WHEN event_id % 3 = 0 THEN 'Debug' ELSE 'Warn' END) AS level FROM events""",
+    "q_providers": """SELECT event_id, CASE WHEN chosen = 'all' THEN CASE WHEN event_id % 5 < 3 THEN 'digitalocean,hetzner' END ELSE chosen END AS providers
+FROM (SELECT event_id, coalesce(['all', 'hetzner', NULL][event_id % 3 + 1], ['digitalocean', NULL][event_id % 2 + 1]) AS chosen FROM events)""",
+    "q_evaluate": """SELECT event_id, CASE WHEN action = 'error' THEN 'failed' WHEN kind = 'absent' THEN CASE WHEN gone THEN 'settled' ELSE 'pending' END
+WHEN gone THEN CASE WHEN kind = 'created' THEN 'pending' ELSE 'failed' END
+WHEN kind = 'status' AND status = 'off' OR kind = 'created' AND status IN ('running', 'off') THEN 'settled' ELSE 'pending' END AS outcome
+FROM (SELECT event_id, ['status', 'absent', 'created'][event_id % 3 + 1] AS kind, ['running', 'success', 'error', 'success'][event_id // 3 % 4 + 1] AS action,
+['running', 'off', 'transitioning', 'unknown', 'off'][event_id // 12 % 5 + 1] AS status, event_id % 7 = 0 AS gone FROM events)""",
+    "q_short_count": """SELECT o_orderkey, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) ELSE CAST(n // 1000 + CASE WHEN n % 1000 > 500 OR n % 1000 = 500 AND n // 1000 % 2 = 1 THEN 1 ELSE 0 END AS VARCHAR) || 'k' END AS shown
+FROM (SELECT o_orderkey, o_orderkey * 500 AS n FROM orders)""",
+    "q_greeting": "SELECT c_custkey, 'Hello, ' || CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE 'world' END || '!' AS line FROM customer",
+    "q_in_range": "SELECT event_id, CASE WHEN event_id % 400 BETWEEN 20 AND 300 THEN (event_id % 400) || '+' || (event_id % 50 + 20) END AS widths FROM events",
+    "q_inventory": "SELECT provider, id, name FROM (SELECT 'customer' AS provider, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier) ORDER BY provider, name, id LIMIT 500",
+    "q_wrap": "SELECT n_nationkey, 'a     |  ' || array_to_string(regexp_extract_all(substr(n_name, 1, 4) || chr(10) || substr(n_name, 5), '[^' || chr(10) || ']{1,6}'), '|') AS lines, CAST(8 + length(n_name) AS INTEGER) AS width FROM nation",
 }

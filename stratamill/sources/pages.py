@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 import tomllib
 
@@ -28,8 +29,9 @@ def _ddl(schema: str) -> str:
 
 
 class PagedSource(DataSource):
-    """Options: path (a folder of pages), first (a page's file name), items and next (keys of the list and the cursor),
-    provider. Each row is one item as JSON, or, with a reason, how the walk ended early: pages, time, cursor or page."""
+    """Options: path (a folder of pages), first (a page's file name), items and next (keys of the list and the cursor,
+    with dots where they are nested), provider. A cursor is opaque text, as a number or an address; cursor is a pattern
+    whose first group is what names a page, and file the name of a page's file with {} for that. Each row is one item as JSON, or, with a reason, how the walk ended early: pages, time, cursor or page."""
 
     @classmethod
     def name(cls) -> str:
@@ -46,6 +48,13 @@ class _Walk(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
+    def file_of(self, cursor) -> str | None:
+        if cursor is None or cursor == "":
+            return None
+        o = {k.lower(): v for k, v in self.options.items()}
+        named = re.search(o.get("cursor", "(.*)"), str(cursor))
+        return o.get("file", "{}").replace("{}", named[1]) if named else None
+
     def partitions(self):
         return [InputPartition(p) for p in self.options["path"].split(",")]
 
@@ -57,7 +66,7 @@ class _Walk(DataSourceReader):
                 reason = "cursor"
             elif read >= int(o.get("max_pages", MAX_PAGES)):
                 reason = "pages"
-            elif time.monotonic() - began > MAX_SECONDS:
+            elif time.monotonic() - began > float(o.get("max_seconds", MAX_SECONDS)):
                 reason = "time"
             else:
                 seen.add(page)
@@ -70,13 +79,25 @@ class _Walk(DataSourceReader):
                     reason = "page"
                     break
                 read += 1
-                for item in body[o["items"]]:
+                for item in _at(body, o["items"]) or []:
                     yield o.get("provider"), json.dumps(item), None, None
-                page = body.get(o["next"])
+                page = self.file_of(_at(body, o["next"]))
         if reason:
             yield o.get("provider"), None, reason, read
 
 
+def _at(body: dict, path: str):
+    """What a path of keys leads to, or None."""
+    for key in path.split("."):
+        body = body.get(key) if isinstance(body, dict) else None
+    return body
+
+
+def prefix(rows: DataFrame, order: list[str], page_size: int, max_pages: int = MAX_PAGES) -> DataFrame:
+    """The rows that a bounded walk over pages of an ordered table sees."""
+    return rows.orderBy(*order).limit(page_size * max_pages)
+
+
 def settings(candidates: list[str], known: dict, explicit: str | None = None) -> dict:
     """Each known setting's value and source, from the first file there is; unknown keys fail, and so does an explicit
     file that is missing."""

@@ -10,4 +10,4 @@ from stratamill.functions.decisions import evaluate
 
 def observed(stream: DataFrame, wanted: str, status_col: str = "status") -> DataFrame:
     """A stream of observations of machines with how each stands to the wanted state."""
-    return stream.withColumn("outcome", evaluate(F.lit(wanted), F.col(status_col), F.lower(F.col(status_col)) == "error"))
+    return stream.withColumn("outcome", evaluate(F.lit("status"), F.lit(wanted), F.when(F.lower(F.col(status_col)) == "error", "error"), F.col(status_col), F.col(status_col).isNull()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratamill import schema
 from stratamill.functions import decisions as d
 from stratamill.functions import scalars as s
-from stratamill.operators import blocks, choose, normalize
+from stratamill.operators import blocks, choose, normalize, seeded
 from stratamill.sources import pages
 
 
@@ -27,15 +27,21 @@ def test_names(spark):
 def test_scalars(spark):
     assert one(spark, s.in_range(F.lit("70, 80"))) == [70, 80]
     assert one(spark, s.in_range(F.lit("70,301"))) is None and one(spark, s.in_range(F.lit("7x"))) is None
-    assert one(spark, s.option(F.lit('a width="3 4" b'), "width")) == "3 4"
+    options = lambda t: one(spark, s.options(F.lit(t)))
+    assert options("%% draw-visual: --width '3 4' a\\ b \"c 'd\" e\ngraph") == ["--width", "3 4", "a b", "c 'd", "e"]
+    assert options("graph\n%% draw-visual: x") == [] and options("' draw-visual: \"open" + "x" * 200) is None
     assert [one(spark, s.number_text(F.lit(x))) for x in (8.0, 0.5)] == ["8", "0.5"]
-    assert [one(spark, s.short_count(F.lit(x))) for x in (999, 1499, 1500)] == ["999", "1k", "2k"]
+    assert [one(spark, s.short_count(F.lit(x))) for x in (999, 1499, 1500, 2500, 3500)] == ["999", "1k", "2k", "2k", "4k"]
+    assert [one(spark, s.alarm(s.percent(F.lit(p), F.lit(1), F.lit(1)))) for p in (90.4, 90.6, 70.5, 71.0)] == ["yellow", "red", "green", "yellow"]
     assert [one(spark, s.duration_text(F.lit(x))) for x in (59, 61)] == ["59s", "1m01s"]
     assert one(spark, s.cost_text(F.lit(0.5))) == "$0.5000"
     assert [one(spark, s.seconds(F.lit(x).cast("string"))) for x in ("30s", "2m", "1h", None, "x")] == [30, 120, None, 180, None]
     assert one(spark, s.joined(F.lit("a"), F.lit(""), F.lit("b"))) == "a | b"
     token = one(spark, s.redacted(F.lit("x dop_v1_abc Bearer q.r")))
     assert token == "x [redacted] Bearer [redacted]" and one(spark, s.redacted(F.lit(token))) == token
+    header = one(spark, s.redacted(F.lit("a\nAuthorization: abc def\nb")))
+    assert header == "a\n[redacted]\nb" and one(spark, s.redacted(F.lit(header))) == header
+    assert one(spark, s.without_keys(F.create_map(*map(F.lit, ("userData", "x", "k", "v"))))) == {"k": "v"}
     assert one(spark, s.user_data_ok(F.lit(b"ok"), F.lit("hetzner"))) is True
     assert one(spark, s.user_data_ok(F.lit(b"\xff"), F.lit("hetzner"))) is False
     assert one(spark, s.without_keys(F.create_map(F.lit("Token"), F.lit("x"), F.lit("a"), F.lit("b")))) == {"a": "b"}
@@ -51,8 +57,8 @@ def test_decide(spark, action, status, expected):
 
 
 def test_decisions(spark):
-    assert one(spark, d.exit_code(F.lit("Auth"))) == 3 and one(spark, d.exit_code(F.lit(None).cast("string"))) == 0
-    assert [one(spark, d.response_class(F.lit(c))) for c in (403, 404, 422, 429, 503, 418)] == ["Auth", "NotFound", "Rejected", "Transport", "Transport", "Rejected"]
+    assert {k: one(spark, d.exit_code(F.lit(k))) for k in ("Usage", "Conflict", "LimitExceeded", "Auth", "IncompleteInventory", "NotFound", "Aborted", "WaitTimeout", "Internal")} == {"Usage": 2, "Conflict": 3, "LimitExceeded": 4, "Auth": 5, "IncompleteInventory": 5, "NotFound": 6, "Aborted": 7, "WaitTimeout": 9, "Internal": 1} and one(spark, d.exit_code(F.lit(None).cast("string"))) == 0
+    assert [one(spark, d.response_class(F.lit(c))) for c in (403, 404, 422, 429, 503, 418)] == ["Auth", "NotFound", "ProviderRejected", "Transport", "Transport", "ProviderRejected"]
     retry = lambda attempt, elapsed: one(spark, d.retry_delay(F.lit(True), F.lit(attempt), F.lit(True), F.lit(elapsed), F.lit(None)))
     assert [retry(0, 0), retry(1, 87), retry(1, 88), retry(2, 0)] == [1.0, 3.0, None, None]
     assert one(spark, d.providers(F.lit(None).cast("string"), F.lit("all"))) == ["digitalocean", "hetzner"]
@@ -116,6 +122,92 @@ def test_settings(spark, tmp_path):
         pages.settings([str(tmp_path / "c.toml")], {"b": 3})
 
 
+def test_pages_of_both_providers(spark, tmp_path):
+    item = lambda i: {"id": i}
+    (tmp_path / "servers.page1.json").write_text(json.dumps({"servers": [item(1)], "meta": {"pagination": {"page": 1, "next_page": 2}}}))
+    (tmp_path / "servers.page2.json").write_text(json.dumps({"servers": [item(2)], "meta": {"pagination": {"page": 2, "next_page": None}}}))
+    (tmp_path / "droplets.page1.json").write_text(json.dumps({"droplets": [item(3)], "links": {"pages": {"next": "https://api.example/v2/droplets?per_page=200&page=2"}}}))
+    (tmp_path / "droplets.page2.json").write_text(json.dumps({"droplets": [item(4)], "links": {}}))
+    spark.dataSource.register(pages.PagedSource)
+    read = lambda **o: [(r.item and json.loads(r.item)["id"], r.reason, r.pages_read) for r in spark.read.format("paged_json").options(path=str(tmp_path), **o).load().collect()]
+    hetzner = {"first": "servers.page1.json", "items": "servers", "next": "meta.pagination.next_page", "file": "servers.page{}.json"}
+    assert read(**hetzner) == [(1, None, None), (2, None, None)]
+    assert read(**hetzner, max_pages="1") == [(1, None, None), (None, "pages", 1)]
+    assert read(**hetzner, max_seconds="-1") == [(None, "time", 0)]
+    assert read(first="droplets.page1.json", items="droplets", next="links.pages.next", cursor=r"[?&]page=(\d+)", file="droplets.page{}.json") == [(3, None, None), (4, None, None)]
+
+
+def test_outcomes_and_requests(spark):
+    outcome = lambda rows: choose.list_outcome(spark.createDataFrame(rows, "provider string, error string, reason string")).first()
+    assert tuple(outcome([("h", None, None), ("d", None, None)])) == (True, [], 0)
+    one_failed = outcome([("h", "NotFound", None), ("d", None, None)])
+    assert not one_failed.ok and [tuple(e) for e in one_failed.errors] == [("not-found", "h")] and one_failed.exit_code == 6
+    both = outcome([("h", "Auth", None), ("d", None, "pages")])
+    assert [tuple(e) for e in both.errors] == [("incomplete-inventory", "d"), ("auth", "h")] and both.exit_code == 5
+    schema_ = "command string, provider string, type string, vcpu double, memory double, disk double, timeout int, wait boolean, yes boolean, dry_run boolean"
+    ask = lambda *r: choose.usage_errors(spark.createDataFrame([r], schema_)).first().usage
+    assert ask("create", "hetzner", "t", None, None, None, 60, True, None, True) == []
+    assert ask("list", "all", None, None, None, None, None, None, None, None) == []
+    assert ask("show", "all", None, None, None, None, 700, None, True, True) == ["timeout requires wait", "timeout is over 10 minutes", "all providers are for list only", "yes is for stop and delete only", "dry-run is for changes only"]
+    assert ask("create", None, "t", 1.5, None, -1.0, None, None, None, None) == ["type excludes vcpu and memory", "disk goes with vcpu and memory only", "vcpu is no positive whole number", "disk is not positive"]
+
+
+def test_seeded_inventory(spark):
+    rows = [("hetzner", "1", "n", "running"), ("hetzner", "2", "f", "off"), ("digitalocean", "3", "n", "running")]
+    vms = spark.createDataFrame([(p, i, r, s_, s_) for p, i, r, s_ in rows], "provider string, id string, region string, status string, raw_status string")
+    faults = lambda *f: spark.createDataFrame(list(f), "provider string, error string, reason string")
+    read, outcomes = seeded.listed(vms, faults(("hetzner", "Auth", None)), "n")
+    assert [r.id for r in read.collect()] == ["3"] and choose.list_outcome(outcomes).first().exit_code == 5
+    read, outcomes = seeded.listed(vms, faults(("digitalocean", None, "pages")))
+    assert read.count() == 3 and [e.code for e in choose.list_outcome(outcomes).first().errors] == ["incomplete-inventory"]
+    moved = seeded.powered_on(seeded.shut_down(vms, "1"), "2")
+    assert {r.id: r.status for r in moved.collect()} == {"1": "transitioning", "2": "transitioning", "3": "running"}
+    states = lambda df: {r.id: r.status for r in df.collect()}
+    assert states(seeded.settle(moved)) == states(seeded.settle(seeded.settle(moved))) == {"1": "off", "2": "running", "3": "running"}
+    assert states(seeded.deleted(seeded.deleted(vms, "1"), "1")) == {"2": "off", "3": "running"}
+    new = spark.createDataFrame([("hetzner", "9", "n", None, None)], vms.schema)
+    assert states(seeded.settle(seeded.created(vms, new)))["9"] == "running"
+    wanted = spark.createDataFrame([("hetzner", "1"), ("hetzner", "3")], "provider string, id string")
+    assert {r.id: r.error for r in choose.found_or_error(vms, wanted).collect()} == {"1": None, "3": "NotFound"}
+
+
+def test_details_and_receipts(spark):
+    vm = spark.createDataFrame([("hetzner", "1", "a", "t", "r", "unknown", "odd", 8.0, 0.5, None, None, "i", None, {"b": "2", "a": "1"}, None, [("volume", "5", None)])], schema.VM)
+    row = normalize.details(vm).first()
+    assert (row.ram_gb, row.disk_gb, row.ipv4, row.created, row.labels, row.attached, row.raw_status) == ("8", "0.5", "-", "-", "a=1, b=2", "volume:5", "odd")
+    raw = spark.createDataFrame([("1", "7", "running"), ("2", None, None), ("3", "8", "success")], "vm_id string, action_id string, status string")
+    assert [r.status for r in normalize.receipts(raw, "hetzner").collect()] == ["accepted", "accepted", "completed"]
+    assert json.loads(choose.envelope(None, ["auth"], spark).first().json) == {"schemaVersion": 1, "ok": False, "data": None, "errors": ["auth"]}
+
+
+def test_fences(spark):
+    texts = {
+        1: "# Lesson\r\n<!-- draw-visual: diagrams/boot.mmd -->\r\n```text\r\n┌─┐\r\n│A│\r\n└─┘\r\n```\r\n```sh\r\necho\r\n```\r\n",
+        2: "  ~~~~ text\n```\nin\n~~~\n  ~~~~~\n## Two\n```text\n```\n```text\n\x1b[1mb\x1b[0m\n```",
+        3: "```text\nunclosed", 4: "# none", 5: "```text\na\x07\n```",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "id int, text string")
+    found = sorted((r.id, r.block, r.label, r.line, r.lines, r.error) for r in blocks.fenced(docs).collect())
+    assert found == [
+        (1, 1, "diagrams/boot.mmd", 4, ["┌─┐", "│A│", "└─┘"], None),
+        (2, 1, "text", 2, ["```", "in", "~~~"], None), (2, 2, "Two", 10, ["b"], None),
+        (3, None, None, None, None, "unclosed fence"), (4, None, None, None, None, "no block"), (5, None, None, None, None, "control character U+0007"),
+    ]
+    raw = {r.id: (r.lines, r.error) for r in blocks.fenced(spark.createDataFrame([(1, "a\nb\n"), (2, " \n")], "id int, text string"), raw=True).collect()}
+    assert raw == {1: (["a", "b"], None), 2: (None, "empty input")}
+    told = blocks.manifest(blocks.fenced(docs.where("id = 1")), [2, 20]).first()
+    assert told.failed and [(m["content_width"], m["wrapped_lines"]) for m in json.loads(told.manifest)] == [(2, [4, 5, 6]), (20, [])]
+
+
+def test_embeds(spark):
+    marker = "<!-- draw-visual: {} -->\n"
+    good = marker.format("a") + "```text\nx\n```\n" + marker.format("b") + "```\nold\n```\n" + marker.format("wide") + "```\n" + "w" * 111 + "\n```\n" + marker.format("none") + "```\n```"
+    docs = spark.createDataFrame([(1, good), (2, marker.format("a") + "text"), (3, marker.format("a") + "```\nopen"), (4, "nothing")], "id int, text string")
+    rendered = spark.createDataFrame([("a", ["x"]), ("b", ["new"]), ("wide", ["w" * 111])], "path string, lines array<string>")
+    found = {(r.id, r.path): r.problem for r in blocks.embeds(docs, rendered).collect()}
+    assert found == {(1, "a"): None, (1, "b"): "stale", (1, "wide"): "111 columns wide", (1, "none"): "not rendered", (2, None): "line 1: a marker without a fenced block", (3, None): "line 2: unclosed fence"}
+
+
 def test_blocks(spark):
     docs = spark.createDataFrame([(1, "x\r\n```text\r\nab\tc\r\n```\r\n```sh\r\nls\r\n```"), (2, "```text\nopen"), (3, "none")], "id int, text string")
     found = {r.id: r for r in blocks.fenced(docs).collect()}
