@@ -13,6 +13,7 @@ of a text are made where these meet.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from itertools import chain, islice
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stratamill.llm._shared import checkpointed, field, map_texts
 
-LEAF = 2048
+LEAF = 4096
 #: Bytes of texts that are encoded side by side: the more, the fewer words come again.
 TOGETHER = 2_000_000
 #: Characters of a part of a text that is cut over tasks.
@@ -55,8 +56,10 @@ class Merges:
         order = np.argsort(keys)
         self.keys, self.rank = keys[order], order
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.open_symbol = {s: vocab[s] for s in byte_symbols()}
-        self.last_symbol = {s: vocab[s + self.end] for s in byte_symbols()}
+        #: Ids by the code points of symbols, inside a word and at its end.
+        self.open_symbol, self.last_symbol = np.zeros(512, np.int64), np.zeros(512, np.int64)
+        for s in byte_symbols():
+            self.open_symbol[ord(s)], self.last_symbol[ord(s)] = vocab[s], vocab[s + self.end]
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         k = a * self.size + b
@@ -67,11 +70,12 @@ class Merges:
         """Ids of each piece; ``last``: it ends its word."""
         if not pieces:
             return []
-        codes = list(map(self.open_symbol.__getitem__, "".join(pieces)))
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        symbols, ends = np.array(codes, np.int64), np.cumsum(sizes)
+        symbols, ends = self.open_symbol[codes], np.cumsum(sizes)
         if last:
-            symbols[ends[sizes > 0] - 1] = [self.last_symbol[p[-1]] for p in pieces if p]
+            at = ends[sizes > 0] - 1
+            symbols[at] = self.last_symbol[codes[at]]
         owner = np.repeat(np.arange(len(pieces)), sizes)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         rank = np.full(len(symbols), _NONE)  # of each symbol with the next of its piece
@@ -180,7 +184,7 @@ class TreeEncoder:
     def _words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of different words."""
         known = [self.memo.get(w) or self.older.get(w) for w in words]
-        new = {w: self._pieces(w.decode()) for w, ids in zip(words, known, strict=True) if ids is None}
+        new = {w: [w.lower().decode()] if w.isalpha() else self._pieces(w.decode()) for w, ids in zip(words, known, strict=True) if ids is None}
         if new:
             ids = self._encoded(set(chain.from_iterable(new.values())))
             made = {w: tuple(ids[p[0]]) if len(p) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, p))) for w, p in new.items()}
@@ -233,7 +237,11 @@ class TreeEncoder:
 
     def parts(self, texts: list[str]) -> list[Encoded]:
         """Texts, each encoded on its own."""
-        ids, begin, first = self.leaves(pa.array(texts, pa.string()))
+        gc.disable()  # hundreds of thousands of small lists and tuples, and no cycles
+        try:
+            ids, begin, first = self.leaves(pa.array(texts, pa.string()))
+        finally:
+            gc.enable()
         return [Encoded(t, ids[begin[a] : begin[b]], begin[a : b + 1] - begin[a]) for t, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
     def concatenated(self, texts: list[list[Encoded]]) -> list[Encoded]:
