@@ -12,7 +12,6 @@ import hashlib
 import re
 import unicodedata
 from datetime import date, timedelta
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +30,20 @@ SETS = {c: a for a in ALPHABETS for c in a}
 TOGETHER = 256
 
 
-@lru_cache(100_000)
+#: Sets of characters of other scripts that a process has met; there are no more than code points.
+OTHERS: dict[str, str] = {}
+
+
 def alphabet(c: str) -> str:
     """The set of a letter or digit: of other scripts those of its kind among its 128 code points. Others have none."""
     if c in SETS:
         return SETS[c]
     if not c.isalnum():
         return ""
-    low, kind = ord(c) & ~127, unicodedata.category(c)
-    return "".join(x for x in map(chr, range(low, low + 128)) if x not in SETS and x.isalnum() and unicodedata.category(x) == kind)
+    if c not in OTHERS:
+        low, kind = ord(c) & ~127, unicodedata.category(c)
+        OTHERS[c] = "".join(x for x in map(chr, range(low, low + 128)) if x not in SETS and x.isalnum() and unicodedata.category(x) == kind)
+    return OTHERS[c]
 
 
 PATTERN = re.compile(
