@@ -120,12 +120,13 @@ def scan(df: DataFrame, model: MarkovPair, text_col: str = "text", spans_col: st
 
 def samples(spark: SparkSession, docs: DataFrame, random_strings: int = 4000, ordinary_docs: int = 1000) -> DataFrame:
     """Labelled samples: that many strings of each random alphabet, and identifiers joined from the words of about
-    that many documents, drawn by a hash of their id; words with digits are left out."""
+    that many documents, drawn by a hash of their id; words with digits are left out. Plain numbers, as cards and
+    accounts have, are ordinary too."""
     ids = spark.range(random_strings)
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     random = [digest.substr(1, 40), F.base64(F.unhex(digest)), F.upper(F.substring(F.translate(F.base64(F.unhex(digest)), "+/=", ""), 1, 24))]
     words = drawn(docs.where(F.col("text").isNotNull()), "doc_id", ordinary_docs).select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")).where("length(w) > 1").distinct()
-    ordinary = [F.col("w"), F.lower("w"), F.initcap("w"), F.upper("w"), F.concat_ws("_", F.lower("w"), F.lower("w")), F.concat_ws("_", F.upper("w"), F.upper("w"), F.upper("w")), F.concat_ws("-", F.lower("w"), F.initcap("w")), F.concat_ws("/", F.col("w"), F.lower("w")), F.concat(F.lower("w"), F.initcap("w"), F.initcap("w")), F.concat(F.initcap("w"), F.initcap("w"), F.lit("2"))]
+    ordinary = [F.col("w"), F.lower("w"), F.initcap("w"), F.upper("w"), F.concat_ws("_", F.lower("w"), F.lower("w")), F.concat_ws("_", F.upper("w"), F.upper("w"), F.upper("w")), F.concat_ws("-", F.lower("w"), F.initcap("w")), F.concat_ws("/", F.col("w"), F.lower("w")), F.concat(F.lower("w"), F.initcap("w"), F.initcap("w")), F.concat(F.initcap("w"), F.initcap("w"), F.lit("2")), F.concat(F.crc32("w"), F.crc32(F.reverse("w")))]
     labelled = lambda df, forms, label: df.select(F.explode(F.array(*forms)).alias("sample"), F.lit(label).alias("label"))
     return labelled(ids, random, 1).unionByName(labelled(words, ordinary, 0))
 

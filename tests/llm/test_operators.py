@@ -143,6 +143,7 @@ def test_markov_pair_on_held_out_strings(spark):
         w = [r.choice(english) for _ in range(r.randint(3, 6))]
         names.append(r.choice(["_".join(w), "-".join(w), "/".join(w), "".join(x.title() for x in w), w[0] + "".join(x.title() for x in w[1:]), "_".join(w).upper(), "".join(x.title() for x in w) + "2"]))
     names = [x for x in names if len(x) >= secrets.CANDIDATE_CHARS] + ["AbstractSingletonProxyFactoryBean2", "getElementsByClassNameAndAttribute"]
+    names = ["".join(r.choice("0123456789") for _ in range(16)) for _ in range(100)] + names
     rows = [(i, f"x {t} y") for i, t in enumerate(keys + names)]
     found = {x.doc_id: len(x.spans) > 0 for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     recall = sum(found[i] for i in range(len(keys))) / len(keys)
