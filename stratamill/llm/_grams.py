@@ -5,7 +5,7 @@ feed after each text. Each word's bytes are hashed, eight at a time, and the has
 halves, as in a tree. Every step scrambles 64 bits in a way that is not linear, so runs of the same few words collide no
 more often than any others do.
 
-To compare what whole corpora hold, documents are dealt into chunks of bounded size. Each chunk sends its distinct
+To compare what whole corpora hold, documents are dealt into chunks of about one size. Each chunk sends its distinct
 hashes, sorted, as one binary per bucket of the hash range; a bucket compares the chunks and answers to each. A key
 that is everywhere is sent once by a chunk, so no bucket gathers all rows of a hot key.
 """
@@ -135,11 +135,13 @@ def byte_slices(texts: list[str | None], most: int = SLICE_BYTES):
 
 
 def chunked(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, more: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """id, text, chunk and ``more`` columns; and the number of chunks, which grows with the bytes of text."""
+    """id, text, chunk and ``more`` columns; and the number of chunks, which grows with the bytes of text. Rows are dealt
+    by id and text, so rows that share an id, null ones too, do not share a chunk."""
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     n = 1 + total // chunk_bytes
     key = F.col(f"`{id_col}`").cast("long")
-    return df.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.pmod(F.xxhash64(key), F.lit(n)).alias("chunk"), *more), n
+    text = F.col(f"`{text_col}`").cast("string")
+    return df.select(key.alias("id"), text.alias("text"), F.pmod(F.xxhash64(key, text), F.lit(n)).alias("chunk"), *more), n
 
 
 def dealt(keys: np.ndarray, buckets: int, chunk: int, *more: np.ndarray) -> pa.RecordBatch:

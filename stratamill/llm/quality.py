@@ -17,6 +17,8 @@ from stratamill.llm._shared import drawn, field, lean, map_texts
 
 #: At most about this many labelled documents are learned from, drawn by a hash of their id.
 TRAIN_DOCS = 6000
+#: So many passages of each at most, 32,768 words.
+TRAIN_PASSAGES = 512
 PASSAGE = 64
 #: Classes of bytes that are counted apart.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",;:", "!?", "*", "$", "%", "&", "#", "|", "\"'()-", "<>{}[]=/\\_@+~^`"]
@@ -67,6 +69,15 @@ def passages(texts: list[str | None]):
         yield a, b, first, x
 
 
+def thinned(first: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bags of passages with no more than so many each, spread evenly."""
+    n = np.diff(first)
+    of = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(of)) - first[:-1][of]
+    keep = at * most // n[of] != (at - 1) * most // n[of]
+    return np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(n)))]), x[keep]
+
+
 class Attention:
     def __init__(self, features: int = FEATURES, hidden: int = 24, gate: int = 12, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -115,9 +126,10 @@ class Attention:
         return f["p"], f["a"]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Attention:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_passages: int = TRAIN_PASSAGES) -> Attention:
     """The model of labelled documents; of two labels for one id the larger counts, null ids and labels take no part,
-    and equal texts count once. Without labelled documents the weights stay as drawn."""
+    and equal texts count once. Without labelled documents the weights stay as drawn. It learns from about ``max_docs``
+    documents, and from ``max_passages`` of each at most, spread evenly over longer ones; scoring reads all passages."""
     clean = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
     sample = drawn(clean, id_col, max_docs)  # about max_docs rows of two numbers
     both = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(sample), id_col)
@@ -127,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b, first, x in passages(texts):
+                first, x = thinned(first, x, max_passages)
                 cuts = first * FEATURES
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), lists], names=["key", "label", "x"])

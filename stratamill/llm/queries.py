@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamill.llm import bpe, bsi_topk, decontaminate, near_dedup, ppm, pseudonyms, quality, secrets, substring_dedup, toxicity
@@ -17,6 +17,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _held_out(mod: int, remainder: int) -> Column:
+    """Whether a row's id has that remainder; a null id has none, so its row is not held out."""
+    return F.coalesce(crc_mod("doc_id", mod) == remainder, F.lit(False))
+
+
 def op4_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -32,7 +37,7 @@ def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = crc_mod("doc_id", 5) == 0
+    held_out = _held_out(5, 0)
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
     out = quality.score(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -40,14 +45,14 @@ def op7_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = crc_mod("doc_id", 4) == 2
+    held_out = _held_out(4, 2)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
     out = toxicity.score(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 7) == 2).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", _held_out(7, 2).alias("held_out"))
     docs = docs.withColumn("train", ~F.col("held_out"))
     out = ppm.unigram(docs, "train", more=("held_out",), order=ppm.ORDER)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -130,7 +130,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         order = np.lexsort((place, ids, c, h))
         h, c, ids, place, chunk = (x[order] for x in (h, c, ids, place, chunk))
         first = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.zeros(0, bool)
-        later = np.flatnonzero(~first)
+        head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.zeros(0, np.int64)
+        later = np.flatnonzero((ids != ids[head]) | (place != place[head]))
         return answers(chunk[later], h[later], c[later], names=["keys", "checks"])
 
     def remove(table, replies):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratamill.llm import bpe, bsi_topk, decontaminate, near_dedup, ppm, pseudonyms, quality, secrets, substring_dedup, toxicity
+from stratamill.llm._grams import chunked
 from stratamill.llm.components import components
 from stratamill.llm.queries import ORACLE, QUERIES, vocabulary
 
@@ -54,6 +55,47 @@ def test_substring_dedup(docs, texts):
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in found} == expected
 
 
+def test_substring_dedup_of_repeated_and_null_ids(spark):
+    texts = [sentence(60) for _ in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[0] + " end"), (None, None), (7, texts[1]), (7, texts[1]), (7, texts[2]), (9, texts[3]), (9, "x " + texts[3]), (9, texts[3])] * 3
+    first = {}
+    for i, t in rows:
+        w = words(t)
+        for p in range(len(w) - 19):
+            at = (-1 if i is None else i, p)
+            first[tuple(w[p : p + 20])] = min(first.get(tuple(w[p : p + 20]), at), at)
+
+    def kept(i, t):
+        w = words(t)
+        gone = {q for p in range(len(w) - 19) if first[tuple(w[p : p + 20])] != (-1 if i is None else i, p) for q in range(p, p + 20)}
+        return " ".join(x.decode() for q, x in enumerate(w) if q not in gone)
+
+    found = substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=300).collect()
+    assert collections.Counter((r.doc_id, r.kept) for r in found) == collections.Counter((i, kept(i, t)) for i, t in rows)
+
+
+def test_rows_of_one_id_are_dealt_over_chunks(spark):
+    rows = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"))
+    dealt, n = chunked(rows, "doc_id", "text", 1000)
+    assert max(r["count"] for r in dealt.groupBy("chunk").count().collect()) < 8 * 2000 / n
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    text = [(i, sentence(30) + " bad" * (i % 2)) for i in range(40)] + [(None, "the of"), (None, None)]
+    spark.createDataFrame(text, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op7_attention_quality", "op8_segments", "op9_ppm"):
+        held = [(r.doc_id, r.held_out) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        assert len(held) == 42 and [x for i, x in held if i is None] == [False, False]
+        assert {x for _, x in held} == {True, False}
+
+
+def test_long_texts_teach_a_bounded_number_of_passages():
+    x = np.arange(12.0)[:, None]
+    first, kept = quality.thinned(np.array([0, 1, 3, 12]), x, 3)
+    assert first.tolist() == [0, 1, 3, 6] and kept[:, 0].tolist() == [0, 1, 2, 3, 6, 9]
+
+
 def test_difference_covers():
     for period, cover in substring_dedup.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
