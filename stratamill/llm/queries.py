@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamill.llm import bpe, bsi_topk, decontaminate, near_dedup, ppm, pseudonyms, quality, secrets, substring_dedup, toxicity
+from stratamill.llm import bpe, bsi_topk, decontaminate, infilling, near_dedup, ppm, pseudonyms, quality, secrets, substring_dedup, toxicity
 from stratamill.llm._shared import crc_mod, table
 
 
@@ -85,6 +85,11 @@ def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(docs, model))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return infilling.digests(infilling.restored(infilling.fill_in_middle(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_bit_sliced_topk": op2_bit_sliced_topk,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_segments": op8_segments,
     "op9_ppm": op9_ppm,
     "op10_tree_bpe": op10_tree_bpe,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: DuckDB SQL for those that SQL can express.
@@ -116,5 +122,21 @@ WITH v AS (
   FROM s
 )
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
+""",
+    "op13_fill_in_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), x AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (length(t) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (length(t) + 1) AS c2,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), y AS (SELECT doc_id, t, n, form, CASE WHEN c1 < c2 THEN c1 ELSE c2 END AS a, CASE WHEN c1 < c2 THEN c2 ELSE c1 END AS b FROM x)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+    ELSE '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM y
 """,
 }
