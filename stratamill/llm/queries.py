@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamill.llm import bpe, bsi_topk, decontaminate, infilling, near_dedup, ppm, pseudonyms, quality, secrets, substring_dedup, toxicity
+from stratamill.llm import bpe, bsi_topk, decontaminate, infilling, near_dedup, ppm, pseudonyms, quality, secrets, spelling, substring_dedup, toxicity
 from stratamill.llm._shared import crc_mod, table
 
 
@@ -85,6 +85,11 @@ def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(docs, model))
 
 
+def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spelling.spelling_forms(table(spark, sf_dir, "documents"))
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return infilling.digests(infilling.restored(infilling.fill_in_middle(docs)))
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_segments": op8_segments,
     "op9_ppm": op9_ppm,
     "op10_tree_bpe": op10_tree_bpe,
+    "op11_spelling_forms": op11_spelling_forms,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
