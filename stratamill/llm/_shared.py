@@ -60,6 +60,17 @@ def small(df: DataFrame, cells: Column | None = None, most: int = 1_000_000) ->
     return F.broadcast(df) if n <= most else df
 
 
+def heavy_join(rows: DataFrame, values: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """rows with the columns of ``values``, which has each key once, and in ``rows`` how many rows have it. Keys of over
+    one in ``share`` of the rows, of which there are fewer than ``share``, are sent to where the rows are; only the
+    others' rows are shuffled. ``values`` should be a checkpoint, as it is read more than once."""
+    total = values.agg(F.sum("rows")).first()[0] or 0
+    heavy = F.col("rows") * share > total
+    hot = F.broadcast(values.where(heavy).drop("rows"))
+    rest = rows.join(F.broadcast(values.where(heavy).select(key)), key, "left_anti").join(values.where(~heavy).drop("rows"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def slices(sizes: np.ndarray, most: int = SLICE_BYTES):
     """Ranges of values that have about that many bytes, one value at least."""
     ends = np.cumsum(sizes)

@@ -64,7 +64,7 @@ def set_hash(keys: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return mixed(np.add.reduceat(one, heads) ^ mixed(np.bitwise_xor.reduceat(two, heads) + sizes.astype(np.uint64)))
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
@@ -83,14 +83,14 @@ def _signatures(words: int, collections: int, with_sets: bool):
                 if len(full):
                     cls[full] = set_hash(keys, heads, sizes[full]).view(np.int64)
                 if with_sets:
-                    more = _lists(keys, sizes)
+                    more = lists(keys, sizes)
                 else:
                     sketch = np.zeros((b - a, collections), np.uint64)
                     spread = mixed(keys)
                     for c in range(collections if len(full) else 0):
                         x, y = (np.minimum.reduceat(mixed_by(spread, *odd[2 * c + i]), heads) for i in (0, 1))
                         sketch[full, c] = mixed(x ^ mixed(y + np.uint64(c)))
-                    more = _lists(sketch.ravel(), np.full(b - a, collections))
+                    more = lists(sketch.ravel(), np.full(b - a, collections))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(cls), pa.array(sizes.astype(np.int64)), more], names=["id", "cls", "n", "set" if with_sets else "sketch"])
 
     return run
@@ -119,8 +119,8 @@ def candidates(classes: DataFrame, collections: int = COLLECTIONS) -> DataFrame:
             first = ids[np.flatnonzero(heads)[np.cumsum(heads) - 1]] if len(keys) else ids
             other = ~heads & (ids != first)
             links = np.unique(np.stack([first[other], ids[other]], 1), axis=0)
-            for cls, key, linked in ((ids[heads], keys[heads], None), (links[:, 0], mixed(links[:, 1].view(np.uint64)), links[:, 1])):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls), pa.nulls(len(cls), pa.int64()) if linked is None else pa.array(linked)], names=["key", "cls", "linked"])
+            for cls, key, other_of in ((ids[heads], keys[heads], None), (links[:, 0], mixed(links[:, 1].view(np.uint64)), links[:, 1])):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls), pa.nulls(len(cls), pa.int64()) if other_of is None else pa.array(other_of)], names=["key", "cls", "linked"])
 
     sent = classes.select("cls", "sketch").mapInArrow(lean(send), "key long, cls long, linked long")
     # a row that is a link already needs no other, and lies wherever its key puts it
@@ -129,21 +129,21 @@ def candidates(classes: DataFrame, collections: int = COLLECTIONS) -> DataFrame:
     return met.where("a != b").distinct()
 
 
-def _sets_of(table: pa.Table, column: str = "set") -> tuple[np.ndarray, np.ndarray]:
+def sets_of(table: pa.Table, column: str = "set") -> tuple[np.ndarray, np.ndarray]:
     """All sets of a table, one after another, and where each begins, one more at the end."""
     lists = table.column(column).combine_chunks()
     offsets = lists.offsets.to_numpy()
     return lists.flatten().to_numpy(), offsets - offsets[0]
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of classes whose sets are as similar as asked for. The pairs of one a are verified together,
     in parts of about PART, each of which gets the set of a."""
 
     def verify(table):
         a = table.column("a")[0].as_py()
         cls = table.column("cls").to_numpy()
-        flat, at = _sets_of(table)
+        flat, at = sets_of(table)
         n = np.diff(at)
         own = np.flatnonzero(cls == a)[0]
         both = np.add.reduceat(np.isin(flat, flat[at[own] : at[own + 1]]), at[:-1])
@@ -182,8 +182,8 @@ def _rest(sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> Data
 
     def compare(table):
         comp, found = table.column("comp").to_numpy(), set()
-        flat, at = _sets_of(table)
-        token, cut = _sets_of(table, "tokens")
+        flat, at = sets_of(table)
+        token, cut = sets_of(table, "tokens")
         row = np.repeat(np.arange(len(comp)), np.diff(cut))
         order = np.argsort(token, kind="stable")
         token, row = token[order], row[order]
@@ -232,7 +232,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, different = sets.select("cls").agg(F.count("*"), F.countDistinct("cls")).first()
     if rows > different:  # rows of one id and text
         sets = checkpointed(sets.groupBy("cls").agg(F.first("n").alias("n"), F.first("set").alias("set")))
-    comps = components(checkpointed(_linked(pairs, sets, percent)))
+    comps = components(checkpointed(linked(pairs, sets, percent)))
     comp_of = sets.select("cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
     comp_of = checkpointed(comp_of)
     side = lambda name: comp_of.select(F.col("cls").alias(name), F.col("comp").alias(f"c{name}"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamill.llm import bpe, bsi_topk, decontaminate, infilling, near_dedup, ppm, pseudonyms, quality, secrets, spelling, substring_dedup, toxicity
+from stratamill.llm import bpe, bsi_topk, decontaminate, infilling, near_dedup, ngram_join, ppm, pseudonyms, quality, secrets, spelling, substring_dedup, toxicity
 from stratamill.llm._shared import crc_mod, table
 
 
@@ -90,6 +90,10 @@ def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return infilling.digests(infilling.restored(infilling.fill_in_middle(docs)))
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ppm": op9_ppm,
     "op10_tree_bpe": op10_tree_bpe,
     "op11_spelling_forms": op11_spelling_forms,
+    "op12_count_vector_join": op12_count_vector_join,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
