@@ -43,7 +43,12 @@ def byte_symbols() -> list[str]:
 
 
 class Merges:
-    """Byte-pair merges of many pieces at once: in each round, every piece makes its best merge."""
+    """Byte-pair merges of many pieces at once: in each round, every piece makes its best merge, wherever it has it.
+
+    A merge makes a symbol that only later merges take, as in every vocabulary that was learned merge by merge; so places
+    of one merge are all made before any that it leads to, from left to right where they overlap, as in a run of equal
+    symbols. Of other vocabularies each piece makes one merge in a round.
+    """
 
     def __init__(self, model: dict):
         vocab = model["vocab"]
@@ -56,6 +61,9 @@ class Merges:
         order = np.argsort(keys)
         self.keys, self.rank = keys[order], order
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        first_made = np.full(self.size, -1, np.int64)
+        first_made[self.made[::-1]] = np.arange(len(pairs))[::-1]
+        self.in_order = bool((np.maximum(first_made[left], first_made[right]) < np.arange(len(pairs))).all())
         #: Ids by the code points of symbols, inside a word and at its end.
         self.open_symbol, self.last_symbol = np.zeros(512, np.int64), np.zeros(512, np.int64)
         for s in byte_symbols():
@@ -94,8 +102,13 @@ class Merges:
                     break
                 heads = np.cumsum(lengths) - lengths
             hits = np.flatnonzero(rank == np.repeat(best, lengths))
-            at = hits[np.concatenate([[True], owner[hits][1:] != owner[hits][:-1]])]
-            symbols[at] = self.made[best]
+            if self.in_order:
+                begins = np.concatenate([[True], hits[1:] != hits[:-1] + 1])  # of runs in which each overlaps the next
+                place = np.arange(len(hits))
+                at = hits[(place - place[begins][np.cumsum(begins) - 1]) % 2 == 0]
+            else:
+                at = hits[np.concatenate([[True], owner[hits][1:] != owner[hits][:-1]])]
+            symbols[at] = self.made[rank[at]]
             stays = np.ones(len(symbols), bool)
             stays[at + 1] = False
             at = at - np.arange(len(at))  # where they stand once the merged symbols are out

@@ -228,14 +228,16 @@ def test_decontamination_as_brute_force(spark, docs, texts, tmp_path):
     """The registered query against all windows of all sizes, with items whose shingles repeat."""
     letters = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     runs = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    own = random.Random(61)
+    sentence = lambda n: " ".join(own.choice(VOCABULARY) for _ in range(n))
     common = sentence(40)
     items = {1: common, 2: sentence(25), 3: None, 4: "a b " * 12, 5: " ".join(common.split()[:30]), 6: "of the x"}
     more = dict(texts)
-    for k in range(40):
-        w = (items[rng.choice([1, 2, 4, 5])]).split()
-        for _ in range(rng.randint(0, 3)):
-            w[rng.randrange(len(w))] = rng.choice(["zz", "the"])
-        more[500 + k] = " ".join([sentence(rng.randint(0, 20)), *w, sentence(rng.randint(0, 20))])
+    for k in range(80):
+        w = (items[own.choice([1, 2, 4, 5])]).split()
+        for _ in range(own.randint(0, 2)):
+            w[own.randrange(len(w))] = own.choice(["zz", "the"])
+        more[500 + k] = " ".join([sentence(own.randint(0, 20)), *w, sentence(own.randint(0, 20))])
     spark.createDataFrame(list(more.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     expected = {}
@@ -319,6 +321,22 @@ def test_bpe_joins_long_texts(spark, tmp_path):
     assert found == expected
 
 
+def test_bpe_of_long_runs(spark, tmp_path):
+    """The registered query on words of one character, or of few that come again and again, up to a million of them."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary())
+    assert bpe.TreeEncoder(vocabulary()).merges.in_order
+    rows = [(k, unit * (n // len(unit)) + unit[: n % len(unit)]) for k, (unit, n) in enumerate([("a", 1_000_001), ("=", 100_003), ("-", 16_411), ("ab", 99_999), ("A1b/+", 50_001), ("é", 20_001), ("aab", 4097), ("ha", 8195), ("<|endoftext|>", 9_001)])]
+    rows += [(100, "word " + "a" * 12_345 + " word"), (101, ("x" * 5001 + " ") * 3), (102, "a" * 2_000_003)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    hexed = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    found = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op10_tree_bpe"](spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        ids = whole.encode(t, add_special_tokens=False).ids
+        assert found[i] == (len(ids), hexed(" ".join(map(str, ids))), hexed(whole.decode(ids, skip_special_tokens=False)))
+
+
 def test_ppm(spark, docs, texts):
     order, counts = 2, collections.defaultdict(collections.Counter)
     packed = lambda t: [256] * order + list((t or "").encode()) + [256]
