@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamill.llm._grams import WordBuffer, byte_slices, joined, mixed, run_hashes
-from stratamill.llm._shared import checkpointed, lean, sliced_texts, small
+from stratamill.llm._shared import checkpointed, heavy_join, lean, sliced_texts, small
 from stratamill.llm.components import components
 
 COLLECTIONS = 14
@@ -221,7 +221,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = checkpointed(docs.mapInArrow(lean(_signatures(words, collections, False)), "id long, cls long, n long, sketch array<long>"))
-    classes = checkpointed(signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")))
+    classes = checkpointed(signed.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.first("sketch").alias("sketch")))
     pairs = checkpointed(candidates(classes, collections))
     family = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     reps = checkpointed(classes.join(family, "cls").select(F.col("rep").alias("id"), "cls"))
@@ -241,8 +241,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     merged = components(checkpointed(_rest(checkpointed(sets.join(small(torn), "cls")), percent)))
     final = comp_of.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("cls", F.coalesce("component", "comp").alias("comp"))
     final = checkpointed(final.join(reps, "cls"))
-    named = final.join(final.groupBy("comp").agg(F.min("id").alias("least")), "comp").select("cls", "least")
-    alone = classes.select("cls", "rep").join(named, "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"))
-    out = signed.select("id", "cls", "n").join(alone, (signed["cls"] == alone["cls"]) & (signed["n"] > 0), "left")
-    out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    least = checkpointed(final.groupBy("comp").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
+    named = heavy_join(final, least, "comp").select("cls", "least")
+    answers = checkpointed(classes.select("cls", "rep", "rows").join(named, "cls", "left").select("cls", "rows", F.coalesce("least", "rep").alias("component_id")))
+    out = heavy_join(signed.where("n > 0").select("id", "cls", "n"), answers, "cls").select("id", F.col("n").alias("n_shingles"), "component_id")
+    out = out.unionByName(signed.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
