@@ -47,7 +47,8 @@ def exit_code(error: Column) -> Column:
 
 
 def response_class(status: Column) -> Column:
-    return F.when(status.isin(401, 403), "Auth").when(status == 404, "NotFound").when(status.isin(400, 409, 422), "ProviderRejected").when((status == 429) | status.between(500, 599), "Transport").otherwise("ProviderRejected")
+    """The kind of error that a status stands for; null for what succeeded."""
+    return F.when(status.between(200, 299), None).when(status.isin(401, 403), "Auth").when(status == 404, "NotFound").when((status == 429) | status.between(500, 599), "Transport").when(status.isNotNull(), "ProviderRejected")
 
 
 def retry_delay(is_read: Column, attempt: Column, retryable: Column, elapsed_s: Column, retry_after_s: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NAME_CHARS = 64
 
@@ -103,8 +107,73 @@ def user_data_ok(data: Column, provider: Column) -> Column:
 
 def redacted(c: Column) -> Column:
     """Token shapes masked; masking again changes nothing."""
-    c = F.regexp_replace(c, r"(?i)\bAuthorization\s*:\s*[^\r\n]+", "[redacted]")
-    return F.regexp_replace(F.regexp_replace(c, r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]"), r"\b(?:dop_v1_[A-Za-z0-9]+|[A-Za-z0-9]{64})\b", "[redacted]")
+    for shape, mask in _SHAPES:
+        c = F.regexp_replace(c, shape, mask)
+    return c
+
+
+#: Names of what a record never shows, however they are written.
+SECRET_KEYS = ("token", "authorization", "userdata")
+
+
+def _is_secret(name: str) -> bool:
+    return name.lower().replace("_", "") in SECRET_KEYS
+
+
+def redacted_record(c: Column, kind: T.DataType) -> Column:
+    """A value of that type without the fields and keys of secrets at any depth, and with token shapes masked in all
+    its strings, in arrays, structs and maps; doing so again changes nothing. The plan is as deep as the type, and all of
+    it are built-in functions. A struct of nothing but secrets becomes null."""
+    if isinstance(kind, T.StringType):
+        return redacted(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: redacted_record(x, kind.elementType)) if _has_text(kind.elementType) else c
+    if isinstance(kind, T.MapType):
+        shown = c if not isinstance(kind.keyType, T.StringType) else F.map_filter(c, lambda k, _: ~F.replace(F.lower(k), F.lit("_"), F.lit("")).isin(*SECRET_KEYS))
+        return F.transform_values(shown, lambda _, v: redacted_record(v, kind.valueType)) if _has_text(kind.valueType) else shown
+    if isinstance(kind, T.StructType):
+        kept = [redacted_record(c.getField(f.name), f.dataType).alias(f.name) for f in kind if not _is_secret(f.name)]
+        return F.when(c.isNotNull(), F.struct(*kept)) if kept else F.lit(None)
+    return redacted_variant(c) if isinstance(kind, T.VariantType) else c
+
+
+def _has_text(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.StringType, T.ArrayType, T.MapType, T.StructType, T.VariantType))
+
+
+#: The shapes that ``redacted`` masks, in the order in which it does.
+_SHAPES = ((r"(?i)\bAuthorization\s*:\s*[^\r\n]+", "[redacted]"), (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [redacted]"), (r"\b(?:dop_v1_[A-Za-z0-9]+|[A-Za-z0-9]{64})\b", "[redacted]"))
+
+
+def redacted_variant(c: Column) -> Column:
+    """The same for a VARIANT, whose shape each row has for itself."""
+
+    @F.pandas_udf(T.StringType())
+    def shown(texts: pd.Series) -> pd.Series:
+        import re
+
+        shapes = [(re.compile(shape, re.ASCII), mask) for shape, mask in _SHAPES]
+
+        def masked(x) -> str:
+            if isinstance(x, dict):
+                return "{" + ",".join(f"{json.dumps(k)}:{masked(v)}" for k, v in x.items() if not _is_secret(k)) + "}"
+            if isinstance(x, list):
+                return "[" + ",".join(map(masked, x)) + "]"
+            if isinstance(x, str):
+                for shape, mask in shapes:
+                    x = shape.sub(mask, x)
+            return x.text if isinstance(x, _Number) else json.dumps(x)
+
+        return texts.map(lambda t: masked(json.loads(t, parse_float=_Number)), na_action="ignore")
+
+    return F.parse_json(shown(F.to_json(c)))
+
+
+class _Number:
+    """A number that stays as it was written."""
+
+    def __init__(self, text: str):
+        self.text = text
 
 
 def without_keys(record: Column, names: tuple[str, ...] = ("token", "authorization", "password", "userdata", "user_data")) -> Column:

@@ -58,7 +58,7 @@ def test_decide(spark, action, status, expected):
 
 def test_decisions(spark):
     assert {k: one(spark, d.exit_code(F.lit(k))) for k in ("Usage", "Conflict", "LimitExceeded", "Auth", "IncompleteInventory", "NotFound", "Aborted", "WaitTimeout", "Internal")} == {"Usage": 2, "Conflict": 3, "LimitExceeded": 4, "Auth": 5, "IncompleteInventory": 5, "NotFound": 6, "Aborted": 7, "WaitTimeout": 9, "Internal": 1} and one(spark, d.exit_code(F.lit(None).cast("string"))) == 0
-    assert [one(spark, d.response_class(F.lit(c))) for c in (403, 404, 422, 429, 503, 418)] == ["Auth", "NotFound", "ProviderRejected", "Transport", "Transport", "ProviderRejected"]
+    assert [one(spark, d.response_class(F.lit(c))) for c in (200, 204, 302, 403, 404, 422, 429, 503, 418)] == [None, None, "ProviderRejected", "Auth", "NotFound", "ProviderRejected", "Transport", "Transport", "ProviderRejected"]
     retry = lambda attempt, elapsed: one(spark, d.retry_delay(F.lit(True), F.lit(attempt), F.lit(True), F.lit(elapsed), F.lit(None)))
     assert [retry(0, 0), retry(1, 87), retry(1, 88), retry(2, 0)] == [1.0, 3.0, None, None]
     assert one(spark, d.providers(F.lit(None).cast("string"), F.lit("all"))) == ["digitalocean", "hetzner"]
@@ -96,6 +96,161 @@ def test_sources_fail_apart(spark, tmp_path):
     assert rows.count() == 1 and [(o["provider"], o["ok"]) for o in outcomes] == [("d", False), ("h", True)]
 
 
+def test_sources_are_read_at_once(spark):
+    """Each read waits for the other to begin; one that hangs is cancelled by its tag, and the other's rows stay."""
+    import threading
+    import time
+
+    both = threading.Barrier(2, timeout=60)
+    vms = lambda p: spark.range(4).select(F.lit(p).alias("provider"), F.col("id").cast("string").alias("id"), F.lit("n").alias("name"))
+
+    def met(p):
+        both.wait()
+        return vms(p)
+
+    rows, outcomes = choose.read_all({"h": lambda: met("h"), "d": lambda: met("d")})
+    assert rows.count() == 8 and all(o["ok"] for o in outcomes)
+
+    @F.udf("string")
+    def slow(x):
+        time.sleep(100)
+        return x
+
+    began = time.monotonic()
+    rows, told = choose.listing({"h": lambda: vms("h"), "d": lambda: vms("d").withColumn("name", slow("name"))}, spark, seconds=12)
+    assert [(r.position, r.id) for r in rows.orderBy("position").collect()] == [(1, "0"), (2, "1"), (3, "2"), (4, "3")] and time.monotonic() - began < 60
+    told = told.first()
+    assert (told.ok, told.exit_code, [(e.code, e.provider) for e in told.errors]) == (False, 5, [("transport", "d")])
+    for _ in range(100):
+        if not spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+        time.sleep(0.2)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
+def test_numbers_without_one_task(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbers_without_one_task(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def numbers_without_one_task(spark):
+    rows = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("k"), F.array("id").alias("a"))
+    found = choose.numbered(rows.repartition(7), ["k", "v"], "n")
+    told = sorted((tuple(r) for r in found.select("n", "k", "v").collect()))
+    expected = sorted(((r.k, r.v) for r in rows.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert told == [(n, *x) for n, x in enumerate(expected, 1)]
+    hot = choose.numbered(spark.range(3000).select(F.lit(1).alias("k"), F.col("id").alias("v")), ["k"], "n")
+    assert sorted(r.n for r in hot.collect()) == list(range(1, 3001)) and hot.groupBy(F.spark_partition_id()).count().count() > 1
+    assert choose.numbered(rows.limit(0), ["k"]).count() == 0
+    outcome = spark.createDataFrame([(False, [("auth", "no", "d", None, None, None)])], f"ok boolean, errors {choose.ERROR}")
+    lines = choose.envelope_lines(rows.select("k", "v"), ["v"], outcome).orderBy("line").collect()
+    whole = json.loads("".join(r.text for r in lines))
+    assert list(whole) == ["schemaVersion", "ok", "data", "errors"] and [x["v"] for x in whole["data"]] == list(range(3000)) and whole["errors"][0]["code"] == "auth"
+
+
+def test_walks_over_stored_pages(spark):
+    from stratamill.sources import stored
+
+    pages = {("chain", str(i)): (str(i + 1) if i < 9 else None, 1.0) for i in range(10)}
+    pages |= {("long", str(i)): (str(i + 1), 1.0) for i in range(120)} | {("exact", str(i)): (str(i + 1) if i < 99 else None, 0.0) for i in range(100)}
+    pages |= {("loop", "a"): ("b", 0), ("loop", "b"): ("c", 0), ("loop", "c"): ("b", 0), ("self", "x"): ("x", 0), ("gap", "1"): ("2", 0), ("gap", "2"): ("nope", 0), ("slow", "1"): ("2", 100), ("slow", "2"): ("3", 100), ("slow", "3"): ("4", 1), ("other", "a"): (None, 0)}
+    starts = {"chain": "0", "long": "0", "exact": "0", "loop": "a", "self": "x", "gap": "1", "slow": "1", "none": "1", "nothing": None}
+
+    def plain(account, most=100, budget=180):
+        at, seen, spent, reason = starts[account], [], 0, None
+        while at is not None:
+            reason = "cursor" if at in seen else "pages" if len(seen) >= most else "time" if spent > budget else "page" if (account, at) not in pages else None
+            if reason:
+                break
+            seen.append(at)
+            at, took = pages[account, at]
+            spent += took
+        return seen, reason
+
+    df = spark.createDataFrame([(a, c, n, float(s_)) for (a, c), (n, s_) in pages.items()] + [("chain", "3", "4", 1.0)], "account string, cursor string, next string, seconds double")
+    walk = stored.walked(df, spark.createDataFrame(list(starts.items()), "account string, cursor string")).collect()
+    ends = {r.account: (r.pages_read, r.reason, r.error) for r in stored.ends(spark.createDataFrame(walk)).collect()}
+    for account in starts:
+        seen, reason = plain(account)
+        assert [r.cursor for r in sorted(walk, key=lambda r: r.page) if r.account == account and not r.reason] == seen
+        if starts[account] is not None:
+            assert ends[account] == (len(seen), reason, reason and ("IncompleteInventory" if seen else "Transport"))
+    assert {e[1] for e in ends.values()} == {None, "cursor", "pages", "time", "page"}
+
+
+SEEN = "wait_id string, at double, action_state string, status string, missing boolean, error string"
+ASKED = "wait_id string, kind string, target string, timeout string, started double"
+
+
+def waits(many=120):
+    """Requests, observations, and the outcome of each by a plain fold."""
+    import random
+
+    rng = random.Random(3)
+    asked = [(f"w{i}", rng.choice(["status", "absent", "created"]), rng.choice(["running", "off"]), rng.choice(["30s", "2m", "10m", None, "1s"]), float(rng.randint(0, 50))) for i in range(many)] + [("bad", "status", "off", "1h", 0.0), ("worse", "status", "off", "soon", 0.0), ("unseen", "absent", None, "30s", 5.0), ("busy", "status", "off", "30s", 0.0), ("crowd", "status", "off", "10m", 0.0)]
+    seen = []
+    for i in range(many):
+        for _ in range(rng.randint(0, 14)):
+            error = rng.choice([None] * 6 + ["Transport", "NotFound"] + ["Auth", "ProviderRejected"] * (rng.random() < 0.2))
+            seen.append((f"w{i}", rng.randint(0, 400) / 4, None if error else rng.choice([None, "running", "success"] + ["error"] * (rng.random() < 0.1)), None if error else rng.choice(["running", "transitioning", "transitioning", "transitioning", "unknown", "off"]), error is None and rng.random() < 0.05, error))
+    seen += [(w, k / per, None, "transitioning" if k < 850 else "off", False, None) for w, per in (("busy", 30), ("crowd", 2)) for k in range(900)] + [("nobody", 3.0, None, "off", False, None), ("bad", 1.0, None, "off", False, None)]
+    seen += rng.sample(seen, len(seen) // 8)
+    expected = {}
+    for w, kind, target, timeout, started in asked:
+        deadline = {"30s": 30, "2m": 120, "10m": 600, None: 180, "1s": 1}.get(timeout)
+        if deadline is None:
+            expected[w] = ("usage", "Usage", 0, None, None)
+            continue
+        times = {}
+        for o in seen:
+            if o[0] == w and started <= o[1] <= started + deadline:
+                times.setdefault(o[1], []).append(o)
+        outcome, error, polls, elapsed, status = "timeout", "WaitTimeout", 0, float(deadline), None
+        for at in sorted(times)[: -(-deadline // 2) + 1]:
+            _, _, action, now, missing, failed = min(times[at], key=lambda o: [(x is not None, x) for x in (o[5], o[2], o[3], o[4])])
+            polls += 1
+            gone = missing or failed == "NotFound"
+            if failed in ("Auth", "ProviderRejected"):
+                outcome, error, elapsed, status = "aborted", failed, at - started, None
+                break
+            if failed and failed != "NotFound":
+                continue
+            state = "failed" if action == "error" else ("settled" if gone else "pending") if kind == "absent" else ("pending" if kind == "created" else "failed") if gone else "settled" if (now == target if kind == "status" else now in ("running", "off")) else "pending"
+            if state != "pending":
+                outcome, error, elapsed, status = state, "ProviderRejected" if state == "failed" else None, at - started, None if failed else now
+                break
+            status = status if failed else now
+        expected[w] = (outcome, error, polls, elapsed, status)
+    return asked, seen, expected
+
+
+def test_waits(spark):
+    from stratamill.operators import waiting
+
+    asked, seen, expected = waits()
+    out = waiting.waited(spark.createDataFrame(asked, ASKED), spark.createDataFrame(seen, SEEN).repartition(5)).collect()
+    assert {r.wait_id: (r.outcome, r.error, r.polls, r.elapsed_s, r.status) for r in out} == expected and len(out) == len(asked)
+    assert {r.exit_code for r in out if r.outcome == "timeout"} == {9} and {r.outcome for r in out} == {"settled", "failed", "aborted", "timeout", "usage"}
+    assert {r.wait_id: r.polls for r in out if r.wait_id in ('busy', 'crowd')} == {'busy': 16, 'crowd': 301}
+
+
+def test_nested_records_are_redacted(spark):
+    kind = "id int, token string, note string, user struct<name:string,user_data:string,Authorization:string,list:array<struct<token:string,v:string>>>, more map<string,array<string>>, only struct<token:string>, any variant"
+    text = json.dumps({"a": [1.50, {"Token": "x", "b": "Bearer q", "n": 12345678901234567890.123, "deep": [["dop_v1_z9", None, True, {"userData": 1, "authorization": {"x": 1}}]]}], "s": "é\u2028"})
+    rows = spark.range(1).select(F.expr(f"""named_struct('id', 7, 'token', 't', 'note', 'Bearer abc', 'user', named_struct('name', 'Authorization: z', 'user_data', 'u', 'Authorization', 'x', 'list', array(named_struct('token', 't', 'v', 'dop_v1_1'), null)),
+      'more', map('Token', array('x'), 'k', array('Bearer y', null)), 'only', named_struct('token', 'x'), 'any', parse_json('{text}'))""".replace("\\", "\\\\")).alias("r"))
+    out = rows.select(s.redacted_record(F.col("r"), rows.schema["r"].dataType).alias("r"))
+    assert out.schema["r"].dataType.fieldNames() == ["id", "note", "user", "more", "only", "any"]
+    told = json.loads(out.select(F.to_json("r", {"ignoreNullFields": "false"})).first()[0])
+    assert told["note"] == "Bearer [redacted]" and told["user"] == {"name": "[redacted]", "list": [{"v": "[redacted]"}, None]} and told["more"] == {"k": ["Bearer [redacted]", None]} and told["only"] is None
+    assert told["any"] == {"a": [1.5, {"b": "Bearer [redacted]", "deep": [["[redacted]", None, True, {}]], "n": 12345678901234567890.123}], "s": "é\u2028"}
+    again = out.select(s.redacted_record(F.col("r"), out.schema["r"].dataType).alias("r"))
+    assert again.select(F.to_json("r")).first() == out.select(F.to_json("r")).first() and kind
+
+
 def test_pages_and_records(spark, tmp_path):
     server = {"id": 7, "name": "web", "status": "odd", "server_type": {"name": "cx", "memory": 4, "disk": 40}, "datacenter": {"location": {"name": "n"}}, "public_net": {"ipv4": {"ip": "1.2.3.4"}}, "labels": {"a": "b"}, "volumes": [5], "extra": 1}
     (tmp_path / "p1").write_text(json.dumps({"servers": [server], "next": "p2"}))
@@ -141,9 +296,12 @@ def test_outcomes_and_requests(spark):
     outcome = lambda rows: choose.list_outcome(spark.createDataFrame(rows, "provider string, error string, reason string")).first()
     assert tuple(outcome([("h", None, None), ("d", None, None)])) == (True, [], 0)
     one_failed = outcome([("h", "NotFound", None), ("d", None, None)])
-    assert not one_failed.ok and [tuple(e) for e in one_failed.errors] == [("not-found", "h")] and one_failed.exit_code == 6
+    # rows of d were read, so it is a partial inventory, whatever the error of h
+    assert not one_failed.ok and [(e.code, e.provider) for e in one_failed.errors] == [("not-found", "h")] and one_failed.exit_code == 5
+    assert outcome([("h", "NotFound", None)]).exit_code == 6 and outcome([("d", "Usage", None), ("h", "Auth", None)]).exit_code == 2
+    assert outcome([("d", None, "cursor"), ("h", "Usage", None)]).exit_code == 5 and outcome([("d", None, "cursor")]).errors[0].message == "stopped by cursor"
     both = outcome([("h", "Auth", None), ("d", None, "pages")])
-    assert [tuple(e) for e in both.errors] == [("incomplete-inventory", "d"), ("auth", "h")] and both.exit_code == 5
+    assert [(e.code, e.provider) for e in both.errors] == [("incomplete-inventory", "d"), ("auth", "h")] and both.exit_code == 5
     schema_ = "command string, provider string, type string, vcpu double, memory double, disk double, timeout int, wait boolean, yes boolean, dry_run boolean"
     ask = lambda *r: choose.usage_errors(spark.createDataFrame([r], schema_)).first().usage
     assert ask("create", "hetzner", "t", None, None, None, 60, True, None, True) == []
@@ -177,7 +335,8 @@ def test_details_and_receipts(spark):
     assert (row.ram_gb, row.disk_gb, row.ipv4, row.created, row.labels, row.attached, row.raw_status) == ("8", "0.5", "-", "-", "a=1, b=2", "volume:5", "odd")
     raw = spark.createDataFrame([("1", "7", "running"), ("2", None, None), ("3", "8", "success")], "vm_id string, action_id string, status string")
     assert [r.status for r in normalize.receipts(raw, "hetzner").collect()] == ["accepted", "accepted", "completed"]
-    assert json.loads(choose.envelope(None, ["auth"], spark).first().json) == {"schemaVersion": 1, "ok": False, "data": None, "errors": ["auth"]}
+    told = json.loads(choose.envelope(None, [{"code": "auth", "message": "no token", "provider": "hetzner"}], spark).first().json)
+    assert told == {"schemaVersion": 1, "ok": False, "data": None, "errors": [{"code": "auth", "message": "no token", "provider": "hetzner", "vmId": None, "actionId": None, "requestId": None}]}
 
 
 def test_fences(spark):
