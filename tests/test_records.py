@@ -292,6 +292,73 @@ def test_pages_of_both_providers(spark, tmp_path):
     assert read(first="droplets.page1.json", items="droplets", next="links.pages.next", cursor=r"[?&]page=(\d+)", file="droplets.page{}.json") == [(3, None, None), (4, None, None)]
 
 
+def test_items_that_do_not_decode(spark):
+    kind = "id bigint, name string, memory double, at struct<location:struct<name:string,rank:int>>, tags array<string>, labels map<string,string>"
+    good = {"id": 1, "name": "a", "memory": 4, "at": {"location": {"name": "n", "rank": 2}}, "tags": ["x"], "labels": {"a": "b"}, "extra": [1]}
+    items = {
+        1: (good, None), 2: ({**good, "id": "seven"}, "$.id"), 3: ({**good, "at": {"location": {"name": "n", "rank": "two"}}}, "$.at.location.rank"), 4: ({**good, "memory": {"gb": 4}}, "$.memory"), 5: ({"name": "a"}, "$.id"),
+        6: ({**good, "at": 5}, "$.at"), 7: ({**good, "tags": "x"}, "$.tags"), 8: ({"id": 3, "name": None, "at": None}, None), 9: ([1], "$"), 10: ({**good, "id": None}, "$.id"), 11: ({**good, "memory": "4", "id": "x"}, "$.id"),
+    }
+    rows = [(k, json.dumps(x), "keep") for k, (x, _) in items.items()] + [(20, '{"id": 1, "na', "keep"), (21, "", "keep"), (22, None, "keep"), (23, "7", "keep")]
+    found = {r.k: r for r in pages.decoded(spark.createDataFrame(rows, "k int, item string, path string"), kind).collect()}
+    assert {k: r.path for k, r in found.items()} == {k: p for k, (_, p) in items.items()} | {20: "$", 21: "$", 22: None, 23: "$"}
+    assert all((r.error == "ProviderRejected") == (r.path is not None) for r in found.values())
+    assert {k for k, r in found.items() if r.record is not None} == {1, 8} and found[1].record.at.location.rank == 2 and found[1].record.labels == {"a": "b"} and found[8].record.id == 3
+
+
+def test_filters_and_ranges_of_pages(spark, tmp_path):
+    """A region's filter keeps items back in the reader, another provider's reads nothing, and ranges are read apart."""
+    for n in range(1, 8):
+        droplets = [{"id": 10 * n + k, "name": "d", "status": "active", "region": {"slug": "abc"[(n + k) % 3]}} for k in range(10 if n < 7 else 4)] + ([{"id": "odd"}] if n == 2 else [])
+        (tmp_path / f"droplets.page{n}.json").write_text(json.dumps({"droplets": droplets, "meta": {"total": 64}}))
+    spark.dataSource.register(pages.FilteredPagedSource)
+    options = {"path": str(tmp_path), "first": "droplets.page1.json", "items": "droplets", "next": "links.pages.next", "file": "droplets.page{}.json", "provider": "digitalocean", "total": "meta.total", "per_page": "10", "region": "region.slug"}
+    read = lambda **more: spark.read.format("filtered_paged_json").options(**options | more).load()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = read(pages_per_task="2")
+        assert rows.rdd.getNumPartitions() == 4 and rows.count() == 65
+        vms, short = pages.machines(rows, schema.DO_DROPLET, normalize.digitalocean_vms)
+        assert sorted(int(r.id) for r in vms.collect()) == [10 * n + k for n in range(1, 8) for k in range(10 if n < 7 else 4)] and [tuple(r) for r in short.collect()] == [("digitalocean", "ProviderRejected", "$.id", None)]
+        of_a = rows.where("region = 'a'")
+        assert sorted(json.loads(r.item)["id"] for r in of_a.collect()) == sorted(10 * n + k for n in range(1, 8) for k in range(10 if n < 7 else 4) if (n + k) % 3 == 0)
+        plan = of_a._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(region,a)" in plan or "region#" in plan and "Filter (region" not in plan.replace("isnotnull(region", "")
+        # a file that can't be read shows what is not read at all
+        (tmp_path / "droplets.page1.json").rename(tmp_path / "away")
+        assert rows.where("provider = 'hetzner'").count() == 0
+        with pytest.raises(Exception):  # noqa: B017
+            rows.where("provider = 'digitalocean'").count()
+        (tmp_path / "away").rename(tmp_path / "droplets.page1.json")
+        ends = [(r.reason, r.pages_read) for r in read(max_pages="3", pages_per_task="2").where("reason is not null").collect()]
+        assert ends == [("pages", 1)] and read(max_pages="3").where("item is not null").count() == 31
+        (tmp_path / "droplets.page4.json").unlink()
+        assert [(r.reason, r.pages_read) for r in read(pages_per_task="2").where("reason is not null").collect()] == [("page", 1)]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_layers_of_settings(spark, tmp_path):
+    from stratamill.sources import settings
+
+    (tmp_path / "c.toml").write_text('defaultProvider = "hetzner"\n[limits]\nmaxVcpu = 4\n[providers.hetzner]\nregion = "fsn1"\nsshKeys = []\n')
+    layer = settings.file_layer([str(tmp_path / "none"), str(tmp_path / "c.toml")])
+    rows = settings.effective(spark, [("flag", {"providers.hetzner.region": "nbg1", "limits.maxVcpu": None}), layer, ("other", {"limits.maxVcpu": 2, "limits.maxDiskGb": 64})])
+    found = {r.setting: (r.value, r.source) for r in settings.shown(rows).collect()}
+    assert set(found) == set(settings.DEFAULTS)
+    file = str(tmp_path / "c.toml")
+    assert found["defaultProvider"] == ("hetzner", file) and found["limits.maxVcpu"] == ("4", file) and found["limits.maxDiskGb"] == ("64", "other") and found["limits.maxMemoryGb"] == ("8", "default")
+    assert found["providers.hetzner.region"] == ("nbg1", "flag") and found["providers.hetzner.sshKeys"] == ("[]", file) and found["providers.digitalocean.tokenEnv"] == ("DIGITALOCEAN_TOKEN", "default") and found["providers.digitalocean.image"] == ("-", "default")
+    assert sorted(map(tuple, settings.warnings(rows).collect())) == [("digitalocean", "no image is set"), ("digitalocean", "no region is set"), ("hetzner", "no image is set")]
+    assert settings.file_layer([str(tmp_path / "none")]) is None
+    for text, says in (("[reaper]\nttl = 1\n", "reaper.ttl; there is no expiry"), ("[limits]\nmaxVcpu = 0\n", "limits.maxVcpu"), ("[limits]\nmaxVcpu = inf\n", "limits.maxVcpu"), ("[providers.hetzner]\ntoken = 'x'\n", "providers.hetzner.token"), ("a = \n", "line 1")):
+        (tmp_path / "bad.toml").write_text(text)
+        with pytest.raises(settings.ConfigInvalid, match=says):
+            settings.file_layer([], str(tmp_path / "bad.toml"))
+    with pytest.raises(settings.ConfigInvalid, match="missing.toml"):
+        settings.file_layer([], str(tmp_path / "missing.toml"))
+
+
 def test_outcomes_and_requests(spark):
     outcome = lambda rows: choose.list_outcome(spark.createDataFrame(rows, "provider string, error string, reason string")).first()
     assert tuple(outcome([("h", None, None), ("d", None, None)])) == (True, [], 0)
