@@ -82,7 +82,7 @@ def op2_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.train(secrets.samples(spark, docs))
-    return secrets.digests(secrets.scan(docs, model))
+    return secrets.digests(secrets.scan(docs, model, runs_col="runs"), runs_col="runs")
 
 
 def op11_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

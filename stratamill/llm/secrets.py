@@ -90,32 +90,47 @@ def train(samples: DataFrame, string_col: str = "sample", label_col: str = "labe
     return MarkovPair(counts)
 
 
-def scan(df: DataFrame, model: MarkovPair, text_col: str = "text", spans_col: str = "spans", per_char: float = 0.35, whole: float = 12.0) -> DataFrame:
+def scan(df: DataFrame, model: MarkovPair, text_col: str = "text", spans_col: str = "spans", per_char: float = 0.35, whole: float = 12.0, runs_col: str | None = None) -> DataFrame:
     """df with an array of (kind, start, end) for each whole text, in code points and by start.
 
     Null or empty texts have an empty array. Spans of the patterns always stay; a run of CANDIDATE_CHARS characters or
     more that the models take for a secret, or else each piece of it without separators that they do, adds a ``markov``
-    span unless the patterns' spans cover it. A column named as ``spans_col`` gives way.
+    span unless a span covers it. With ``runs_col`` there is also an array of every such run, in order, those that the
+    patterns have found among them: start, end, ratio and per_char are the run's or its most telling piece's, and likely
+    says whether the models take that for a secret. Columns named as the new ones give way.
     """
 
     def make():
         def one(t):
             if not t:
-                return []
-            spans = base_spans(t)
-            added = []
+                return [], []
+            spans, added, runs = base_spans(t), [], []
+            reach, k = -1, 0  # how far the spans go that begin before a place; places come in order
             for m in CANDIDATE.finditer(t):
-                pieces = PIECE.finditer(t, *m.span())
-                for a, b in (m.span(), *(x.span() for x in pieces)):
-                    if not any(x <= a and b <= y for x, y, _ in spans + added):
-                        total, mean = model.score(t[a:b])
-                        if total >= whole and mean >= per_char:
-                            added.append((a, b, "markov"))
-            return [{"kind": k, "start": a, "end": b} for a, b, k in (ordered(spans + added) if added else spans)]
-
-        return lambda texts: [[one(t) for t in texts]]
-
-    return map_texts(df, text_col, [field(spans_col, "array<struct<kind:string,start:bigint,end:bigint>>")], make)
+                best = None
+                for a, b in (m.span(), *(x.span() for x in PIECE.finditer(t, *m.span()))):
+                    while k < len(spans) and spans[k][0] <= a:
+                        reach, k = max(reach, spans[k][1]), k + 1
+                    if b <= reach and not runs_col:
+                        continue
+                    total, mean = model.score(t[a:b])
+                    likely = total >= whole and mean >= per_char
+                    best = max(best or (), (likely, mean, total, -a, b))
+                    if likely and b > reach:
+                        added.append((a, b, "markov"))
+                        reach = b
+                if best:
+                    runs.append({"start": -best[3], "end": best[4], "ratio": best[2], "per_char": best[1], "likely": best[0]})
+            return [{"kind": x, "start": a, "end": b} for a, b, x in (ordered(spans + added) if added else spans)], runs
+
+        def run(texts):
+            told = [one(t) for t in texts]
+            return [[x for x, _ in told], *([[y for _, y in told]] if runs_col else [])]
+
+        return run
+
+    more = [field(runs_col, "array<struct<start:bigint,end:bigint,ratio:double,per_char:double,likely:boolean>>")] if runs_col else []
+    return map_texts(df, text_col, [field(spans_col, "array<struct<kind:string,start:bigint,end:bigint>>"), *more], make)
 
 
 def samples(spark: SparkSession, docs: DataFrame, random_strings: int = 4000, ordinary_docs: int = 1000) -> DataFrame:
@@ -131,10 +146,13 @@ def samples(spark: SparkSession, docs: DataFrame, random_strings: int = 4000, or
     return labelled(ids, random, 1).unionByName(labelled(words, ordinary, 0))
 
 
-def digests(found: DataFrame, spans_col: str = "spans") -> DataFrame:
-    """doc_id, counts by kind, the hash of the patterns' spans, and all spans as text."""
+def digests(found: DataFrame, spans_col: str = "spans", runs_col: str | None = None) -> DataFrame:
+    """doc_id, counts by kind, the hash of the patterns' spans, and all spans as text; with ``runs_col`` also how many
+    runs the models have scored, how many of these they take for secrets, and the largest ratio per character."""
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     spans = F.col(spans_col)
     base = F.filter(spans, lambda s: s["kind"] != "markov")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, KINDS), F.sha2(shown(base), 256).alias("base_sha256"), shown(spans).alias("spans"))
+    runs = F.col(runs_col) if runs_col else None
+    more = [F.size(runs).cast("long").alias("n_runs"), F.size(F.filter(runs, lambda r: r["likely"])).cast("long").alias("n_likely"), F.array_max(F.transform(runs, lambda r: r["per_char"])).alias("best_per_char")] if runs_col else []
+    return found.select("doc_id", *map(count, KINDS), F.sha2(shown(base), 256).alias("base_sha256"), shown(spans).alias("spans"), *more)

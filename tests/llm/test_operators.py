@@ -170,6 +170,40 @@ def test_secrets(spark, docs, texts):
     assert found[1002].spans == found[1003].spans == "" and found[1].n_markov == 0
 
 
+def test_secrets_as_plain_version(spark, tmp_path):
+    """The registered query against a plain one that holds each run against all spans, on texts with many keys."""
+    import time
+
+    own = random.Random(31)
+    key = lambda n: "".join(own.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    forms = [lambda: key(24), lambda: f"token={key(9)}", lambda: "AKIA" + key(14).upper(), lambda: own.randbytes(16).hex(), lambda: f"a/{key(20)}/b-{key(17)}", lambda: "some_ordinary_identifier_name", lambda: "word", lambda: f"passwd: '{key(20)}'/{key(22)}", lambda: "é"]
+    rows = [(i, " ".join(own.choice(forms)() for _ in range(own.randint(0, 12)))) for i in range(200)] + [(900, None), (901, ""), (None, "secret=abcdefgh"), (902, " ".join(key(24) for _ in range(20_000)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text")
+    model = secrets.train(secrets.samples(spark, docs))
+    began = time.time()
+    found = {r.doc_id: r for r in QUERIES["op3_markov_secrets"](spark, str(tmp_path)).collect()}
+    assert time.time() - began < 60 and len(found) == len(rows)
+    for i, t in rows[:-1]:
+        spans, t = [], t or ""
+        for kind, pattern, group, least in (("assign", secrets.ASSIGN, 2, 8), ("access", secrets.ACCESS, 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)):
+            spans += [(m.start(), m.end(), kind) for m in pattern.finditer(t) if len(m[group]) >= least]
+        base = sorted(spans, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+        runs = 0
+        for m in secrets.CANDIDATE.finditer(t):
+            runs += 1
+            for a, b in [m.span(), *(x.span() for x in secrets.PIECE.finditer(t, *m.span()))]:
+                total, mean = model.score(t[a:b])
+                if total >= 12 and mean >= 0.35 and not any(x <= a and b <= y for x, y, _ in spans):
+                    spans.append((a, b, "markov"))
+        shown = lambda s: ",".join(f"{k}:{a}:{b}" for a, b, k in s)
+        told = found[i]
+        assert told.base_sha256 == hashlib.sha256(shown(base).encode()).hexdigest() and told.spans == shown(secrets.ordered(spans))
+        assert (told.n_assign, told.n_access, told.n_hex, told.n_markov) == tuple(sum(k == kind for *_, k in spans) for kind in secrets.KINDS)
+        assert told.n_runs == runs and (told.best_per_char is None) == (runs == 0) and told.n_likely <= runs
+    assert found[902].n_markov > 19_000 and sum(r.n_markov > 0 for r in found.values()) > 50
+
+
 def test_markov_pair_on_held_out_strings(spark):
     """Random strings are found, identifiers of a language and of styles that were not learned from are left alone."""
     import base64
