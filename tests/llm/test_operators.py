@@ -201,7 +201,7 @@ def test_secrets_as_plain_version(spark, tmp_path):
         assert told.base_sha256 == hashlib.sha256(shown(base).encode()).hexdigest() and told.spans == shown(secrets.ordered(spans))
         assert (told.n_assign, told.n_access, told.n_hex, told.n_markov) == tuple(sum(k == kind for *_, k in spans) for kind in secrets.KINDS)
         assert told.n_runs == runs and (told.best_per_char is None) == (runs == 0) and told.n_likely <= runs
-    assert found[902].n_markov > 19_000 and sum(r.n_markov > 0 for r in found.values()) > 50
+    assert found[902].n_markov > 10_000 and sum(r.n_markov > 0 for r in found.values()) > 50
 
 
 def test_markov_pair_on_held_out_strings(spark):
