@@ -38,13 +38,15 @@ def in_range(c: Column, low: int = 20, high: int = 300) -> Column:
     return F.when(F.forall(parts, lambda x: F.coalesce(x.between(low, high), F.lit(False))), parts)
 
 
+#: Fixed value: the line of options.
+_OPTION_LINE = r"^\s*(?:%%|')\s*draw-visual:\s*(.*)$"
 _SHELL_WORD = r"""(?:"(?:[^"\\]|\\.)*"|'[^']*'|\\.|[^\s"'\\])++"""
 
 
 def options(text: Column) -> Column:
     """The words of the option line that a diagram's source may begin with, cut and unquoted as a shell would; none
     without such a line, null where a quote is left open."""
-    line = F.regexp_extract(F.get(F.split(text, "\n"), F.lit(0)), r"^\s*(?:%%|')\s*draw-visual:\s*(.*)$", 1)
+    line = F.regexp_extract(F.get(F.split(text, "\n"), F.lit(0)), _OPTION_LINE, 1)
     words = F.regexp_extract_all(line, F.lit(_SHELL_WORD), F.lit(0))
     unquoted = F.transform(words, lambda w: F.regexp_replace(w, r"""\"((?:[^"\\]|\\.)*)\"|'([^']*)'|\\(.)""", "$1$2$3"))
     return F.when(line.rlike(rf"""^\s*(?:{_SHELL_WORD}\s*+)*+$"""), unquoted)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
+#: Control sequences of terminals, which texts are rid of, and the markers before diagrams.
 _ANSI, _FENCE = re.compile(r"\x1b\[[0-?]*[ -/]*[@-~]"), re.compile(r"(`{3,}|~{3,})(.*)")
 _MARKER, _EMBED = re.compile(r"<!-- draw-visual:(.*?)(?:-->)?$"), re.compile(r"<!-- draw-visual: (\S+) -->\s*$")
 BLOCK = T.ArrayType(T.StructType().add("label", T.StringType()).add("line", T.IntegerType()).add("lines", T.ArrayType(T.StringType())))

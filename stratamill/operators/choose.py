@@ -206,6 +206,12 @@ def envelope(data: DataFrame | None, errors: list[dict] | None = None, spark: Sp
     return rows.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def failed_envelope(outcome: DataFrame) -> DataFrame:
+    """The JSON object of an outcome of which nothing could be read, with its exit code."""
+    body = F.struct(F.lit(1).alias("schemaVersion"), "ok", F.lit(None).cast("string").alias("data"), "errors")
+    return outcome.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("json"), "exit_code")
+
+
 def envelope_lines(data: DataFrame, order: list[str], outcome: DataFrame) -> DataFrame:
     """line, from 0, and text: the lines of one JSON object as ``envelope`` has it, an item of data in a line, so that no
     task holds them all. ``outcome`` has one row with ok and errors."""

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratamill.functions import decisions as d
 from stratamill.functions import scalars as s
-from stratamill.operators import blocks, choose
-from stratamill.sources import pages
+from stratamill.operators import blocks, choose, normalize, waiting
+from stratamill.sources import pages, settings, stored
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,7 +169,10 @@ def q_envelope(spark, sf_dir):
 
 
 def q_envelope_failed(spark, sf_dir):
-    return choose.envelope(None, ["auth"], spark)
+    """Nations as providers none of which could be read."""
+    kinds = F.element_at(F.array(*map(F.lit, ("Auth", "Transport", "NotFound", "Usage"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    outcomes = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("provider"), kinds.alias("error"), F.lit(None).cast("string").alias("reason"))
+    return choose.failed_envelope(choose.list_outcome(outcomes))
 
 
 def q_text_table(spark, sf_dir):
@@ -218,9 +221,105 @@ def q_in_range(spark, sf_dir):
 
 
 def q_inventory(spark, sf_dir):
-    """Places of customers and suppliers in the order of an inventory."""
-    rows = q_union_tagged(spark, sf_dir)
-    return choose.inventory_order(rows).limit(500).select("provider", "id", "name")
+    """Customers and suppliers in the order of an inventory, each with its position."""
+    return choose.numbered(q_union_tagged(spark, sf_dir), ["provider", "name", "id"], "position").select("position", "provider", "id", "name")
+
+
+def q_collected_pages(spark, sf_dir):
+    """Each customer's orders as pages that lead to the next; some lead back to the first, some to none there is."""
+    k, w = F.col("o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    following = F.when(k % 13 == 0, F.first(k).over(w)).when(k % 17 == 0, -k).otherwise(F.lead(k).over(w))
+    orders = _t(spark, sf_dir, "orders")
+    found = orders.select(F.col("o_custkey").alias("account"), k.alias("cursor"), following.alias("next"))
+    return stored.walked(found, orders.groupBy(F.col("o_custkey").alias("account")).agg(F.min(k).alias("cursor")))
+
+
+def q_waited(spark, sf_dir):
+    """Events as polls of machines, of ten machines at a time."""
+    e, wait = F.col("event_id"), F.expr("event_id div 200 * 10 + user_id % 10")
+    failed = F.when(F.col("event_type") == "error", _picked(["Transport", "Auth", "NotFound", ""]))
+    status = d.mapped(F.col("event_type"), {"view": "transitioning", "click": "transitioning", "purchase": "off", "signup": "running"})
+    seen = _t(spark, sf_dir, "events").select(wait.alias("wait_id"), e.alias("at"), F.when(failed == "", "error").alias("action_state"), status.alias("status"), F.lit(False).alias("missing"), F.nullif(failed, F.lit("")).alias("error"))
+    w = F.col("wait_id")
+    asked = seen.select("wait_id").distinct().select("wait_id", _picked(["status", "absent", "created"], w).alias("kind"), _picked(["running", "off"], w).alias("target"), F.nullif(_picked(["30s", "2m", "", "1m", "1h"], w), F.lit("")).alias("timeout"), (F.floor(w / 10) * 200).alias("started"))
+    return waiting.waited(asked, seen).drop("status")
+
+
+def q_redacted_record(spark, sf_dir):
+    """Events as nested records with secrets at several depths, as JSON."""
+    k = F.col("event_id").cast("string")
+    deep = F.struct(F.lit("x").alias("userData"), F.col("event_type").alias("w"))
+    some = F.parse_json(F.concat(F.lit('{"a":[{"token":"x","b":"Bearer q'), k, F.lit('"},'), k, F.lit('],"userData":{"c":1}}')))
+    record = F.struct("event_id", F.concat(F.lit("t"), k).alias("token"), F.concat(F.lit("Bearer x"), k).alias("note"), F.array(F.struct(k.alias("Authorization"), F.concat(F.lit("dop_v1_"), k).alias("v"), deep.alias("deep"))).alias("list"), some.alias("any"))
+    rows = _t(spark, sf_dir, "events").select("event_id", record.alias("r"))
+    return rows.select("event_id", F.to_json(s.redacted_record(F.col("r"), rows.schema["r"].dataType)).alias("record"))
+
+
+def q_decoded(spark, sf_dir):
+    """Events as items of pages, of which some do not decode."""
+    k = F.col("event_id").cast("string")
+    forms = [F.col("props"), F.lit('{"k": "x"}'), F.concat(F.lit('{"k": '), k, F.lit(', "n": {"m": "x"}}')), F.lit('{"k": '), F.concat(F.lit('{"n": {"m": '), k, F.lit("}}")), F.concat(F.lit('{"k": '), k, F.lit(', "n": {"m": '), k, F.lit('}, "more": [1]}'))]
+    items = _t(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % 6 + 1).cast("int")).alias("item"))
+    return pages.decoded(items, "k bigint, n struct<m:bigint>", required=("k",)).select("event_id", "record.k", "record.n.m", "error", "path")
+
+
+def q_first_wins(spark, sf_dir):
+    """For each nation the first of its rich suppliers, or else of its rich customers, or else its own name."""
+    suppliers = _t(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("setting"), F.col("s_suppkey").alias("rank"), F.col("s_name").alias("value"), F.lit("supplier").alias("source"))
+    customers = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("setting"), (F.col("c_custkey") + 10**9).alias("rank"), F.when(F.col("c_acctbal") > 9900, F.col("c_name")).alias("value"), F.lit("customer").alias("source"))
+    nations = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("setting"), F.lit(10**15).alias("rank"), F.col("n_name").alias("value"), F.lit("nation").alias("source"))
+    return settings.first_wins(suppliers.unionByName(customers).unionByName(nations), "setting", "rank").select("setting", "value", "source")
+
+
+def q_listing(spark, sf_dir):
+    """Three providers read at once: one whole, one that ends early, one that fails; rows and the outcome of all."""
+    none = F.lit(None).cast("string").alias("reason")
+    customers = lambda: _t(spark, sf_dir, "customer").select(F.lit("hetzner").alias("provider"), F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") == 0, "pages").alias("reason"))
+    suppliers = lambda: _t(spark, sf_dir, "supplier").select(F.lit("digitalocean").alias("provider"), F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), none)
+    nations = lambda: _t(spark, sf_dir, "nation").select(F.lit("other").alias("provider"), F.raise_error(F.lit("no token")).cast("string").alias("id"), F.col("n_name").alias("name"), none)
+    rows, outcome = choose.listing({"hetzner": customers, "digitalocean": suppliers, "other": nations}, spark)
+    told = outcome.select("ok", "exit_code", F.array_join(F.transform("errors", lambda x: F.concat_ws(":", x["provider"], x["code"])), ",").alias("errors"))
+    return rows.join(F.broadcast(told)).select("position", "provider", "id", "ok", "exit_code", "errors")
+
+
+def q_details(spark, sf_dir):
+    """Orders as one provider's raw machines, to the detail view."""
+    k, null = F.col("o_orderkey"), F.lit(None)
+    raw = _t(spark, sf_dir, "orders").select(
+        k.alias("id"), F.concat(F.lit("vm-"), F.col("o_custkey").cast("string")).alias("name"), d.mapped(F.col("o_orderstatus"), ORDER_STATES["hetzner"], "odd").alias("status"),
+        F.struct(F.col("o_orderpriority").alias("name"), (k % 16 / 2.0).cast("double").alias("memory"), F.lit(40.0).alias("disk")).alias("server_type"), F.struct(F.struct(F.lit("fsn1").alias("name")).alias("location")).alias("datacenter"),
+        F.struct(F.struct(F.when(k % 3 > 0, F.concat(F.lit("10.0.0."), (k % 250).cast("string"))).alias("ip")).alias("ipv4"), F.struct(null.cast("string").alias("ip")).alias("ipv6")).alias("public_net"),
+        F.struct(F.lit("ubuntu").alias("name")).alias("image"), null.cast("timestamp").alias("created"), F.create_map(F.lit("b"), F.col("o_orderstatus"), F.lit("a"), (k % 7).cast("string")).alias("labels"), F.when(k % 2 == 0, F.array(F.col("o_custkey"))).alias("volumes"),
+    )
+    return normalize.details(normalize.hetzner_vms(raw))
+
+
+def q_droplets(spark, sf_dir):
+    """Orders as the other provider's raw machines, to records."""
+    k = F.col("o_orderkey")
+    text = lambda at: F.concat(F.lit(at), k.cast("string"))
+    ip = lambda at, kind: F.struct(text(at).alias("ip_address"), F.lit(kind).alias("type"))
+    v4 = F.when(k % 4 > 0, F.array(ip("10.", "private"), ip("9.", "public"), ip("8.", "public"))).otherwise(F.array(ip("10.", "private")))
+    raw = _t(spark, sf_dir, "orders").select(
+        k.alias("id"), text("d").alias("name"), d.mapped(F.col("o_orderstatus"), ORDER_STATES["digitalocean"], "odd").alias("status"), F.lit("s-1").alias("size_slug"), F.struct(F.lit("fra1").alias("slug")).alias("region"),
+        F.struct(v4.alias("v4"), F.when(k % 3 > 0, F.array(ip("::", "public"), ip("::f", "public"))).alias("v6")).alias("networks"), F.struct(k.alias("id"), F.when(k % 5 > 0, F.lit("ubuntu")).alias("slug")).alias("image"),
+        F.lit(None).cast("timestamp").alias("created_at"), F.array(F.col("o_orderpriority")).alias("tags"), F.when(k % 2 == 0, F.array(text("v"))).alias("volume_ids"), (k % 5 * 512.0 + 512).alias("memory"), F.lit(25.0).alias("disk"), F.lit(1).alias("vcpus"),
+    )
+    return normalize.digitalocean_vms(raw).select("id", "status", "raw_status", "memory_gb", "ipv4", "ipv6", "image", F.element_at("tags", 1).alias("tag"), F.array_join(F.transform("attached", lambda x: x["id"]), ",").alias("attached"))
+
+
+def q_unchanged(spark, sf_dir):
+    """Whether an order, as a machine, stands as the customer's one before it did."""
+    rows = _orders(spark, sf_dir)
+    told = F.struct("status", "raw_status")
+    both = rows.select("o_orderkey", told.alias("after"), F.lag(told).over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("before"))
+    return both.where("before is not null").select("o_orderkey", d.unchanged(F.col("before"), F.col("after")).alias("unchanged"))
+
+
+def q_user_data(spark, sf_dir):
+    """Whether a provider takes a text as user data."""
+    provider = F.when(F.col("doc_id") % 2 == 0, "hetzner").otherwise("digitalocean")
+    return _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", s.user_data_ok(F.col("text"), provider).alias("ok"))
 
 
 def q_wrap(spark, sf_dir):
@@ -248,7 +347,7 @@ ORACLE: dict[str, str] = {
 WHEN action = 'stop' AND status = 'running' OR action = 'start' AND status = 'off' THEN 'Mutate' ELSE 'Noop' END AS decision,
 action IN ('stop', 'delete') AND o_orderkey % 2 <> 0 AS confirm
 FROM (SELECT o_orderkey, {_STATUS} AS status, CASE o_orderkey % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'stop' ELSE 'delete' END AS action FROM orders)""",
-    "q_response_class": """SELECT event_id, CASE WHEN c IN (401, 403) THEN 'Auth' WHEN c = 404 THEN 'NotFound' WHEN c = 429 OR c >= 500 THEN 'Transport' ELSE 'ProviderRejected' END AS class
+    "q_response_class": """SELECT event_id, CASE WHEN c BETWEEN 200 AND 299 THEN NULL WHEN c IN (401, 403) THEN 'Auth' WHEN c = 404 THEN 'NotFound' WHEN c = 429 OR c >= 500 THEN 'Transport' ELSE 'ProviderRejected' END AS class
 FROM (SELECT event_id, [200, 400, 401, 403, 404, 409, 418, 422, 429, 500, 503][event_id % 11 + 1] AS c FROM events)""",
     "q_retry": """SELECT event_id, CASE WHEN event_id % 2 = 0 AND a < 2 AND event_id % 5 <> 0 AND event_id % 100 + w <= 90 THEN w END AS delay
 FROM (SELECT event_id, event_id % 3 AS a, CAST(CASE WHEN event_id % 7 = 0 THEN 5 WHEN event_id % 3 = 0 THEN 1 ELSE 3 END AS DOUBLE) AS w FROM events)""",
@@ -264,8 +363,8 @@ FROM (SELECT event_id, event_id % 700 AS n, event_id % 4 AS u, CASE event_id % 4
     "q_known_ids": "SELECT p_brand, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS known FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) WHERE n <= 5 GROUP BY p_brand",
     "q_envelope": """SELECT '{"schemaVersion":1,"ok":true,"data":[' || string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY r_regionkey) || '],"errors":[]}' AS json FROM region""",
     "q_text_table": """WITH w AS (SELECT CAST(greatest(max(length(n_name)), 6) AS INTEGER) AS n FROM nation)
-SELECT 0 AS row, 'N_NATIONKEY  ' || rpad('N_NAME', n, ' ') || '  N_REGIONKEY' AS line FROM w UNION ALL
-SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER), rtrim(rpad(CAST(n_nationkey AS VARCHAR), 11, ' ') || '  ' || rpad(n_name, n, ' ') || '  ' || rpad(CAST(n_regionkey AS VARCHAR), 11, ' ')) FROM nation, w""",
+SELECT CAST(0 AS BIGINT) AS row, 'N_NATIONKEY  ' || rpad('N_NAME', n, ' ') || '  N_REGIONKEY' AS line FROM w UNION ALL
+SELECT row_number() OVER (ORDER BY n_nationkey), rtrim(rpad(CAST(n_nationkey AS VARCHAR), 11, ' ') || '  ' || rpad(n_name, n, ' ') || '  ' || rpad(CAST(n_regionkey AS VARCHAR), 11, ' ')) FROM nation, w""",
     "q_within": "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_retailprice <= 905 AND p_size <= 20",
     "q_offered": "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_brand = 'Brand#11'",
     "q_provider_states": """SELECT o_orderkey, provider, raw, status, CASE WHEN status <> 'transitioning' THEN status WHEN raw IN ('stopping', 'archive') THEN 'off' WHEN raw = 'deleting' THEN 'unknown' ELSE 'running' END AS settled
@@ -273,7 +372,8 @@ FROM (SELECT o_orderkey, provider, raw, CASE WHEN provider <> 'other' AND raw =
 WHEN provider = 'hetzner' AND raw = 'running' OR provider = 'digitalocean' AND raw = 'active' THEN 'running'
 WHEN provider = 'hetzner' AND raw IN ('initializing', 'starting', 'stopping', 'rebuilding', 'migrating', 'deleting') OR provider = 'digitalocean' AND raw IN ('new', 'archive') THEN 'transitioning' ELSE 'unknown' END AS status
 FROM (SELECT o_orderkey, ['hetzner', 'digitalocean', 'other'][o_orderkey % 3 + 1] AS provider, ['running', 'off', 'initializing', 'starting', 'stopping', 'rebuilding', 'migrating', 'deleting', 'active', 'new', 'archive', 'odd'][o_orderkey % 12 + 1] AS raw FROM orders))""",
-    "q_envelope_failed": """SELECT '{"schemaVersion":1,"ok":false,"data":null,"errors":["auth"]}' AS json""",
+    "q_envelope_failed": """SELECT '{"schemaVersion":1,"ok":false,"data":null,"errors":[' || string_agg('{"code":"' || ['auth', 'transport', 'not-found', 'usage'][n_nationkey % 4 + 1] || '","message":"' || ['Auth', 'Transport', 'NotFound', 'Usage'][n_nationkey % 4 + 1]
+|| '","provider":"' || n_name || '","vmId":null,"actionId":null,"requestId":null}', ',' ORDER BY n_name) || ']}' AS json, CAST([5, 5, 6, 2][arg_min(n_nationkey, n_name) % 4 + 1] AS INTEGER) AS exit_code FROM nation""",
     "q_exit_code": """SELECT event_id, error, CAST(CASE WHEN error IS NULL THEN 0 WHEN error IN ('Usage', 'ConfigInvalid') THEN 2 WHEN error = 'Conflict' THEN 3 WHEN error = 'LimitExceeded' THEN 4
 WHEN error IN ('Auth', 'ProviderRejected', 'Transport', 'OutcomeUnknown', 'IncompleteInventory') THEN 5 WHEN error = 'NotFound' THEN 6 WHEN error = 'Aborted' THEN 7 WHEN error = 'WaitTimeout' THEN 9 ELSE 1 END AS INTEGER) AS code
 FROM (SELECT event_id, ['Usage', 'ConfigInvalid', 'Conflict', 'LimitExceeded', 'Auth', 'ProviderRejected', 'Transport', 'OutcomeUnknown', 'IncompleteInventory', 'NotFound', 'Aborted', 'WaitTimeout', 'Internal', NULL][event_id % 14 + 1] AS error FROM events)""",
@@ -289,6 +389,53 @@ FROM (SELECT event_id, ['status', 'absent', 'created'][event_id % 3 + 1] AS kind
 FROM (SELECT o_orderkey, o_orderkey * 500 AS n FROM orders)""",
     "q_greeting": "SELECT c_custkey, 'Hello, ' || CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE 'world' END || '!' AS line FROM customer",
     "q_in_range": "SELECT event_id, CASE WHEN event_id % 400 BETWEEN 20 AND 300 THEN (event_id % 400) || '+' || (event_id % 50 + 20) END AS widths FROM events",
-    "q_inventory": "SELECT provider, id, name FROM (SELECT 'customer' AS provider, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier) ORDER BY provider, name, id LIMIT 500",
+    "q_inventory": "SELECT row_number() OVER (ORDER BY provider, name, id) AS position, provider, id, name FROM (SELECT 'customer' AS provider, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier)",
+    "q_collected_pages": """WITH RECURSIVE p AS (
+  SELECT o_custkey AS account, CAST(o_orderkey AS VARCHAR) AS cursor, CAST(CASE WHEN o_orderkey % 13 = 0 THEN first_value(o_orderkey) OVER w WHEN o_orderkey % 17 = 0 THEN -o_orderkey ELSE lead(o_orderkey) OVER w END AS VARCHAR) AS next
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
+), walk AS (
+  SELECT o_custkey AS account, CAST(NULL AS VARCHAR) AS cursor, CAST(min(o_orderkey) AS VARCHAR) AS next, 0 AS page, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS VARCHAR) AS reason FROM orders GROUP BY o_custkey
+  UNION ALL
+  SELECT account, wanted, after, page + CASE WHEN why IS NULL THEN 1 ELSE 0 END, list_append(seen, wanted), why FROM (
+    SELECT w.account, w.next AS wanted, p.next AS after, w.page, w.seen, CASE WHEN list_contains(w.seen, w.next) THEN 'cursor' WHEN w.page >= 100 THEN 'pages' WHEN p.account IS NULL THEN 'page' END AS why
+    FROM walk w LEFT JOIN p ON p.account = w.account AND p.cursor = w.next WHERE w.next IS NOT NULL AND w.reason IS NULL)
+)
+SELECT account, CAST(page AS INTEGER) AS page, cursor, reason FROM walk WHERE page > 0 OR reason IS NOT NULL""",
+    "q_waited": """WITH o AS (
+  SELECT event_id // 200 * 10 + user_id % 10 AS wait_id, event_id AS clock, CASE WHEN event_type IN ('view', 'click') THEN 'transitioning' WHEN event_type = 'purchase' THEN 'off' WHEN event_type = 'signup' THEN 'running' END AS status,
+    CASE WHEN event_type = 'error' THEN ['Transport', 'Auth', 'NotFound', NULL][event_id % 4 + 1] END AS error, event_type = 'error' AND event_id % 4 = 3 AS wrong FROM events
+), r AS (
+  SELECT wait_id, ['status', 'absent', 'created'][wait_id % 3 + 1] AS kind, ['running', 'off'][wait_id % 2 + 1] AS target, [30, 120, 180, 60, NULL][wait_id % 5 + 1] AS deadline, wait_id // 10 * 200 AS started FROM (SELECT DISTINCT wait_id FROM o)
+), s AS (
+  SELECT *, CASE WHEN error = 'Auth' THEN 'aborted' WHEN error = 'Transport' THEN 'pending' WHEN wrong THEN 'failed'
+    WHEN kind = 'absent' THEN CASE WHEN error = 'NotFound' THEN 'settled' ELSE 'pending' END WHEN error = 'NotFound' THEN CASE WHEN kind = 'created' THEN 'pending' ELSE 'failed' END
+    WHEN kind = 'status' AND status = target OR kind = 'created' AND status IN ('running', 'off') THEN 'settled' ELSE 'pending' END AS state
+  FROM (SELECT o.*, kind, target, deadline, started, row_number() OVER (PARTITION BY o.wait_id ORDER BY clock) AS n FROM o JOIN r ON o.wait_id = r.wait_id WHERE clock <= started + deadline)
+  WHERE n <= ceil(deadline / 2.0) + 1
+), f AS (SELECT wait_id, min(n) FILTER (WHERE state <> 'pending') AS first, count(*) AS polls FROM s GROUP BY wait_id),
+t AS (
+  SELECT r.wait_id, CASE WHEN r.deadline IS NULL THEN 'usage' ELSE coalesce(s.state, 'timeout') END AS outcome, s.error AS told, coalesce(f.first, f.polls, 0) AS polls, coalesce(s.clock - r.started, r.deadline) AS elapsed_s
+  FROM r LEFT JOIN f ON f.wait_id = r.wait_id LEFT JOIN s ON s.wait_id = r.wait_id AND s.n = f.first
+)
+SELECT wait_id, outcome, CASE outcome WHEN 'failed' THEN 'ProviderRejected' WHEN 'aborted' THEN told WHEN 'timeout' THEN 'WaitTimeout' WHEN 'usage' THEN 'Usage' END AS error, CAST(polls AS BIGINT) AS polls, CAST(elapsed_s AS DOUBLE) AS elapsed_s,
+  CAST(CASE outcome WHEN 'settled' THEN 0 WHEN 'timeout' THEN 9 WHEN 'usage' THEN 2 ELSE 5 END AS INTEGER) AS exit_code FROM t""",
+    "q_redacted_record": """SELECT event_id, '{"event_id":' || event_id || ',"note":"Bearer [redacted]","list":[{"v":"[redacted]","deep":{"w":"' || event_type || '"}}],"any":{"a":[{"b":"Bearer [redacted]"},' || event_id || ']}}' AS record FROM events""",
+    "q_decoded": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) WHEN 5 THEN event_id END AS k, CASE event_id % 6 WHEN 5 THEN event_id END AS m,
+CASE WHEN event_id % 6 BETWEEN 1 AND 4 THEN 'ProviderRejected' END AS error, [NULL, '$.k', '$.n.m', '$', '$.k', NULL][event_id % 6 + 1] AS path FROM events""",
+    "q_first_wins": """SELECT setting, value, source FROM (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY rank) AS n FROM (
+  SELECT s_nationkey AS setting, s_suppkey AS rank, s_name AS value, 'supplier' AS source FROM supplier WHERE s_acctbal > 9000
+  UNION ALL SELECT c_nationkey, c_custkey + 1000000000, c_name, 'customer' FROM customer WHERE c_acctbal > 9900
+  UNION ALL SELECT n_nationkey, 1000000000000000, n_name, 'nation' FROM nation)) WHERE n = 1""",
+    "q_listing": """SELECT row_number() OVER (ORDER BY provider, name, id) AS position, provider, id, false AS ok, CAST(5 AS INTEGER) AS exit_code, 'hetzner:incomplete-inventory,other:transport' AS errors
+FROM (SELECT 'hetzner' AS provider, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer WHERE c_custkey <> 0 UNION ALL SELECT 'digitalocean', CAST(s_suppkey AS VARCHAR), s_name FROM supplier)""",
+    "q_details": f"""SELECT 'hetzner' AS provider, CAST(o_orderkey AS VARCHAR) AS id, 'vm-' || o_custkey AS name, o_orderpriority AS type_id, 'fsn1' AS region, {_STATUS} AS status,
+CASE o_orderstatus WHEN 'F' THEN 'off' WHEN 'O' THEN 'running' WHEN 'P' THEN 'starting' ELSE 'odd' END AS raw_status, CASE WHEN o_orderkey % 3 > 0 THEN '10.0.0.' || (o_orderkey % 250) ELSE '-' END AS ipv4, '-' AS ipv6, 'ubuntu' AS image,
+(o_orderkey % 16 // 2) || CASE WHEN o_orderkey % 2 = 1 THEN '.5' ELSE '' END AS ram_gb, '40' AS disk_gb, '-' AS created, 'a=' || (o_orderkey % 7) || ', b=' || o_orderstatus AS labels,
+CASE WHEN o_orderkey % 2 = 0 THEN 'volume:' || o_custkey ELSE '-' END AS attached FROM orders""",
+    "q_droplets": f"""SELECT CAST(k AS VARCHAR) AS id, {_STATUS} AS status, CASE o_orderstatus WHEN 'F' THEN 'off' WHEN 'O' THEN 'active' WHEN 'P' THEN 'new' ELSE 'odd' END AS raw_status, (k % 5 + 1) / 2.0::DOUBLE AS memory_gb,
+CASE WHEN k % 4 > 0 THEN '9.' || k END AS ipv4, CASE WHEN k % 3 > 0 THEN '::' || k END AS ipv6, CASE WHEN k % 5 > 0 THEN 'ubuntu' ELSE CAST(k AS VARCHAR) END AS image, o_orderpriority AS tag, CASE WHEN k % 2 = 0 THEN 'v' || k ELSE '' END AS attached
+FROM (SELECT *, o_orderkey AS k FROM orders)""",
+    "q_unchanged": """SELECT o_orderkey, o_orderstatus = before AS unchanged FROM (SELECT o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) WHERE before IS NOT NULL""",
+    "q_user_data": "SELECT doc_id, octet_length(encode(text)) <= CASE WHEN doc_id % 2 = 0 THEN 32768 ELSE 65536 END AS ok FROM documents WHERE text IS NOT NULL",
     "q_wrap": "SELECT n_nationkey, 'a     |  ' || array_to_string(regexp_extract_all(substr(n_name, 1, 4) || chr(10) || substr(n_name, 5), '[^' || chr(10) || ']{1,6}'), '|') AS lines, CAST(8 + length(n_name) AS INTEGER) AS width FROM nation",
 }
