@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratamill.llm._shared import checkpointed
+
 BLOCK_ROWS = 8192
 CHUNK_QUERIES = 1024
 #: Queries that are added at once; their bitmaps stay in the processor's cache.
@@ -49,9 +51,27 @@ class BitSlices:
             plane = np.zeros((self.size, self.rows + pad), np.uint8)
             plane[:, : self.rows] = ((values >> np.uint64(b)) & np.uint64(1)).T
             self.slices[:, b] = np.packbits(plane, axis=1, bitorder="little").view(np.uint64)
-        live = np.zeros(self.rows + pad, np.uint8)
-        live[: self.rows] = 1
-        self.live = np.packbits(live, bitorder="little").view(np.uint64)
+
+    @property
+    def live(self) -> np.ndarray:
+        """The bitmap of rows that there are."""
+        bits = np.zeros(self.rows + -self.rows % WORD, np.uint8)
+        bits[: self.rows] = 1
+        return np.packbits(bits, bitorder="little").view(np.uint64)
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """Ids, least values and slices, as ``unpacked`` takes them."""
+        return self.ids.tobytes(), self.low.tobytes(), self.slices.tobytes()
+
+    @classmethod
+    def unpacked(cls, ids: bytes, low: bytes, slices: bytes) -> BitSlices:
+        own = cls.__new__(cls)
+        own.ids, own.low = np.frombuffer(ids, np.int64), np.frombuffer(low, np.int64)
+        own.rows, own.size = len(own.ids), len(own.low)
+        words = (own.rows + -own.rows % WORD) // WORD
+        own.bits = len(slices) // 8 // (own.size * words) if own.size else 1
+        own.slices = np.frombuffer(slices, np.uint64).reshape(own.size, own.bits, words)
+        return own
 
     def sums(self, queries: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Slices of the scores of each query, from the least significant, and what to add to them.
@@ -143,28 +163,48 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
 
     Both sides are quantised alike. Unusable vectors and null ids take no part; rows of one id are rows like others, and
     queries of one id are ranked as one. A query meets rows of its own length other than those of its id; empty vectors
-    have a score of 0. Rows and queries are dealt into blocks, and each pair of blocks is one group of bounded size:
-    the slices of a block are made once for CHUNK_QUERIES queries. Scores must stay within 63 bits.
+    have a score of 0. Rows and queries are dealt into blocks of bounded size. The slices of a block of rows are made once
+    and written; they, a bit for each bit of a value, are what is sent to each block of queries. Scores must stay within
+    63 bits. Other columns take no part.
     """
     own = lambda df: df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v"))
     rows, queries = own(rows), own(queries)
     n, m = rows.count(), queries.count()
     blocks, chunks = 1 + n // BLOCK_ROWS, 1 + m // CHUNK_QUERIES
-    side = lambda df, many, other, kind, name, against: df.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(many)).cast("int")).withColumn(against, F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).withColumn("query", F.lit(kind))
-    both = side(rows, blocks, chunks, False, "block", "chunk").unionByName(side(queries, chunks, blocks, True, "chunk", "block")).withColumn("size", F.size("v"))
+    fields = ["block", "size", "ids", "low", "cells"]
+    kind = "block int, size int, ids binary, low binary, cells binary"
+
+    def vectors(table):
+        ids, size = table.column("id").to_numpy(), table.column("size")[0].as_py()
+        return ids, table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), size), [[table.column("block")[0].as_py()], [size]]
+
+    def sliced(table):
+        ids, values, at = vectors(table)
+        return pa.table([*map(pa.array, at), *([x] for x in BitSlices(ids, values).packed())], schema=made)
+
+    def plain(table):
+        ids, values, at = vectors(table)
+        return pa.table([*map(pa.array, at), [ids.tobytes()], [None], [values.tobytes()]], schema=made)
+
+    made = pa.schema([*((k, pa.int32()) for k in fields[:2]), *((k, pa.binary()) for k in fields[2:])])
+    deal = lambda df, many: df.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(many)).cast("int")).withColumn("size", F.size("v")).groupBy("block", "size")
+    index = checkpointed(deal(rows, blocks).applyInArrow(sliced, kind))
+    asked = checkpointed(deal(queries, chunks).applyInArrow(plain, kind).withColumnRenamed("block", "chunk"))
+    each = lambda df, many, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    both = each(index, chunks, "chunk").unionByName(each(asked, blocks, "block"))
 
     def search(table):
-        is_query = table.column("query").to_numpy(zero_copy_only=False)
-        ids = table.column("id").to_numpy()
-        flat = table.column("v").combine_chunks().flatten().to_numpy()
-        vectors = flat.reshape(len(ids), table.column("size")[0].as_py())
+        """One block of rows, which has least values, and one of queries."""
         out = [(np.zeros(0, np.int64),) * 3]
-        if not is_query.all():
-            index = BitSlices(ids[~is_query], vectors[~is_query])
-            wanted, weights = ids[is_query], vectors[is_query]
+        is_query = table.column("low").is_null().to_pylist()
+        if sorted(is_query) == [False, True]:
+            r, q = is_query.index(False), is_query.index(True)
+            index = BitSlices.unpacked(*(table.column(c)[r].as_py() for c in fields[2:]))
+            wanted = np.frombuffer(table.column("ids")[q].as_py(), np.int64)
+            weights = np.frombuffer(table.column("cells")[q].as_py(), np.int64).reshape(len(wanted), index.size)
             for i in range(0, len(wanted), TOGETHER):
-                for q, (found, score) in zip(wanted[i : i + TOGETHER], index.top(weights[i : i + TOGETHER], wanted[i : i + TOGETHER], k), strict=True):
-                    out.append((np.full(len(found), q), found, score))
+                for w, (found, score) in zip(wanted[i : i + TOGETHER], index.top(weights[i : i + TOGETHER], wanted[i : i + TOGETHER], k), strict=True):
+                    out.append((np.full(len(found), w), found, score))
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     found = both.groupBy("block", "chunk", "size").applyInArrow(search, "query_id long, vec_id long, score long")
