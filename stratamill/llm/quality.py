@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratamill.llm._grams import WordBuffer, byte_slices
-from stratamill.llm._shared import drawn, field, lean, map_texts
+from stratamill.llm._shared import checkpointed, drawn, field, lean, map_texts, slices
 
 #: At most about this many labelled documents are learned from, drawn by a hash of their id.
 TRAIN_DOCS = 6000
-#: So many passages of each at most, 32,768 words.
-TRAIN_PASSAGES = 512
+#: Their texts have no more than this many bytes in all; a text that no longer fits is passed over.
+TRAIN_BYTES = 32_000_000
 PASSAGE = 64
+#: Passages whose gradient is taken at once; a longer text's passages stay together.
+TOGETHER = 16_384
 #: Classes of bytes that are counted apart.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",;:", "!?", "*", "$", "%", "&", "#", "|", "\"'()-", "<>{}[]=/\\_@+~^`"]
 FEATURES = len(CLASSES) + 1 + 7
@@ -69,13 +71,16 @@ def passages(texts: list[str | None]):
         yield a, b, first, x
 
 
-def thinned(first: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bags of passages with no more than so many each, spread evenly."""
-    n = np.diff(first)
-    of = np.repeat(np.arange(len(n)), n)
-    at = np.arange(len(of)) - first[:-1][of]
-    keep = at * most // n[of] != (at - 1) * most // n[of]
-    return np.concatenate([[0], np.cumsum(np.bincount(of[keep], minlength=len(n)))]), x[keep]
+def fitting(sizes: list[tuple[str | None, int | None]], most: int) -> list[str | None]:
+    """Of texts' keys and sizes the keys of those to pass over, so that the others have no more than so many bytes in
+    all; texts are taken in the order of their keys, while they fit."""
+    over = []
+    for key, size in sorted(sizes, key=lambda x: x[0] or ""):
+        if (size or 0) > most:
+            over.append(key)
+        else:
+            most -= size or 0
+    return over
 
 
 class Attention:
@@ -96,26 +101,34 @@ class Attention:
         z = np.add.reduceat(a[:, None] * h, heads)
         return {"of": of, "h": h, "v": v, "u": u, "a": a, "z": z, "p": 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["b"], -30, 30)))}
 
-    def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.01, decay: float = 1e-4) -> None:
-        """Adam over all bags at once."""
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
-        x = (x - self.mean) / self.scale
-        w, heads = self.w, first[:-1]
+    def gradient(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """The sum of the bags' gradients."""
+        w, heads, f = self.w, first[:-1], self.forward(x, first)
+        of, h, v, u, a = (f[k] for k in ("of", "h", "v", "u", "a"))
+        d = f["p"] - y
+        dz = d[:, None] * w["c"]
+        dot = (h * dz[of]).sum(1)
+        da = a * (dot - np.add.reduceat(a * dot, heads)[of])
+        dgate = da[:, None] * w["g"]
+        dv, du = dgate * u * (1 - v * v), dgate * v * u * (1 - u)
+        dh = a[:, None] * dz[of] + dv @ w["V"].T + du @ w["U"].T
+        dx = dh * (1 - h * h)
+        return {"E": x.T @ dx, "e": dx.sum(0), "V": h.T @ dv, "U": h.T @ du, "g": (v * u).T @ da, "c": f["z"].T @ d, "b": d.sum(keepdims=True)}
+
+    def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.01, decay: float = 1e-4, together: int = TOGETHER) -> None:
+        """Adam over all bags in each step. A step's gradient is summed over parts of about so many passages, so only
+        the passages themselves, in single precision, are held whole."""
+        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
+        w = self.w
         one, two = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+        parts = list(slices(np.diff(first), together))
         for step in range(1, steps + 1):
-            f = self.forward(x, first)
-            of, h, v, u, a = (f[k] for k in ("of", "h", "v", "u", "a"))
-            d = (f["p"] - y) / len(y)
-            dz = d[:, None] * w["c"]
-            dot = (h * dz[of]).sum(1)
-            da = a * (dot - np.add.reduceat(a * dot, heads)[of])
-            dgate = da[:, None] * w["g"]
-            dv, du = dgate * u * (1 - v * v), dgate * v * u * (1 - u)
-            dh = a[:, None] * dz[of] + dv @ w["V"].T + du @ w["U"].T
-            dx = dh * (1 - h * h)
-            g = {"E": x.T @ dx, "e": dx.sum(0), "V": h.T @ dv, "U": h.T @ du, "g": (v * u).T @ da, "c": f["z"].T @ d, "b": d.sum(keepdims=True)}
+            g = {k: decay * v for k, v in w.items()}
+            for a, b in parts:
+                own = (x[first[a] : first[b]] - self.mean) / self.scale
+                for k, v in self.gradient(own, first[a : b + 1] - first[a], y[a:b]).items():
+                    g[k] = g[k] + v / len(y)
             for k in w:
-                g[k] = g[k] + decay * w[k]
                 one[k] = 0.9 * one[k] + 0.1 * g[k]
                 two[k] = 0.999 * two[k] + 0.001 * g[k] ** 2
                 w[k] = w[k] - rate * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
@@ -126,20 +139,24 @@ class Attention:
         return f["p"], f["a"]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_passages: int = TRAIN_PASSAGES) -> Attention:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> Attention:
     """The model of labelled documents; of two labels for one id the larger counts, null ids and labels take no part,
-    and equal texts count once. Without labelled documents the weights stay as drawn. It learns from about ``max_docs``
-    documents, and from ``max_passages`` of each at most, spread evenly over longer ones; scoring reads all passages."""
+    and equal texts count once. Without labelled documents the weights stay as drawn. It learns from all passages of about
+    ``max_docs`` documents at most, whose texts have ``max_bytes`` bytes in all at most: they are taken in the order of a
+    hash, and one that no longer fits is passed over. Scoring reads all passages."""
     clean = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
     sample = drawn(clean, id_col, max_docs)  # about max_docs rows of two numbers
     both = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(sample), id_col)
     both = both.groupBy(F.sha2("_text", 256).alias("_key")).agg(F.first("_text").alias("_text"), F.least(F.max("_label"), F.lit(1)).alias("_label"))
+    both = checkpointed(both)
+    over = fitting([tuple(r) for r in both.select("_key", F.octet_length("_text")).collect()], max_bytes)  # of the sample, two values a text
+    if over:
+        both = both.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in over], "_key string")), "_key", "left_anti")
 
     def encode(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b, first, x in passages(texts):
-                first, x = thinned(first, x, max_passages)
                 cuts = first * FEATURES
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), lists], names=["key", "label", "x"])
@@ -147,8 +164,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     found = both.select("_text", "_key", "_label").mapInArrow(lean(encode), "key string, label int, x array<float>").orderBy("key").toArrow().combine_chunks()
     model = Attention()
     if found.num_rows:
-        bags = [np.asarray(v, np.float64).reshape(-1, FEATURES) for v in (found.column("x").chunk(0)[i].values.to_numpy() for i in range(found.num_rows))]
-        model.fit(np.concatenate(bags), np.concatenate([[0], np.cumsum([len(v) for v in bags])]), found.column("label").to_numpy().astype(np.float64))
+        bags = found.column("x").chunk(0)
+        x = bags.flatten().to_numpy().reshape(-1, FEATURES)
+        first = (bags.offsets.to_numpy() - bags.offsets[0].as_py()) // FEATURES
+        model.fit(x, first, found.column("label").to_numpy().astype(np.float64))
     return model
 
 
