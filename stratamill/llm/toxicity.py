@@ -66,6 +66,17 @@ def segments(at: list[int], scores: list[float], background: float = BACKGROUND)
     return [(a, b, high - low) for a, b, low, high in out]
 
 
+def strongest(odds: dict[bytes, tuple[float, float]], w: bytes) -> tuple[float, float]:
+    """A token's score and its significance: of its own odds and those of its beginnings the most significant count."""
+    found = [x for n in BEGINNINGS if n <= len(w) and (x := odds.get(w[:n] + b"*"))]
+    if x := odds.get(w):
+        found.append(x)
+    if not found:
+        return BACKGROUND, 0.0
+    best, z = max(found, key=lambda x: abs(x[1]))
+    return best if best > 0 else BACKGROUND + max(best, -2.0) / 4, abs(z)
+
+
 class Model:
     def __init__(self, odds: dict[bytes, tuple[float, float]]):
         self.odds = odds  # token: log-odds and significance; beginnings end in a star
@@ -75,13 +86,7 @@ class Model:
     def token(self, w: bytes) -> float:
         s = self.memo.get(w)
         if s is None:
-            found = [x for n in BEGINNINGS if n <= len(w) and (x := self.odds.get(w[:n] + b"*"))]
-            if x := self.odds.get(w):
-                found.append(x)
-            s = BACKGROUND
-            if found:
-                best = max(found, key=lambda x: abs(x[1]))[0]
-                s = best if best > 0 else BACKGROUND + max(best, -2.0) / 4
+            s = strongest(self.odds, w)[0]
             if len(self.memo) > 200_000:
                 self.memo.clear()
             self.memo[w] = s
@@ -141,8 +146,32 @@ class Model:
         return 1 / (1 + math.exp(-(self.slope * x + self.shift))), sure
 
 
-def _levels(folds: list[dict]) -> list[list[Model]]:
-    return [[Model({w: x for w, x in odds.items() if abs(x[1]) >= z}) for odds in folds] for z in LEVELS]
+class _Graded:
+    """Segments at all levels at once. A token counts at the levels that its significance reaches, so one look at it
+    serves them all."""
+
+    def __init__(self, odds: dict[bytes, tuple[float, float]]):
+        self.odds, self.memo = odds, {}
+
+    def grades(self, words: list[bytes]) -> list[tuple[float, float]]:
+        out = []
+        for w in words:
+            x = self.memo.get(w)
+            if x is None:
+                if len(self.memo) > 100_000:
+                    self.memo.clear()
+                x = self.memo[w] = strongest(self.odds, w)
+            out.append(x)
+        return out
+
+    @staticmethod
+    def found(grades: list[tuple[float, float]]) -> list[list[tuple[int, int, float]]]:
+        held = [(i, s, z) for i, (s, z) in enumerate(grades) if s != BACKGROUND]
+        out = []
+        for level in LEVELS:
+            held = [x for x in held if x[2] >= level]
+            out.append(segments([i for i, _, _ in held], [s for _, s, _ in held]))
+        return out
 
 
 def _calibrate(model: Model, folds: list[dict], both: DataFrame) -> None:
@@ -151,19 +180,28 @@ def _calibrate(model: Model, folds: list[dict], both: DataFrame) -> None:
     text and level, and the tokens' different scores, which are no more than the models have tokens."""
     context = both.sparkSession.sparkContext
     odds = context.broadcast(folds)
+    told_as = ["level", "score", "n", "top"]
 
     def measure(batches):
-        models = _levels(odds.value)
-        times = [Counter() for _ in models]
+        graded = [_Graded(x) for x in odds.value]
+        times: Counter = Counter()
         for batch in batches:
-            rows = [(tokens(t), f) for t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True) if not y]
-            for k, own in enumerate(models):
-                tops = [max((s for *_, s in own[f].found(words)), default=0.0) for words, f in rows]
-                for words, f in rows:
-                    times[k].update(map(own[f].token, words))
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(rows), pa.int32()), pa.nulls(len(rows), pa.float32()), pa.array([len(words) for words, _ in rows], pa.int64()), pa.array(tops, pa.float64())], names=["level", "score", "n", "top"])
-        for k, n in enumerate(times):
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int32()), pa.array(list(n), pa.float32()), pa.array(list(n.values()), pa.int64()), pa.nulls(len(n), pa.float64())], names=["level", "score", "n", "top"])
+            n, tops = [], [[] for _ in LEVELS]
+            for text, label, fold in zip(*batch.columns, strict=True):
+                if label.as_py():
+                    continue
+                grades = graded[fold.as_py()].grades(tokens(text.as_py()))
+                times.update(grades)
+                n.append(len(grades))
+                for k, found in enumerate(_Graded.found(grades)):
+                    tops[k].append(max((s for *_, s in found), default=0.0))
+            for k, top in enumerate(tops):
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int32()), pa.nulls(len(n), pa.float32()), pa.array(n, pa.int64()), pa.array(top, pa.float64())], names=told_as)
+        for k, level in enumerate(LEVELS):
+            at: Counter = Counter()
+            for (s, z), n in times.items():
+                at[s if z >= level else BACKGROUND] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array(list(at), pa.float32()), pa.array(list(at.values()), pa.int64()), pa.nulls(len(at), pa.float64())], names=told_as)
 
     measured = checkpointed(both.mapInArrow(lean(measure), "level int, score float, n long, top double"))
     told = measured.where("score is not null").groupBy("level", "score").agg(F.sum("n").alias("n")).orderBy("level", "score").toArrow()
@@ -176,14 +214,17 @@ def _calibrate(model: Model, folds: list[dict], both: DataFrame) -> None:
     laws_told = context.broadcast(laws)
 
     def weigh(batches):
-        models = _levels(odds.value)
-        for own, law in zip(models, laws_told.value, strict=True):
-            for x in own:
-                x.rate, x.k = law
+        graded, models = [_Graded(x) for x in odds.value], []
+        for rate, k in laws_told.value:
+            models.append(Model({}))
+            models[-1].rate, models[-1].k = rate, k
         for batch in batches:
-            rows = [(tokens(t), f) for t, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            each = [pa.array([own[f].evidence(own[f].found(w), len(w)) for w, f in rows], pa.float64()) for own in models]
-            yield pa.RecordBatch.from_arrays([*each, batch.column(1)], names=[*(f"x{k}" for k in range(len(models))), "y"])
+            each: list[list[float]] = [[] for _ in models]
+            for text, fold in zip(batch.column(0), batch.column(2), strict=True):
+                grades = graded[fold.as_py()].grades(tokens(text.as_py()))
+                for x, own, found in zip(each, models, _Graded.found(grades), strict=True):
+                    x.append(own.evidence(found, len(grades)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.float64()) for x in each), batch.column(1)], names=[*(f"x{k}" for k in range(len(models))), "y"])
 
     names = [f"x{k}" for k in range(len(LEVELS))]
     pairs = both.mapInArrow(lean(weigh), ", ".join(f"{x} double" for x in names) + ", y int").orderBy("y", *names).toArrow()
@@ -226,13 +267,20 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     both = checkpointed(both.select("_text", F.least("_label", F.lit(1)).alias("_label"), fold.alias("_fold")))
 
     def count(batches):
+        def told(held):
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), *(pa.array([n[k] for n in held.values()], pa.int64()) for k in range(4))], names=["w", "c0", "t0", "c1", "t1"])
+
+        held: dict[bytes, list[int]] = {}
         for batch in batches:
-            held: dict[bytes, list[int]] = {}
-            for t, y, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = set(tokens(t))
+            for text, label, fold in zip(*batch.columns, strict=True):
+                words = set(tokens(text.as_py()))
+                at = 2 * fold.as_py() + label.as_py()
                 for w in words | {w[:n] + b"*" for w in words for n in BEGINNINGS if n <= len(w)}:
-                    held.setdefault(w, [0, 0, 0, 0])[2 * f + y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), *(pa.array([n[k] for n in held.values()], pa.int64()) for k in range(4))], names=["w", "c0", "t0", "c1", "t1"])
+                    held.setdefault(w, [0, 0, 0, 0])[at] += 1
+                if len(held) > 100_000:  # handed on, so that a task holds no more
+                    yield told(held)
+                    held.clear()
+        yield told(held)
 
     counts = ["c0", "t0", "c1", "t1"]
     counted = both.mapInArrow(lean(count), "w binary, c0 long, t0 long, c1 long, t1 long").groupBy("w").agg(*(F.sum(x).alias(x) for x in counts))
