@@ -90,10 +90,53 @@ def test_null_ids_are_not_held_out(spark, tmp_path):
         assert {x for _, x in held} == {True, False}
 
 
-def test_long_texts_teach_a_bounded_number_of_passages():
-    x = np.arange(12.0)[:, None]
-    first, kept = quality.thinned(np.array([0, 1, 3, 12]), x, 3)
-    assert first.tolist() == [0, 1, 3, 6] and kept[:, 0].tolist() == [0, 1, 2, 3, 6, 9]
+def test_texts_learned_from_are_bounded_whole():
+    assert quality.fitting([("c", 4), ("a", 5), ("b", 9), (None, None), ("d", 1)], 10) == ["b"]
+    assert quality.fitting([("a", 11), ("b", 10)], 10) == ["a"] and quality.fitting([], 10) == []
+
+
+def test_attention_learns_by_parts_as_by_all_at_once():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 30, 40)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    x, y = rng.normal(size=(first[-1], quality.FEATURES)).astype(np.float32), rng.integers(0, 2, 40).astype(float)
+    found = []
+    for together in (10**6, 50, 1):
+        model = quality.Attention()
+        model.fit(x, first, y, steps=20, together=together)
+        found.append(model.score(x.astype(np.float64), first)[0])
+    assert np.allclose(found[0], found[1]) and np.allclose(found[0], found[2])
+
+
+def test_attention_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(2)
+    first = np.array([0, 2, 3, 7])
+    x, y = rng.normal(size=(7, quality.FEATURES)), np.array([1.0, 0.0, 1.0])
+    model = quality.Attention()
+
+    def loss():
+        p = model.forward(x, first)["p"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
+    for name, g in model.gradient(x, first, y).items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        was, ends = model.w[name][at], []
+        for step in (1e-5, -1e-5):
+            model.w[name][at] = was + step
+            ends.append(loss())
+        model.w[name][at] = was
+        assert abs((ends[0] - ends[1]) / 2e-5 - g[at]) < 1e-5
+
+
+def test_grades_give_what_each_level_gives_alone():
+    rng = random.Random(8)
+    words = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    odds = {w if rng.random() < 0.5 else w[:4] + b"*": (rng.uniform(-3, 3), rng.uniform(-6, 6)) for w in words[:150]}
+    text = [rng.choice(words) for _ in range(2000)]
+    graded = toxicity._Graded(odds)
+    for level, found in zip(toxicity.LEVELS, graded.found(graded.grades(text)), strict=True):
+        assert found == toxicity.Model({w: x for w, x in odds.items() if abs(x[1]) >= level}).found(text)
+    assert any(graded.found(graded.grades(text)))
 
 
 def test_difference_covers():
