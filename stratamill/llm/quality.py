@@ -116,18 +116,19 @@ class Attention:
         return {"E": x.T @ dx, "e": dx.sum(0), "V": h.T @ dv, "U": h.T @ du, "g": (v * u).T @ da, "c": f["z"].T @ d, "b": d.sum(keepdims=True)}
 
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.01, decay: float = 1e-4, together: int = TOGETHER) -> None:
-        """Adam over all bags in each step. A step's gradient is summed over parts of about so many passages, so only
-        the passages themselves, in single precision, are held whole."""
+        """Adam over all bags in each step. A step's gradient is summed over parts of about so many passages, in
+        single precision, so only the passages themselves are held whole."""
         self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
-        w = self.w
+        x, y = ((x - self.mean) / self.scale).astype(np.float32), y.astype(np.float32)
+        w, own = self.w, Attention()
         one, two = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
         parts = list(slices(np.diff(first), together))
         for step in range(1, steps + 1):
             g = {k: decay * v for k, v in w.items()}
+            own.w = {k: v.astype(np.float32) for k, v in w.items()}
             for a, b in parts:
-                own = (x[first[a] : first[b]] - self.mean) / self.scale
-                for k, v in self.gradient(own, first[a : b + 1] - first[a], y[a:b]).items():
-                    g[k] = g[k] + v / len(y)
+                for k, v in own.gradient(x[first[a] : first[b]], first[a : b + 1] - first[a], y[a:b]).items():
+                    g[k] = g[k] + v.astype(np.float64) / len(y)
             for k in w:
                 one[k] = 0.9 * one[k] + 0.1 * g[k]
                 two[k] = 0.999 * two[k] + 0.001 * g[k] ** 2
