@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,27 @@ from stratamill.llm._shared import checkpointed, crc_mod, shared_folder, small,
 from stratamill.llm.queries import KEY, vocabulary
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Names of columns that stages make and drop again.
+WITHIN = ("_key", "_toxic", "_passages", "_found")
+
+
+def _apart(stage: Stage) -> Stage:
+    """The stage, with a caller's columns of names that it uses itself put aside while it runs, in any case of letters."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        taken, aside = {c.lower() for c in docs.columns}, {}
+        for c in docs.columns:
+            if c.lower() in WITHIN:
+                aside[c] = next(n for n in (f"{c}_{i}" for i in range(len(taken) + 1)) if n.lower() not in taken)
+                taken.add(aside[c].lower())
+        out = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
+        return out.withColumnsRenamed({new: c for c, new in aside.items()})
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with a key of 64 bits for doc_id and text, as ids can be null or repeat; nulls count like values."""
     return docs.withColumn("_key", F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text"))
@@ -24,6 +46,7 @@ def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
     return keyed.join(small(checkpointed(keys.select("_key").distinct())), "_key", "left_anti")
 
 
+@_apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that op8_segments does not predict to be toxic; null and empty texts stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2))
@@ -31,6 +54,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where((F.col("_toxic") < toxicity.TOXIC) | (F.coalesce("text", F.lit("")) == "")).select(docs.columns)
 
 
+@_apart
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near-duplicates, that of the smallest id, null last; of rows of one id and text
     one stays."""
@@ -49,6 +73,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out.select(docs.columns)
 
 
+@_apart
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window that matches a benchmark item."""
     keyed = _keyed(docs)
@@ -56,18 +81,20 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(keyed, leaks).select(docs.columns)
 
 
+@_apart
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms in their texts; these keep their length."""
     return pseudonyms.pseudonymised(docs, KEY, found_col="_found").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the ids of their tokens, their number, and the text that these decode to."""
+    """All documents with the ids of their tokens (``ids``), their number (``n_tokens``), and the text that these decode
+    to (``decoded``). These are the stage's results, and columns of a caller's that have their names give way."""
     encoded = bpe.encode(docs, vocabulary(), decoded_col="decoded")
     return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("near_dedup", drop_near_duplicates),
     ("decontamination", drop_leaks),
