@@ -93,6 +93,16 @@ def test_stage_rejects_what_op8_predicts(spark, tmp_path, monkeypatch):
     assert kept == {r.doc_id for r in QUERIES["op8_segments"](spark, at).collect() if r.predicted == 0} == set(range(30))
 
 
+def test_columns_of_a_callers_stay(spark, tmp_path):
+    at, df = stored(spark, tmp_path, MIXED, items=[(1, ITEM)])
+    odd = df.select("*", *(F.coalesce("text", F.lit("-")).alias(c) for c in ("_KEY", "_toxic", "_passages", "_found", "_toxic_0")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, plain = stage(spark, odd, at), stage(spark, df, at)
+        assert out.columns == odd.columns, name
+        told = [r for r in out.collect()]
+        assert len(told) == plain.count() and all(len(set(r[3:])) == 1 and len(r[3]) == len("-" if r.text is None else r.text) for r in told), name
+
+
 def test_run(spark, tmp_path):
     from tokenizers import Tokenizer
 
