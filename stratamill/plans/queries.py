@@ -328,11 +328,89 @@ def q_wrap(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select("n_nationkey", F.array_join(blocks.wrap(text, F.lit(6)), "|").alias("lines"), blocks.width_of(text).alias("width"))
 
 
+def _diagrams(spark, sf_dir):
+    """Orders as documents: a heading, a block of another language, and one or two blocks of text with tabs, of which some
+    have a marker; some blocks are left open, and some documents have none."""
+    k = F.col("o_orderkey").cast("string")
+    two = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("\n<!-- draw-visual:m"), k, F.lit(" -->\n~~~~text\nclerk "), F.col("o_custkey").cast("string"), F.lit("\n~~~\n~~~~~"))).otherwise("")
+    body = F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise(F.concat(F.lit("```text\n"), k, F.lit("\t"), F.col("o_orderpriority"), F.lit("\nend"), F.when(F.col("o_orderkey") % 11 == 0, "").otherwise("\n```"), two))
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("# of "), F.col("o_orderstatus"), F.lit("\n```sh\nls\n```\n"), body).alias("text"))
+
+
+def q_fenced(spark, sf_dir):
+    return blocks.fenced(_diagrams(spark, sf_dir)).select("id", "block", "label", "line", F.array_join("lines", "|").alias("lines"), "error")
+
+
+def q_measured(spark, sf_dir):
+    """The blocks' widest lines, and which are over each of two widths."""
+    found = blocks.measured(blocks.fenced(_diagrams(spark, sf_dir)), [14, 70])
+    return found.select("id", "block", "width", "columns", F.array_join("wrapped_lines", ",").alias("wrapped"), "overflow", "sha256")
+
+
+def q_options(spark, sf_dir):
+    """Orders as sources of diagrams, of which some begin with a line of options, and some of these leave a quote open."""
+    k = F.col("o_orderkey")
+    line = F.concat(F.when(k % 2 == 0, "%% ").otherwise("' "), F.lit("draw-visual: --id "), k.cast("string"), F.lit(" '"), F.col("o_orderpriority"), F.when(k % 5 == 0, "").otherwise("'"), F.lit(" \\x\nmore"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.array_join(s.options(F.when(k % 3 == 0, "plain").otherwise(line)), "|").alias("options"))
+
+
+def q_stale_embeds(spark, sf_dir):
+    """Orders as documents with one embedded diagram each, against the diagrams of their customers as they are now."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    path = F.concat(F.lit("c"), c.cast("string"))
+    fence = F.when(k % 5 == 0, "none").otherwise(F.concat(F.lit("```\n"), F.when(k % 2 == 0, "old").otherwise(F.concat(F.lit("Customer#"), F.lpad(c.cast("string"), 9, "0"))), F.when(k % 7 == 0, "").otherwise("\n```")))
+    docs = _t(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("a\n<!-- draw-visual: "), path, F.lit(" -->\n"), fence).alias("text"))
+    now = _t(spark, sf_dir, "customer").where("c_custkey % 4 > 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.array("c_name").alias("lines"))
+    return blocks.embeds(docs, now)
+
+
+def q_types(spark, sf_dir):
+    """Parts as the raw types of both providers: some are withdrawn, some will be, some are not available."""
+    k, when = F.col("p_partkey"), F.lit("2020-01-01 00:00:00").cast("timestamp")
+    part = _t(spark, sf_dir, "part")
+    gone = F.when(k % 3 == 0, "2019-12-31 00:00:00").when(k % 3 == 1, "2020-01-02 00:00:00").cast("timestamp")
+    one = part.select(F.col("p_name").alias("name"), F.col("p_size").alias("cores"), (k % 9 / 2.0).alias("memory"), F.lit(20.0).alias("disk"), F.col("p_type").alias("architecture"), F.array(F.struct(F.col("p_brand").alias("location")), F.struct(F.lit("fsn1").alias("location"))).alias("prices"), F.struct(gone.alias("unavailable_after")).alias("deprecation"))
+    two = part.select((k % 4 > 0).alias("available"), F.col("p_name").alias("slug"), F.col("p_size").alias("vcpus"), (k % 9 * 512).alias("memory"), F.lit(25.0).alias("disk"), F.array("p_brand").alias("regions"))
+    both = normalize.hetzner_types(one, when).withColumn("provider", F.lit("hetzner")).unionByName(normalize.digitalocean_types(two).withColumn("provider", F.lit("digitalocean")))
+    return both.select("provider", "id", "vcpu", s.number_text(F.col("memory_gb")).alias("memory"), s.number_text(F.col("disk_gb")).alias("disk"), "arch", F.array_join("available_regions", ",").alias("regions"))
+
+
+def q_actions(spark, sf_dir):
+    """Line items as actions of one provider, looked up by the two ids that stand for one."""
+    line = _t(spark, sf_dir, "lineitem")
+    vm, action = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")
+    raw = line.select(F.concat(vm, F.lit(":"), action).alias("id"), d.mapped(F.col("l_returnflag"), {"A": "in-progress", "R": "completed", "N": "errored"}, "odd").alias("status"))
+    found = normalize.action_status(raw, "digitalocean").withColumn("at", normalize.droplet_action(F.col("id")))
+    return found.select("at.vm_id", "at.action_id", "state", "message")
+
+
+def q_membership(spark, sf_dir):
+    """Machines that are wanted by provider and id, and are there or not: orders ask for customers, of which a third place
+    none, and for others that there can't be."""
+    vms = q_union_tagged(spark, sf_dir).where("provider = 'customer'")
+    wanted = _t(spark, sf_dir, "orders").select(F.lit("customer").alias("provider"), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("x"), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string")).alias("id"))
+    return choose.found_or_error(vms, wanted.distinct()).select("id", F.col("vm.name").alias("name"), "error")
+
+
+def q_usage_errors(spark, sf_dir):
+    """Events as requests whose options do or do not go together."""
+    e = F.col("event_id")
+    given = lambda by, value: F.when(e % by == 0, value)
+    asked = _t(spark, sf_dir, "events").select(
+        "event_id", _picked(["create", "list", "stop", "start"]).alias("command"), _picked(["all", "hetzner", "hetzner"]).alias("provider"), given(5, "t1").alias("type"), given(3, (e % 4).cast("double")).alias("vcpu"), given(2, (e % 7 / 2.0)).alias("memory"),
+        given(11, F.lit(10.0)).alias("disk"), given(13, (e % 900).cast("int")).alias("timeout"), (e % 2 == 0).alias("wait"), (e % 17 == 0).alias("yes"), (e % 19 == 0).alias("dry_run"),
+    )
+    return choose.usage_errors(asked).select("event_id", F.array_join("usage", "; ").alias("usage"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, f in globals().items() if k.startswith("q_")}
 
 _PICK = "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size >= 10 ORDER BY p_size, p_retailprice, p_partkey LIMIT 1"
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'off' WHEN 'O' THEN 'running' WHEN 'P' THEN 'transitioning' ELSE 'unknown' END"
 
+_DIAGRAMS = """d AS (SELECT o_orderkey AS id, o_orderstatus, o_orderpriority, 'clerk ' || o_custkey AS o_clerk, CASE WHEN o_orderkey % 7 = 0 THEN 'no block' WHEN o_orderkey % 11 = 0 THEN 'unclosed fence' END AS error FROM orders),
+b AS (SELECT *, unnest(CASE WHEN error IS NULL AND id % 3 = 0 THEN [1, 2] ELSE [1] END) AS n FROM d)"""
+
 ORACLE: dict[str, str] = {
     "q_smallest_fit": "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_type = 'PROMO' AND p_size >= 10 ORDER BY p_size, p_retailprice, p_partkey LIMIT 1",
     "q_limit_then_check": f"SELECT * FROM ({_PICK}) WHERE p_retailprice <= 901",
@@ -438,4 +516,25 @@ FROM (SELECT *, o_orderkey AS k FROM orders)""",
     "q_unchanged": """SELECT o_orderkey, o_orderstatus = before AS unchanged FROM (SELECT o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) WHERE before IS NOT NULL""",
     "q_user_data": "SELECT doc_id, octet_length(encode(text)) <= CASE WHEN doc_id % 2 = 0 THEN 32768 ELSE 65536 END AS ok FROM documents WHERE text IS NOT NULL",
     "q_wrap": "SELECT n_nationkey, 'a     |  ' || array_to_string(regexp_extract_all(substr(n_name, 1, 4) || chr(10) || substr(n_name, 5), '[^' || chr(10) || ']{1,6}'), '|') AS lines, CAST(8 + length(n_name) AS INTEGER) AS width FROM nation",
+    "q_fenced": f"""WITH {_DIAGRAMS}
+SELECT id, CAST(CASE WHEN error IS NULL THEN n END AS INTEGER) AS block, CASE WHEN error IS NULL THEN CASE n WHEN 1 THEN 'of ' || o_orderstatus ELSE 'm' || id END END AS label, CAST(CASE WHEN error IS NULL THEN CASE n WHEN 1 THEN 6 ELSE 11 END END AS INTEGER) AS line,
+CASE WHEN error IS NULL THEN CASE n WHEN 1 THEN id || chr(9) || o_orderpriority || '|end' ELSE o_clerk || '|~~~' END END AS lines, error FROM b""",
+    "q_measured": f"""WITH {_DIAGRAMS}, m AS (SELECT id, n, CASE n WHEN 1 THEN id || chr(9) || o_orderpriority || chr(10) || 'end' ELSE o_clerk || chr(10) || '~~~' END AS x,
+CASE n WHEN 1 THEN (length(CAST(id AS VARCHAR)) // 8 + 1) * 8 + length(o_orderpriority) ELSE length(o_clerk) END AS w, CASE n WHEN 1 THEN 6 ELSE 11 END AS place FROM b WHERE error IS NULL)
+SELECT id, CAST(n AS INTEGER) AS block, CAST(width AS INTEGER) AS width, CAST(w AS INTEGER) AS "columns", CASE WHEN w > width THEN CAST(place AS VARCHAR) ELSE '' END AS wrapped, w > width AS overflow, sha256(x) AS sha256 FROM m, (SELECT unnest([14, 70]) AS width)""",
+    "q_options": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 5 > 0 THEN '--id|' || o_orderkey || '|' || o_orderpriority || '|x' END AS options FROM orders""",
+    "q_stale_embeds": """SELECT o_orderkey AS id, CASE WHEN k > 1 THEN 'c' || o_custkey END AS path, CAST(CASE WHEN k > 1 THEN 2 END AS INTEGER) AS line,
+CASE k WHEN 0 THEN 'line 2: a marker without a fenced block' WHEN 1 THEN 'line 3: unclosed fence' ELSE CASE WHEN o_custkey % 4 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer) THEN 'not rendered' WHEN o_orderkey % 2 = 0 THEN 'stale' END END AS problem
+FROM (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 7 = 0 THEN 1 ELSE 2 END AS k FROM orders)""",
+    "q_types": """SELECT 'hetzner' AS provider, p_name AS id, p_size AS vcpu, (p_partkey % 9 // 2) || CASE WHEN p_partkey % 9 % 2 = 1 THEN '.5' ELSE '' END AS memory, '20' AS disk, p_type AS arch, p_brand || ',fsn1' AS regions FROM part WHERE p_partkey % 3 <> 0
+UNION ALL SELECT 'digitalocean', p_name, p_size, (p_partkey % 9 // 2) || CASE WHEN p_partkey % 9 % 2 = 1 THEN '.5' ELSE '' END, '25', 'x86', p_brand FROM part WHERE p_partkey % 4 > 0""",
+    "q_actions": """SELECT CAST(l_orderkey AS VARCHAR) AS vm_id, CAST(l_linenumber AS VARCHAR) AS action_id, CASE l_returnflag WHEN 'A' THEN 'running' WHEN 'R' THEN 'success' WHEN 'N' THEN 'error' ELSE 'unknown' END AS state, CAST(NULL AS VARCHAR) AS message FROM lineitem""",
+    "q_membership": """SELECT DISTINCT CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE '' END || o_custkey AS id, CASE WHEN o_orderkey % 5 > 0 THEN c_name END AS name, CASE WHEN o_orderkey % 5 = 0 OR c_custkey IS NULL THEN 'NotFound' END AS error FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
+    "q_usage_errors": """SELECT event_id, concat_ws('; ', CASE WHEN timeout IS NOT NULL AND event_id % 2 <> 0 THEN 'timeout requires wait' END, CASE WHEN timeout > 600 THEN 'timeout is over 10 minutes' END,
+CASE WHEN type IS NOT NULL AND (vcpu IS NOT NULL OR memory IS NOT NULL) THEN 'type excludes vcpu and memory' END, CASE WHEN command = 'create' AND type IS NULL AND (vcpu IS NULL OR memory IS NULL) THEN 'create takes a type, or vcpu and memory' END,
+CASE WHEN disk IS NOT NULL AND (vcpu IS NULL OR memory IS NULL) THEN 'disk goes with vcpu and memory only' END, CASE WHEN event_id % 3 = 0 AND command <> 'list' THEN 'all providers are for list only' END,
+CASE WHEN event_id % 17 = 0 AND command NOT IN ('stop', 'delete') THEN 'yes is for stop and delete only' END, CASE WHEN event_id % 19 = 0 AND command = 'list' THEN 'dry-run is for changes only' END,
+CASE WHEN vcpu = 0 THEN 'vcpu is no positive whole number' END, CASE WHEN memory = 0 THEN 'memory is not positive' END) AS usage
+FROM (SELECT event_id, ['create', 'list', 'stop', 'start'][event_id % 4 + 1] AS command, CASE WHEN event_id % 5 = 0 THEN 't1' END AS type, CASE WHEN event_id % 3 = 0 THEN event_id % 4 END AS vcpu, CASE WHEN event_id % 2 = 0 THEN event_id % 7 END AS memory,
+CASE WHEN event_id % 11 = 0 THEN 10 END AS disk, CASE WHEN event_id % 13 = 0 THEN event_id % 900 END AS timeout FROM events)""",
 }
