@@ -181,6 +181,54 @@ def test_walks_over_stored_pages(spark):
     assert {e[1] for e in ends.values()} == {None, "cursor", "pages", "time", "page"}
 
 
+def test_walks_take_no_job_for_each_page(spark):
+    """A walk in one row costs as many jobs as it does for walks of three pages, so no level shuffles all pages again."""
+    from stratamill.sources import stored
+
+    def jobs(most):
+        pages = spark.range(3 * most).selectExpr("id % 3 AS account", "id div 3 AS cursor", f"IF(id div 3 < {most - 1}, id div 3 + 1, NULL) AS next")
+        group = f"walks of {most}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert len(stored.walked(pages, pages.where("cursor = 0").select("account", "cursor")).collect()) == 3 * most
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    assert 0 < jobs(40) < jobs(3) + 10
+
+
+@pytest.mark.parametrize("at_once", [0, 7, 1000])
+def test_walks_in_rows_and_in_the_recursive_plan(spark, at_once):
+    """Both give what plain Python gives, with several starts of an account, repeated pages, and accounts of no pages."""
+    import random
+
+    from stratamill.sources import stored
+
+    rng = random.Random(5)
+    told = [(a, str(c), rng.choice([None, *map(str, range(30))]), rng.choice([None, 0.0, 0.5, 2.0])) for a in range(12) for c in rng.sample(range(30), rng.choice([1, 6, 29])) for _ in range(rng.choice([1, 1, 2]))] + [(None, "1", "2", 0.0)]
+    asked = sorted({(a, str(rng.randrange(30))) for a in range(14) for _ in range(rng.randint(1, 3))}) + [(3, None), (None, "1")]
+    pages = {}
+    for a, c, n, took in told:
+        page = (n is None, n or "", took is not None, took or 0.0)
+        pages[a, c] = min(page, pages.get((a, c), page))
+    expected = []
+    for a, start in asked:
+        at, seen, spent = start, [], 0.0
+        while at is not None:
+            reason = "cursor" if at in seen else "pages" if len(seen) >= 5 else "time" if spent > 2 else "page" if a is None or (a, at) not in pages else None
+            expected.append((a, len(seen) + (reason is None), at, reason))
+            if reason:
+                break
+            seen.append(at)
+            last, following, _, took = pages[a, at]
+            at, spent = None if last else following, spent + took
+    walk = stored.walked(spark.createDataFrame(told, "account long, cursor string, next string, seconds double"), spark.createDataFrame(asked, "account long, cursor string"), 5, 2, at_once)
+    assert walk.dtypes == [("account", "bigint"), ("page", "int"), ("cursor", "string"), ("reason", "string")]
+    assert sorted(map(tuple, walk.collect()), key=repr) == sorted(expected, key=repr)
+    assert {e[3] for e in expected} == {None, "cursor", "pages", "time", "page"}
+
+
 SEEN = "wait_id string, at double, action_state string, status string, missing boolean, error string"
 ASKED = "wait_id string, kind string, target string, timeout string, started double"
 
