@@ -198,7 +198,7 @@ def test_walks_take_no_job_for_each_page(spark):
     assert 0 < jobs(40) < jobs(3) + 10
 
 
-@pytest.mark.parametrize("at_once", [0, 7, 1000])
+@pytest.mark.parametrize("at_once", [0, 7, 10_000])
 def test_walks_in_rows_and_in_the_recursive_plan(spark, at_once):
     """Both give what plain Python gives, with several starts of an account, repeated pages, and accounts of no pages."""
     import random
